@@ -10,8 +10,10 @@ from .jaccard_join import link_documents
 from .packing import pack_documents
 from .preference import format_pairs, pairs_from_turns
 from .sharding import shard_documents
+from .simhash import fingerprint_documents
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_suffixes
+from .toxicity import score, train
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +56,24 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+TOXIC = 0.5
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = score(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return out.withColumn("toxic", F.col("p_toxic") >= TOXIC)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_suffixes(_table(spark, sf_dir, "documents"), length=100)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(_table(spark, sf_dir, "documents"), radius=3)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sharding": op2_sharding,
@@ -66,7 +81,9 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontamination": op6_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
