@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .jaccard_join import link_documents
 from .packing import pack_documents
+from .pii import find_personal_data
 from .preference import format_pairs, pairs_from_turns
 from .sharding import shard_documents
 from .simhash import fingerprint_documents
@@ -74,6 +75,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents"), radius=3)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_personal_data(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sharding": op2_sharding,
@@ -84,6 +90,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
