@@ -1,10 +1,69 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again.
+
+Each stage takes (spark, docs, sf_dir), docs being what the stage before kept, and
+returns the columns of documents; the last returns the packed pieces.
+
+* toxicity       documents that the classifier chain rejects go
+* near_dups      of each group linked at 80 % of five-word shingles, the document with
+                 the least doc_id stays (rows that share a doc_id are one document)
+* decontaminate  documents that hold a ten-word window of a benchmark item go
+* pii            spans of personal data become [kind]; n_chars follows
+* pack           token pieces in sequences of 1024
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from turnsift.llm import pii
+from turnsift.llm.common import NULL_ID, scratch
+from turnsift.llm.decontaminate import decontaminate
+from turnsift.llm.jaccard_join import link_documents
+from turnsift.llm.packing import pack_documents
+from turnsift.llm.queries import TOXIC, tokenizer_files
+from turnsift.llm.toxicity import score, train
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = score(docs, train(docs, _table(spark, sf_dir, "labels")), carry=tuple(docs.columns))
+    return scored.filter(F.col("p_toxic") < TOXIC).select(docs.columns)
+
+
+def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    linked = link_documents(docs, words=5, num=80, den=100)
+    stay = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_did")).distinct()
+    keyed = docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    first = Window.partitionBy("_did").orderBy(F.xxhash64("text"))
+    kept = keyed.join(stay, "_did", "left_semi").withColumn("_first", F.row_number().over(first))
+    return kept.filter("_first = 1").select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate(docs, _table(spark, sf_dir, "benchmark"), window=10, carry=tuple(docs.columns)).filter("n_hit = 0").select(docs.columns)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = pii.redact_personal_data(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, capacity=1024, end_id=2, **tokenizer_files())
+
+
+STAGES = [("toxicity", toxicity), ("near_dups", near_dups), ("decontaminate", decontaminated), ("pii", redacted), ("pack", packed)]
+
+#: The classifier, the tokenizer and the components have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
