@@ -1,0 +1,45 @@
+"""Adapters: general tables in the shape of turns joined with sessions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import tokens_sql
+
+DAY = 86_400
+BASE_TS = 1_700_000_000
+_ROLE = {"user": "user_request", "assistant": "assistant_text", "system": "meta"}
+_EVENT = {"error": "error", "signup": "user_request", "purchase": "assistant_text", "click": "tool_input", "view": "tool_output"}
+
+
+def _case(c: Column, names: dict[str, str], other: str) -> Column:
+    out = F.lit(other)
+    for k, v in names.items():
+        out = F.when(c == k, v).otherwise(out)
+    return out
+
+
+def _shape(df: DataFrame, **cols: Column) -> DataFrame:
+    plain = {"tool": F.lit(""), "target": F.lit(""), "text": F.lit(""), "project": F.lit(""), "sidechain": F.lit(False), "ts": F.lit(0.0)} | cols
+    out = df.select(*[c.alias(k) for k, c in plain.items()])
+    return out.withColumn("session_key", F.xxhash64("source", "session_id")).withColumn("text_tok", tokens_sql(F.col("text"))).withColumn("target_tok", tokens_sql(F.col("target")))
+
+
+def conversations_to_turns(df: DataFrame, dated: bool = False) -> DataFrame:
+    """Session conv_id, seq turn, kind by role.  dated: a day a conversation, a minute a turn."""
+    ts = (F.lit(BASE_TS) + F.col("conv_id") * DAY + F.col("turn") * 60).cast("double") if dated else F.lit(0.0)
+    return _shape(df, source=F.lit("conversations"), session_id=F.col("conv_id").cast("string"), seq=F.col("turn").cast("int"), turn_id=F.col("conv_id") * 10_000 + F.col("turn"), kind=_case(F.col("role"), _ROLE, "meta"), text=F.coalesce("text", F.lit("")), ts=ts)
+
+
+def events_to_turns(df: DataFrame) -> DataFrame:
+    """Session user_id, seq by time, kind by event type, target props."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    df = df.withColumn("_seq", F.row_number().over(w) - 1)
+    ts = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
+    return _shape(df, source=F.lit("events"), session_id=F.col("user_id").cast("string"), seq=F.col("_seq").cast("int"), turn_id=F.col("event_id"), kind=_case(F.col("event_type"), _EVENT, "meta"), tool=F.col("event_type"), target=F.coalesce("props", F.lit("")), text=F.col("event_type"), ts=ts)
+
+
+def documents_to_turns(df: DataFrame) -> DataFrame:
+    """One turn a document; project is its source, tool its language."""
+    return _shape(df, source=F.lit("documents"), session_id=F.col("doc_id").cast("string"), seq=F.lit(0), turn_id=F.col("doc_id"), kind=F.lit("tool_output"), tool=F.coalesce("lang", F.lit("")), project=F.coalesce("source", F.lit("")), text=F.coalesce("text", F.lit("")))
