@@ -6,6 +6,7 @@ three or more terms needs an Arrow UDF, for the greedy window rule.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -36,8 +37,8 @@ def terms_points(hay: Column, terms: Sequence[str]) -> Column:
 
 
 def positions(hay: Column, term: str) -> Column:
-    """TXT3: 0-based offsets of all occurrences, overlapping ones too.  Walks from hit to
-    hit by way of the parts between them, then keeps what overlaps."""
+    """TXT3: 0-based offsets of all occurrences, overlapping ones too.  Each offset is
+    looked at, so this is for rows that are shown, not for scoring."""
     low = term.lower()
     n = len(low)
     every = F.sequence(F.lit(0), F.greatest(F.length(hay) - n, F.lit(0)))
@@ -68,6 +69,14 @@ def places(hay: str, term: str) -> list[int]:
     return out
 
 
+def _one_after(hay: Column, a: str, b: str, window: int = PHRASE_WINDOW) -> Column:
+    """Whether b starts at or after a place of a, both within the window: one linear scan."""
+    if max(len(a), len(b)) > window:
+        return F.lit(False)
+    quoted = [re.escape(t.lower()) for t in (a, b)]
+    return hay.rlike(f"(?s)(?={quoted[0]}).{{0,{window - len(b)}}}{quoted[1]}")
+
+
 def phrase_points(hay: Column, terms: Sequence[str], found: Column) -> Column:
     """TXT6: a bonus if all typed terms (each counted) occur and stand close together."""
     distinct = list(dict.fromkeys(terms))
@@ -77,10 +86,7 @@ def phrase_points(hay: Column, terms: Sequence[str], found: Column) -> Column:
     if len(terms) == 1:
         return F.when(all_found, PHRASE_POINTS).otherwise(0)
     if len(terms) == 2:
-        near = F.lit(False)
-        a, b = terms
-        pa, pb = positions(hay, a), positions(hay, b)
-        near = F.exists(pa, lambda i: F.exists(pb, lambda j: F.greatest(i + len(a), j + len(b)) - F.least(i, j) <= PHRASE_WINDOW))
+        near = _one_after(hay, *terms) | _one_after(hay, *reversed(terms))
         return F.when(all_found, F.when(near, PHRASE_POINTS).otherwise(0)).otherwise(0)
 
     @F.pandas_udf("boolean")
