@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .jaccard_join import link_documents
+from .oracles import ORACLE_SQL  # noqa: F401  read by the entry module
 from .packing import pack_documents
 from .pii import find_personal_data
 from .preference import format_pairs, pairs_from_turns
@@ -92,5 +93,3 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
 }
-
-ORACLE_SQL: dict[str, str] = {}
