@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
-from conftest import frame
+from small import frame
 
 from turnsift.llm import decontaminate, packing, pii, toxicity
 from turnsift.llm.preference import format_pairs, pairs_from_turns

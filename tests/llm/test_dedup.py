@@ -3,9 +3,9 @@
 import brute
 import numpy as np
 import pytest
-from conftest import frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from small import frame
 
 from turnsift.llm import simhash, sketch
 from turnsift.llm.components import components
