@@ -31,7 +31,7 @@ _local_dir: list[str] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where unset (tests), a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
