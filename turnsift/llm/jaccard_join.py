@@ -11,8 +11,9 @@
   sets that may link to a heavy one are in the lists too.
 * The boundary is the least size at which enumerating costs more than the lists.
 * In a list, first only the smallest member is paired with the others.  Links found so
-  join components; then each pair of a list that is still in two components is tried.
-  Within a component no pair adds anything, so a group of g near copies costs about g.
+  join components; then each member is paired with its nearest one in another
+  component; last, each pair of a list that is still in two components is tried.  Within
+  a component no pair adds anything, so a group of g near copies costs about g.
 * Candidates pass a parity-bitmap bound on the symmetric difference, which never drops
   a link, and then an exact intersection of the sets.
 
@@ -41,6 +42,7 @@ from .components import components
 _W, _S = Rolling(31), Rolling(32)
 ORDER_BITS = 22
 LIST_COST = 16
+NEAREST_TURNS = 1
 _SIG = pa.schema([("did", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.binary()), ("bits", pa.binary())])
 _SIG_SQL = "did long, n int, h1 long, h2 long, keys binary, bits binary"
 _DEAL_SQL = "bucket long, payload binary"
@@ -120,9 +122,10 @@ def _order(source: DataFrame, k: int) -> tuple:
 
 
 def parity(s: np.ndarray) -> bytes:
-    """Parity of the set's hashes in about n / 2 bits; 64 at least."""
+    """Parity of the set's hashes in 4 n bits up to 1024, n / 2 bits beyond 2048 of them.
+    Sets that can link differ by one doubling at most."""
     m = 64
-    while m < len(s) // 2:
+    while m < max(min(4 * len(s), 1024), len(s) // 2):
         m *= 2
     bit = np.bincount(((s >> np.uint64(7)) % np.uint64(m)).astype(np.int64), minlength=m) & 1
     return np.packbits(bit.astype(np.uint8), bitorder="little").tobytes()
@@ -153,10 +156,8 @@ def _keys(s: np.ndarray, cls: np.ndarray, shift, num: int, den: int, edge: int)
     out = []
     if n < edge:
         for c in range(least, n + 1):
-            total = s.sum(dtype=np.uint64)
-            for gone in combinations(range(n), n - c):
-                out.append(total - s[list(gone)].sum(dtype=np.uint64) + np.uint64(c))
-        out = [mix(np.array(out, np.uint64))]
+            gone = np.array(list(combinations(range(n), n - c)), np.int64)
+            out.append(mix(s.sum(dtype=np.uint64) + np.full(len(gone), c, np.uint64) - s[gone].sum(axis=1, dtype=np.uint64)))
     if den * n >= num * edge:
         k = n - least + 1
         rank = cls[(s >> shift).astype(np.int64)]
@@ -223,6 +224,55 @@ def _verified(pairs: DataFrame, bits: DataFrame, source: DataFrame, k: int, num:
     return both.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long").distinct()
 
 
+def _unsettled(posts: DataFrame, found: DataFrame) -> DataFrame:
+    """The lists (key, rep, n) whose members are in two components or more."""
+    posts = posts.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = posts.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    return posts.join(mixed, "key", "left_semi")
+
+
+def _crossing(num: int, den: int, every: bool):
+    """Pairs of a list in two components that pass the bitmap bound: all of them, or for
+    each member the nearest one, which keeps to a pair for each entry of a list."""
+
+    def words_of(bits: list[bytes], width: int) -> np.ndarray:
+        rows = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
+        return rows[:, :width] ^ rows[:, width:] if rows.shape[1] > width else rows
+
+    def one(part: pd.DataFrame, found: set) -> None:
+        part = part.sort_values("n", kind="stable")
+        n, rep, comp = part.n.to_numpy(np.int64), part.rep.to_numpy(), part.component.to_numpy()
+        width = np.array([len(b) // 8 for b in part.bits])
+        bits = part.bits.tolist()
+        for w in np.unique(width):
+            # own width, then the next one folded: more than that no pair can differ
+            own = np.flatnonzero(width == w)
+            table = words_of([bits[i] for i in own], w)
+            wide = np.flatnonzero(width == 2 * w)
+            if len(wide):
+                table = np.concatenate((table, words_of([bits[i] for i in wide], w)))
+            at = np.concatenate((own, wide))
+            for x, i in enumerate(own.tolist()):
+                stop = int(np.searchsorted(n[at], n[i] * den // num, side="right"))
+                ys = x + 1 + np.flatnonzero(comp[at[x + 1 : stop]] != comp[i])
+                if not len(ys):
+                    continue
+                far = np.bitwise_count(table[ys] ^ table[x]).sum(axis=1, dtype=np.int64)
+                ok = far <= _most(n[i], n[at[ys]], num, den)
+                ys = ys[ok]
+                if not every and len(ys):
+                    ys = ys[[int(np.argmin(far[ok]))]]
+                found.update((min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))) for j in at[ys])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: set = set()
+        for _, part in pdf.groupby("key", sort=False):
+            one(part, found)
+        return pd.DataFrame(sorted(found), columns=["a", "b"])
+
+    return run
+
+
 def link_documents(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, list_cost: float = LIST_COST) -> DataFrame:
     """doc_id, n_shingles (set size) and component_id (least doc_id reachable by links)."""
     k, edge = words, boundary(num, den, list_cost)
@@ -278,36 +328,29 @@ def link_documents(docs: DataFrame, words: int = 3, num: int = 90, den: int = 10
     tried = lists.filter("not listed").select("a", "b").distinct()
     bits = sets.select("rep", "n", "bits")
     found = scratch(_verified(tried, bits, source, k, num, den), "links")
-    shared = sets.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    if not shared.isEmpty():  # a doc_id with several texts: one document
-        held = signed.filter("n > 0").join(sets.select(*same, "rep"), same).select(F.col("did").alias("a"), F.col("rep").alias("b"))
-        found = found.unionByName(held.filter("a <> b").distinct())
+    several = signed.filter("n > 0").groupBy("did").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x < y").select("did")
+    if not several.isEmpty():  # a doc_id with several texts is one document
+        own = signed.join(several, "did", "left_semi").join(sets.select(*same, "rep"), same)
+        found = found.unionByName(own.select(F.col("did").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct())
     first = scratch(components(found), "components")
 
     # what is listed together but not yet in one component
     posts = lists.filter("listed").select("key", F.col("a").alias("rep"), F.col("b").cast("int").alias("n"))
-    posts = posts.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = posts.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    posts = scratch(posts.join(mixed, "key", "left_semi"), "mixed")
-    if not posts.isEmpty():
-
-        def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-            found = set()
-            for _, part in pdf.groupby("key", sort=False):
-                part = part.sort_values("n", kind="stable")
-                n, rep, comp, bit = part.n.to_numpy(np.int64), part.rep.to_numpy(), part.component.to_numpy(), part.bits.tolist()
-                for i in range(len(n) - 1):
-                    stop = int(np.searchsorted(n, n[i] * den // num, side="right"))
-                    for j in (i + 1 + np.flatnonzero(comp[i + 1 : stop] != comp[i])).tolist():
-                        ab = (min(rep[i], rep[j]), max(rep[i], rep[j]))
-                        if ab not in found and _difference(bit[i], bit[j]) <= _most(int(n[i]), int(n[j]), num, den):
-                            found.add(ab)
-            return pd.DataFrame(sorted(found), columns=["a", "b"])
-
+    posts = scratch(_unsettled(posts, first), "mixed")
+    for turn in range(NEAREST_TURNS + 1):
+        if posts.isEmpty():
+            break
+        every = turn == NEAREST_TURNS
         rows = posts.join(bits, ["rep", "n"]).withColumn("_bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-        rest = rows.groupBy("_bucket").applyInPandas(lambda pdf: cross(pdf), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-        found = scratch(found.unionByName(_verified(scratch(rest, "rest"), bits, source, k, num, den)), "links")
-        first = components(found)
+        rest = scratch(rows.groupBy("_bucket").applyInPandas(_crossing(num, den, every), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+        if not every and rest.isEmpty():
+            continue
+        found = scratch(found.unionByName(_verified(rest, bits, source, k, num, den)), "links")
+        first = scratch(components(found), "components")
+        if every:
+            break
+        tried = scratch(tried.unionByName(rest), "tried")
+        posts = scratch(_unsettled(posts.drop("component"), first), "mixed")
 
     named = sets.select(*same, "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     out = signed.select("did", *same).join(named, same, "left")
