@@ -49,8 +49,21 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 texts instead of Spark's 10,000, unless the session has a
+    setting of its own: a batch of long texts is held several times over on its way
+    through a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """``columns`` of docs with _did (null: first) and _tid, the text's 64-bit hash."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         *[F.col(c) for c in columns],

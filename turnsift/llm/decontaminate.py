@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, cover, mix, text_slices, words
+from .common import LOWER, Rolling, cover, mix, small_batches, text_slices, words
 
 MAX_PATTERNS = 500_000
 BITS = 20
@@ -121,6 +121,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry
     """The columns ``carry``, n_words, n_hit, items (array, sorted as strings) and hits
     (array of first word and number of words of each hit run)."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     blocks, names = _searchers([tuple(r) for r in items.toLocalIterator()], window, most)
     kept = {f"_c{k}": c for k, c in enumerate(carry)}

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch
+from .common import partitions, scratch, small_batches
 
 MAX_SALTS = 256
 _PIECE_SQL = "doc_id long, part int, piece int, start long, length int, ids_crc32 long, ids binary"
@@ -212,6 +212,7 @@ def tokenize(docs: DataFrame, tokenizer: str, ranks=None, pattern=None, capacity
                 types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "part", "piece", "start", "length", "ids_crc32", "ids"])
 
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64(text), F.lit(2**31 - 1)).cast("int").alias("part"), text.alias("text"))
     return rows.mapInArrow(task, _PIECE_SQL)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, text_slices, words
+from .common import LOWER, Rolling, small_batches, text_slices, words
 from .decontaminate import SEPARATOR
 
 BITS, MIN_SEEN, FOLDS, MAX_ROWS = 18, 3, 5, 12_000
@@ -79,27 +79,41 @@ def _fit(x: _Rows, extra: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int
     c0 = x.back(use.astype(float)) - c1
     ratio = np.log((c1 + 1) / (ones + 2)) - np.log((c0 + 1) / (zeros + 2))
     ratio[(np.abs(ratio) < least) | (c0 + c1 < MIN_SEEN)] = 0
-    span = np.random.default_rng(0).normal(size=x.size) * (ratio != 0)
+    # only entries of features that count and rows in use take part
+    part = (ratio[x.at] != 0) & use[x.row]
+    kept, at = np.unique(x.at[part], return_inverse=True)
+    row, scale = x.row[part], ratio[kept]
+
+    def dot(w: np.ndarray) -> np.ndarray:
+        return np.bincount(row, (w * scale)[at], minlength=len(y))
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.bincount(at, r[row], minlength=len(kept)) * scale
+
+    span = np.random.default_rng(0).normal(size=len(kept))
     top = 0.0
     for _ in range(8):  # the largest curvature, by power iteration
         if not (norm := np.linalg.norm(span)):
             break
-        span = x.back(x.dot(span / norm * ratio) * use) * ratio
+        span = back(dot(span / norm))
         top = np.linalg.norm(span)
     n = float(use.sum())
     step, step_b = 1 / (0.28 * top + ridge), 4 / n
-    step_v = 4 / (n + ridge)
-    new = [np.zeros(x.size), np.zeros(extra.shape[1]), float(np.log(ones / zeros))]
+    ridge_v = n / 4  # an earlier category is a hint: it must not outvote the words
+    step_v = 1 / (0.28 * 4 * n + ridge_v)
+    new = [np.zeros(len(kept)), np.zeros(extra.shape[1]), float(np.log(ones / zeros))]
     ahead, turn = list(new), 1.0
     for _ in range(steps):
         w, v, b = ahead
-        r = (1 / (1 + np.exp(-np.clip(x.dot(w * ratio) + extra @ v + b, -30, 30))) - t) * use
+        r = (1 / (1 + np.exp(-np.clip(dot(w) + extra @ v + b, -30, 30))) - t) * use
         old = new
-        new = [w - step * (x.back(r) * ratio + ridge * w), v - step_v * (extra.T @ r + ridge * v), b - step_b * float(r.sum())]
+        new = [w - step * (back(r) + ridge * w), v - step_v * (extra.T @ r + ridge_v * v), b - step_b * float(r.sum())]
         after = (1 + np.sqrt(1 + 4 * turn * turn)) / 2
         ahead = [p + (turn - 1) / after * (p - q) for p, q in zip(new, old, strict=True)]
         turn = after
-    return new[0] * ratio, new[1], new[2]
+    out = np.zeros(x.size)
+    out[kept] = new[0] * scale
+    return out, new[1], new[2]
 
 
 def _odds(z: np.ndarray) -> np.ndarray:
@@ -125,6 +139,7 @@ class Chain:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_rows: int = MAX_ROWS) -> Chain:
+    small_batches(docs.sparkSession)
     columns = list(dict.fromkeys(c for _, c, _ in categories))
     known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(*[F.max(F.col(c).cast("int")).alias(f"_y{k}") for k, c in enumerate(columns)])
     n = known.count()
@@ -164,6 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_rows: i
 
 def score(docs: DataFrame, chain: Chain, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``carry`` and p_<category> for each category of the chain."""
+    small_batches(docs.sparkSession)
     kept = {f"_c{k}": c for k, c in enumerate(carry)}
     rows = docs.select(*[F.col(c).alias(k) for k, c in kept.items()], F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     held = docs.sparkSession.sparkContext.broadcast((chain.table, chain))
