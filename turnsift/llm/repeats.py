@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import SLICE_BYTES, pack, runs, scratch, text_bytes, unpack
+from .common import SLICE_BYTES, pack, runs, text_bytes, unpack
 
 ROW = pa.schema([("bucket", pa.int64()), ("salt", pa.int32()), ("did", pa.int64()), ("tid", pa.int64()), ("payload", pa.binary())])
 ROW_SQL = "bucket long, salt int, did long, tid long, payload binary"
@@ -28,7 +28,7 @@ _REMOVED = ("<i4", "<i4")
 
 
 def removed_rows(did: np.ndarray, tid: np.ndarray, pos: np.ndarray) -> list[tuple]:
-    """A row for each document, bucket -1, with the runs of its removed windows."""
+    """A row for each document, under a negative bucket, with the runs of its removed windows."""
     if not len(pos):
         return []
     o = np.lexsort((pos, tid, did))
@@ -36,7 +36,7 @@ def removed_rows(did: np.ndarray, tid: np.ndarray, pos: np.ndarray) -> list[tupl
     first, n = runs(pos, did, tid)
     d, t, p = did[first], tid[first], pos[first]
     cut = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]))))
-    return [(-1, 0, int(d[a]), int(t[a]), pack(p[a:b].astype("<i4"), n[a:b].astype("<i4"))) for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True)]
+    return [(-1 - (int(t[a]) & 63), 0, int(d[a]), int(t[a]), pack(p[a:b].astype("<i4"), n[a:b].astype("<i4"))) for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True)]
 
 
 def record(rows: list[tuple]) -> pa.RecordBatch:
@@ -68,22 +68,17 @@ def find(
         for batch in batches:
             yield from emit(batch, held, buckets, salts)
 
-    rows = scratch(docs.select("_did", "_tid", "_text").mapInArrow(second, ROW_SQL), "windows")
-    done = [rows.filter("bucket < 0")]
+    # settled rows travel along, under negative buckets, so that one pass makes both kinds
+    rows = docs.select("_did", "_tid", "_text").mapInArrow(second, ROW_SQL)
     for last in [False, True] if salts > 1 else [True]:
-        keys = ["bucket"] if last else ["bucket", "salt"]
-        rows = rows.filter("bucket >= 0").groupBy(*keys).applyInPandas(_bound(settle, last), ROW_SQL)
-        rows = rows if last else scratch(rows, "salted")
-        done.append(rows.filter("bucket < 0"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+        rows = rows.groupBy(*(["bucket"] if last else ["bucket", "salt"])).applyInPandas(_bound(settle, last), ROW_SQL)
+    out = rows.filter("bucket < 0")
     return out.groupBy(F.col("did").alias("_did"), F.col("tid").alias("_tid")).agg(F.collect_list("payload").alias("_runs"))
 
 
 def _bound(settle: Callable, last: bool) -> Callable:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return settle(pdf, last)
+        return pdf if pdf.bucket.iloc[0] < 0 else settle(pdf, last)
 
     return one
 

@@ -227,7 +227,7 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, salt_slices: int = repeat
             k, begin = chunk[at], place[at]
             stop = np.minimum(begin + m + tail, (start + size)[k])
             out += rows_for(text.tobytes(), begin, stop, did[k], tid[k], first[k] + begin - start[k], anchor[k], m, 1, 0)
-            out = [(int(pdf.bucket.iloc[0]) if r[0] >= 0 else -1, *r[1:]) for r in out]
+            out = [(int(pdf.bucket.iloc[0]) if r[0] >= 0 else r[0], *r[1:]) for r in out]
         return repeats.frame(out)
 
     source = keyed(docs, "doc_id")
