@@ -1,5 +1,7 @@
 """Substring dedup, suffix dedup, Jaccard join, fingerprints: against brute force."""
 
+import random
+
 import brute
 import numpy as np
 import pytest
@@ -7,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from small import frame
 
-from turnsift.llm import simhash, sketch
+from turnsift.llm import queries, simhash, sketch
 from turnsift.llm.components import components
 from turnsift.llm.jaccard_join import boundary, link_documents
 from turnsift.llm.substring_dedup import dedup_substrings
@@ -112,6 +114,51 @@ def test_fingerprints(docs, rows):
     assert np.mean([r["near_edited"] for r in long]) > 0.55
 
 
+def test_edited_copies_are_near(spark, tmp_path):
+    rng = random.Random(11)
+    say = lambda n: ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(n)]
+    shingles = lambda w: set(zip(*(w[k:] for k in range(5)), strict=False))
+    rows, likes = [], []
+    for k in range(60):  # two words of each hundred: 0.8 and more of the shingles stay
+        w = say(200)
+        e = list(w)
+        for at in (20, 70, 120, 170):
+            e[at] = "edited"
+        s, t = shingles(w), shingles(e)
+        likes.append(len(s & t) / len(s | t))
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(e))]
+    assert min(likes) >= 0.8
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_simhash(spark, str(tmp_path)).collect()
+    by_id = {r["doc_id"]: r for r in got}
+    caught = [k for k in range(60) if by_id[2 * k]["near_class"] == by_id[2 * k + 1]["near_class"]]
+    assert len(caught) >= 54
+    assert len({r["near_class"] for r in got}) == 120 - len(caught)
+    f = {d: int(r["fingerprint"], 16) for d, r in by_id.items()}
+    for d, r in by_id.items():
+        assert r["n_near"] == sum((f[d] ^ x).bit_count() <= simhash.RADIUS for x in f.values()) - 1
+
+
+def test_near_tables_are_lossless():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64, (40, 2), dtype=np.uint64)
+    f = np.repeat(base, 12, axis=0)
+    for k in range(len(f)):
+        for bit in rng.choice(128, rng.integers(0, 20), replace=False).tolist():
+            f[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    pairs = lambda a, b, r, dense: sorted((int(i), int(j)) for x, y in simhash.within(a, b, r, dense) for i, j in zip(x, y, strict=True))
+    for radius in (3, 26):
+        far = np.bitwise_count(f[:, None] ^ f[None]).sum(axis=2)
+        want = [(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(far <= radius)), strict=True)]
+        for dense in (0, 1e9):
+            assert pairs(f, None, radius, dense) == [(i, j) for i, j in want if i < j]
+            assert pairs(f[:200], f[200:], radius, dense) == [(i, j - 200) for i, j in want if i < 200 <= j]
+    parent = np.arange(9)
+    simhash._join(parent, np.array([8, 3, 5, 1]), np.array([3, 5, 1, 8]))
+    simhash._join(parent, np.array([7, 7]), np.array([2, 6]))
+    assert simhash._roots(parent, np.arange(9)).tolist() == [0, 1, 2, 1, 4, 1, 2, 2, 1]
+
+
 def test_fingerprint_of_one(spark):
     r = simhash.edited_fingerprints(frame(spark, [(None, "abcd efgh")])).collect()
     assert len(r) == 1 and r[0]["doc_id"] is None and r[0]["near_next"] == 1.0

@@ -12,7 +12,7 @@ from .packing import pack_documents
 from .pii import find_personal_data
 from .preference import format_pairs, pairs_from_turns
 from .sharding import shard_documents
-from .simhash import fingerprint_documents
+from .simhash import RADIUS, fingerprint_documents
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_suffixes
 from .toxicity import score, train
@@ -73,7 +73,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_documents(_table(spark, sf_dir, "documents"), radius=3)
+    return fingerprint_documents(_table(spark, sf_dir, "documents"), radius=RADIUS)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
