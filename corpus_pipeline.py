@@ -5,7 +5,8 @@ returns the columns of documents; the last returns the packed pieces.
 
 * toxicity       documents that the classifier chain rejects go
 * near_dups      of each group linked at 80 % of five-word shingles, the document with
-                 the least doc_id stays (rows that share a doc_id are one document)
+                 the least doc_id stays (rows equal in doc_id and text are one document;
+                 rows with a null or shared doc_id and other texts are not)
 * decontaminate  documents that hold a ten-word window of a benchmark item go
 * pii            spans of personal data become [kind]; n_chars follows
 * pack           token pieces in sequences of 1024
@@ -35,11 +36,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = link_documents(docs, words=5, num=80, den=100)
-    stay = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_did")).distinct()
-    keyed = docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    first = Window.partitionBy("_did").orderBy(F.xxhash64("text"))
-    kept = keyed.join(stay, "_did", "left_semi").withColumn("_first", F.row_number().over(first))
+    # a row's identity is doc_id and text: a shared or null doc_id links nothing
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    keyed = docs.withColumn("_did", did).withColumn("_row", F.xxhash64("_did", F.coalesce("text", F.lit(""))))
+    linked = link_documents(keyed.select(F.col("_row").alias("doc_id"), "text"), words=5, num=80, den=100)
+    groups = linked.select(F.col("doc_id").alias("_row"), "component_id").distinct().join(keyed.select("_row", "_did").distinct(), "_row")
+    stay = groups.groupBy("component_id").agg(F.min(F.struct("_did", "_row"))["_row"].alias("_row")).select("_row")
+    first = Window.partitionBy("_row").orderBy(F.xxhash64(*docs.columns))
+    kept = keyed.join(stay, "_row", "left_semi").withColumn("_first", F.row_number().over(first))
     return kept.filter("_first = 1").select(docs.columns)
 
 
