@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from small import frame
 
 from turnsift.llm import decontaminate, packing, pii, toxicity
@@ -211,6 +212,20 @@ def test_redaction_of_spans(spark):
     assert "999.1.1.1" in got[2, None] and "[ip]" in got[2, None]
 
 
+def test_long_secrets_are_whole(spark):
+    key = "a1B2c3D4" * 60
+    name = "service_" * 6 + "token"
+    texts = [f"set token={key} and go", f"set {name}={key[:24]} and go", f"token={key},{name}={key * 2000}"]
+    got = [
+        sorted((r["start"], r["stop"]) for r in pii.candidates(frame(spark, [(1, t)])).filter(F.col("ord") == pii.KINDS.index("secret")).collect())
+        for t in texts
+    ]
+    first = len(f"token={key}")
+    assert got == [[(4, 4 + first)], [(4, 4 + len(name) + 25)], [(0, first), (first + 1, len(texts[2]))]]
+    masked = [r["text"] for r in pii.redact_personal_data(frame(spark, [(k, f"set token={key} and go") for k in range(30)])).collect()]
+    assert set(masked) == {"set [secret] and go"}
+
+
 def test_no_python_on_the_native_path(spark):
     plan = pii.find_personal_data(frame(spark, PERSONAL))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

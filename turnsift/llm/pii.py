@@ -39,7 +39,7 @@ PATTERNS = {
     "ip": (r"[0-9]\.[0-9]++\.[0-9]", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": (r"[0-9](?:[\x20-]?[0-9]){13}", r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    "secret": (r"[A-Za-z_][=:][\x20]?[^\s]{8}", r"(?:\G|(?<![A-Za-z0-9_]))[A-Za-z_][A-Za-z0-9_]{2,39}[=:]\x20?[^\s,;\"']{8,200}"),
+    "secret": (r"[A-Za-z_][=:][\x20]?[^\s]{8}", r"(?:\G|(?<![A-Za-z0-9_]))[A-Za-z_][A-Za-z0-9_]{2,}+[=:]\x20?[^\s,;\"']{8,}+"),
     "number": (r"[0-9][)]?[\x20.-][0-9]{2,}[\x20.-][0-9]{4}", r"(?<![0-9A-Za-z+.-])[(]?[0-9]{3}[)]?[\x20.-]{1,2}[0-9]{2,3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"),
 }
 # Gazetteers and cues: fixed lists.
