@@ -1,11 +1,14 @@
 """The registered queries: names, and a sample against DuckDB on a small folder."""
 
 import os
+import re
 
 import __spark_entry__ as entry
 import duckdb
 import pytest
 
+from turnsift.audit import detect
+
 SF = "/root/testdata/sf0.001"
 TABLES = "events customer orders documents benchmark labels conversations".split()
 SAMPLE = ["score_breakdown", "sessions_ranked", "phrase_bonus", "neighbours_range", "show_window", "tool_name_asof", "stats_span", "epoch_normalise", "clip_text", "error_signal_kind", "redact_email", "audit_signatures", "audit_entropy"]
@@ -34,3 +37,14 @@ def test_oracle(spark, name):
     out = con.sql(entry.oracle_sql()[name])
     want = sorted((tuple(near(dict(zip(out.columns, r, strict=True))[c]) for c in columns) for r in out.fetchall()), key=repr)
     assert sorted(out.columns) == columns and got == want
+
+
+def test_all_signatures_are_counted(spark, tmp_path):
+    texts = ["see /home/alice/x and 10.1.2.3, call 555-123-4567", None, "", "on nas.local and 192.168.1.9, bob@mail.example.com", "/Users/bob 1.10.1.2.3 x.internal"] * 2
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["label"]: r["n"] for r in entry.queries()["audit_signatures_all"](spark, str(tmp_path)).collect()}
+    want = dict.fromkeys((label for label, _ in detect.SIGNATURES), 0)
+    for label, p in detect.SIGNATURES:
+        want[label] += sum(len(re.findall(p, t or "", re.A)) for t in texts)
+    assert got == want
+    assert all(want[x] > 0 for x in ("home directory path", "private network address", "private hostname", "telephone number"))

@@ -352,6 +352,12 @@ def audit_signatures(spark, sf):
     return detect.signature_counts(docs).filter(F.col("label").isin([label for label, _ in PLAIN]))
 
 
+@register()
+def audit_signatures_all(spark, sf):
+    # all labels: look-around and word bounds have no DuckDB form
+    return detect.signature_counts(_read(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit(""))))
+
+
 @register()
 def audit_findings(spark, sf):
     return detect.findings(_read(spark, sf, "documents"), "doc_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
