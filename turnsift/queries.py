@@ -369,6 +369,13 @@ def audit_entropy(spark, sf):
     return pairs.select("lang", "source", F.round(detect.entropy_column(F.concat_ws("/", "lang", "source")), 9).alias("bits"))
 
 
+@register()
+def audit_entropy_tokens(spark, sf):
+    # each distinct token of the whole texts once
+    tokens = _read(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(detect.TOKEN), F.lit(0))).alias("token"))
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select("token", "n", F.round(detect.entropy_of_all("token"), 9).alias("bits"))
+
+
 @register("SELECT CAST(0 AS BIGINT) AS findings, true AS raw_has_findings")
 def audit_after_redaction(spark, sf):
     docs = _docs(spark, sf)
