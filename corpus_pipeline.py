@@ -14,11 +14,11 @@ returns the columns of documents; the last returns the packed pieces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnsift.llm import pii
-from turnsift.llm.common import NULL_ID, scratch
+from turnsift.llm.common import NULL_ID, column, scratch
 from turnsift.llm.decontaminate import decontaminate
 from turnsift.llm.jaccard_join import link_documents
 from turnsift.llm.packing import pack_documents
@@ -30,25 +30,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _plain(docs: DataFrame):
+    """docs with every column but doc_id and text under a name of our own, so that no
+    name of the caller's meets one of an operator's; and the way back."""
+    own = {c: c if c in ("doc_id", "text") else f"x{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[column(c).alias(x) for c, x in own.items()]), lambda df: df.select(*[F.col(x).alias(c) for c, x in own.items()])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = score(docs, train(docs, _table(spark, sf_dir, "labels")), carry=tuple(docs.columns))
-    return scored.filter(F.col("p_toxic") < TOXIC).select(docs.columns)
+    plain, back = _plain(docs)
+    scored = score(plain, train(plain, _table(spark, sf_dir, "labels")), carry=tuple(plain.columns))
+    return back(scored.filter(F.col("p_toxic") < TOXIC))
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # a row's identity is doc_id and text: a shared or null doc_id links nothing
+    plain, back = _plain(docs)
+    # a row's identity is doc_id and text: a shared or null doc_id links nothing; a second
+    # hash keeps rows apart whose first one collides
+    text = F.coalesce("text", F.lit(""))
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    keyed = docs.withColumn("_did", did).withColumn("_row", F.xxhash64("_did", F.coalesce("text", F.lit(""))))
+    keyed = plain.withColumn("_did", did).withColumn("_row", F.xxhash64("_did", text)).withColumn("_other", F.xxhash64(F.lit(7), text, "_did"))
     linked = link_documents(keyed.select(F.col("_row").alias("doc_id"), "text"), words=5, num=80, den=100)
-    groups = linked.select(F.col("doc_id").alias("_row"), "component_id").distinct().join(keyed.select("_row", "_did").distinct(), "_row")
-    stay = groups.groupBy("component_id").agg(F.min(F.struct("_did", "_row"))["_row"].alias("_row")).select("_row")
-    first = Window.partitionBy("_row").orderBy(F.xxhash64(*docs.columns))
-    kept = keyed.join(stay, "_row", "left_semi").withColumn("_first", F.row_number().over(first))
-    return kept.filter("_first = 1").select(docs.columns)
+    rows = keyed.select("_row", "_other", "_did").distinct()
+    groups = linked.select(F.col("doc_id").alias("_row"), "component_id").distinct().join(rows, "_row")
+    least = groups.groupBy("component_id").agg(F.min(F.struct("_did", "_row"))["_row"].alias("_row")).select("_row")
+    stay = rows.join(least, "_row", "left_semi").select("_row", "_other")
+    # repeated rows meet after a partial aggregate, so a hot one is one row a partition
+    one = keyed.groupBy("_row", "_other").agg(F.min_by(F.struct(*plain.columns), F.xxhash64(*plain.columns)).alias("_all"))
+    return back(one.join(stay, ["_row", "_other"], "left_semi").select("_all.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate(docs, _table(spark, sf_dir, "benchmark"), window=10, carry=tuple(docs.columns)).filter("n_hit = 0").select(docs.columns)
+    plain, back = _plain(docs)
+    return back(decontaminate(plain, _table(spark, sf_dir, "benchmark"), window=10, carry=tuple(plain.columns)).filter("n_hit = 0"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

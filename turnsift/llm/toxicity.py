@@ -1,20 +1,23 @@
 """Toxicity by a classifier chain of linear models.
 
 ``train(docs, labels, categories)`` fits one logistic regression for each category, in
-order; the model of a later category also sees the log odds that the earlier ones give.
-In training those come out of fold, so that later models learn from predictions as good
-as those they will meet.  ``score`` applies the chain to whole texts.
+order; the model of a later category also sees the probabilities of the earlier ones.
+In training those come out of fold, and so do the word scores beside which they are
+weighed, so that a later model learns from predictions as good as those it will meet;
+how far it may lean on them (a ridge) is chosen by out-of-fold likelihood.  ``score``
+applies the chain to whole texts.
 
 Features, each once a text: words (runs of letters, digits and non-ASCII; A-Z in lower
 case) and their first 4, 5 and 6 bytes, hashed to 2**18 places; places seen in fewer
 than MIN_SEEN training rows keep weight 0.
 
-Training uses at most ``max_rows`` labelled rows (12,000), drawn by the hash of the
-doc_id; that bound is all that reaches the driver.  Every document is scored.
+Training uses at most ``max_rows`` labelled ids (12,000) in the order of their hash, one
+text each, and of those as many as have ``max_entries`` features (16 million, 64 MB)
+together; those bounds are all that reaches the driver.  Every document is scored.
 
 Defined cases: null text is empty and gets the bias alone; labels that are null are left
-out for their category; several label rows of a doc_id count by their maximum; labels
-of unknown documents are ignored; a category with one class only, or no labels, gives
+out for their category; several label rows of a doc_id count by their maximum; of a
+doc_id with several texts the one of least hash trains; labels of unknown documents are ignored; a category with one class only, or no labels, gives
 its rate (0 without labels); null doc_id is scored like others; other columns are
 ignored unless named in ``carry``; an empty table gives an empty one.
 """
@@ -25,11 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import LOWER, Rolling, small_batches, text_slices, words
+from .common import LOWER, Rolling, column, scratch, small_batches, text_slices, words
 from .decontaminate import SEPARATOR
 
-BITS, MIN_SEEN, FOLDS, MAX_ROWS = 18, 3, 5, 12_000
+BITS, MIN_SEEN, FOLDS = 18, 3, 5
+#: What reaches the driver of the labelled rows: rows, and features of all of them (64 MB).
+MAX_ROWS, MAX_ENTRIES = 12_000, 16_000_000
+RIDGES = (0.1, 1.0, 10.0, 100.0, 1000.0)
 PREFIXES = (4, 5, 6)
 _W = Rolling(71)
 #: name, label column, value that means the category applies
@@ -49,23 +56,46 @@ def features(data: np.ndarray, off: np.ndarray):
 
 
 class _Rows:
-    """Binary rows with a dense extra column block."""
+    """Binary rows in compressed form.  Sums go through blocks of entries, so that their
+    temporaries stay small beside the entries (four bytes each) themselves."""
 
-    def __init__(self, rows: list[np.ndarray], size: int):
-        self.n = np.array([len(r) for r in rows], np.int64)
-        self.at = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        self.row = np.repeat(np.arange(len(rows)), self.n)
-        self.size = size
+    BLOCK = 1_000_000
+
+    def __init__(self, at: np.ndarray, row: np.ndarray, rows: int, size: int):
+        self.at, self.row, self.rows, self.size = at, row, rows, size
+
+    def _blocks(self):
+        for lo in range(0, len(self.at), self.BLOCK):
+            yield self.at[lo : lo + self.BLOCK], self.row[lo : lo + self.BLOCK]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.at], minlength=len(self.n))
+        out = np.zeros(self.rows)
+        for at, row in self._blocks():
+            out += np.bincount(row, w[at], minlength=self.rows)
+        return out
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, r[self.row], minlength=self.size)
+        out = np.zeros(self.size)
+        for at, row in self._blocks():
+            out += np.bincount(at, r[row], minlength=self.size)
+        return out
+
+    def part(self, kept: np.ndarray, use: np.ndarray) -> "_Rows":
+        """Only the features ``kept``, numbered anew, in the rows in ``use``."""
+        number = np.full(self.size, -1, np.int32)
+        number[kept] = np.arange(len(kept), dtype=np.int32)
+        some = [(number[at], row, (number[at] >= 0) & use[row]) for at, row in self._blocks()]
+        at = [a[ok] for a, _, ok in some] or [np.zeros(0, np.int32)]
+        row = [r[ok] for _, r, ok in some] or [np.zeros(0, np.int32)]
+        return _Rows(np.concatenate(at), np.concatenate(row), self.rows, len(kept))
+
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-def _fit(x: _Rows, extra: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int = 100, ridge: float = 1.0, least: float = 1.0):
-    """Logistic regression on the rows in ``use`` with accelerated gradient steps.
+
+def _words(x: _Rows, y: np.ndarray, use: np.ndarray, steps: int = 60, ridge: float = 1.0, least: float = 1.0):
+    """Weights and bias of a logistic regression on words, by accelerated gradient steps.
 
     Features are scaled by their smoothed log ratio between the classes (under ``least``:
     left out), so that weight goes to what tells the classes apart in many rows.
@@ -73,126 +103,192 @@ def _fit(x: _Rows, extra: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int
     use = use & ~np.isnan(y)
     t = np.where(use, y, 0.0)
     ones, zeros = t.sum(), use.sum() - t.sum()
+    out = np.zeros(x.size, np.float32)
     if not ones or not zeros:
-        return np.zeros(x.size), np.zeros(extra.shape[1]), (-30.0 if not ones else 30.0)
+        return out, (-30.0 if not ones else 30.0)
     c1 = x.back(t)
     c0 = x.back(use.astype(float)) - c1
     ratio = np.log((c1 + 1) / (ones + 2)) - np.log((c0 + 1) / (zeros + 2))
-    ratio[(np.abs(ratio) < least) | (c0 + c1 < MIN_SEEN)] = 0
-    # only entries of features that count and rows in use take part
-    part = (ratio[x.at] != 0) & use[x.row]
-    kept, at = np.unique(x.at[part], return_inverse=True)
-    row, scale = x.row[part], ratio[kept]
-
-    def dot(w: np.ndarray) -> np.ndarray:
-        return np.bincount(row, (w * scale)[at], minlength=len(y))
-
-    def back(r: np.ndarray) -> np.ndarray:
-        return np.bincount(at, r[row], minlength=len(kept)) * scale
-
+    kept = np.flatnonzero((np.abs(ratio) >= least) & (c0 + c1 >= MIN_SEEN))
+    scale, own = ratio[kept], x.part(kept, use)
     span = np.random.default_rng(0).normal(size=len(kept))
     top = 0.0
     for _ in range(8):  # the largest curvature, by power iteration
         if not (norm := np.linalg.norm(span)):
             break
-        span = back(dot(span / norm))
+        span = own.back(own.dot(span / norm * scale)) * scale
         top = np.linalg.norm(span)
-    n = float(use.sum())
-    step, step_b = 1 / (0.28 * top + ridge), 4 / n
-    ridge_v = n / 4  # an earlier category is a hint: it must not outvote the words
-    step_v = 1 / (0.28 * 4 * n + ridge_v)
-    new = [np.zeros(len(kept)), np.zeros(extra.shape[1]), float(np.log(ones / zeros))]
+    step, step_b = 1 / (0.28 * top + ridge), 4 / float(use.sum())
+    new = [np.zeros(len(kept)), float(np.log(ones / zeros))]
     ahead, turn = list(new), 1.0
     for _ in range(steps):
-        w, v, b = ahead
-        r = (1 / (1 + np.exp(-np.clip(dot(w) + extra @ v + b, -30, 30))) - t) * use
+        w, b = ahead
+        r = (_sigmoid(own.dot(w * scale) + b) - t) * use
         old = new
-        new = [w - step * (back(r) + ridge * w), v - step_v * (extra.T @ r + ridge_v * v), b - step_b * float(r.sum())]
+        new = [w - step * (own.back(r) * scale + ridge * w), b - step_b * float(r.sum())]
         after = (1 + np.sqrt(1 + 4 * turn * turn)) / 2
         ahead = [p + (turn - 1) / after * (p - q) for p, q in zip(new, old, strict=True)]
         turn = after
-    out = np.zeros(x.size)
     out[kept] = new[0] * scale
-    return out, new[1], new[2]
+    return out, new[1]
+
+
+def _newton(a: np.ndarray, y: np.ndarray, ridge: np.ndarray, toward: np.ndarray) -> np.ndarray:
+    """Logistic regression on a few dense columns, weights drawn to ``toward``."""
+    w = toward.copy()
+    for _ in range(30):
+        p = _sigmoid(a @ w)
+        slope = a.T @ (p - y) + ridge * (w - toward)
+        curve = (a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge + 1e-6)
+        move = np.linalg.solve(curve, slope)
+        w = w - np.clip(move, -5, 5)
+        if np.abs(move).max() < 1e-8:
+            break
+    return w
 
 
-def _odds(z: np.ndarray) -> np.ndarray:
-    return np.clip(z, -8, 8) / 4
+def _loss(z: np.ndarray, y: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(y > 0, -z, z)).sum())
 
 
-class Chain:
-    """names; for each category (weights, weights of earlier log odds, bias)."""
+def _chained(z: np.ndarray, earlier: np.ndarray, y: np.ndarray, fold: np.ndarray):
+    """The later linear model over out-of-fold word scores and earlier probabilities:
+    (weight of the words, weights of the probabilities, bias), and its own out-of-fold
+    logit.  The ridge on the probabilities is the one with the best out-of-fold
+    likelihood."""
+    a = np.column_stack((z, earlier, np.ones(len(z))))
+    toward = np.array([1.0] + [0.0] * (a.shape[1] - 1))
+    seen = ~np.isnan(y)
+
+    def fitted(ridge: float, rows: np.ndarray) -> np.ndarray:
+        pull = np.array([1.0] + [ridge] * earlier.shape[1] + [0.0])
+        return _newton(a[rows], y[rows], pull, toward)
 
-    def __init__(self, names, models):
-        self.names, self.models = names, models
+    best = None
+    for ridge in RIDGES if earlier.shape[1] else RIDGES[:1]:
+        out = np.zeros(len(z))
+        for k in range(FOLDS):
+            own = fold == k
+            out[own] = a[own] @ fitted(ridge, seen & ~own)
+        loss = _loss(out[seen], y[seen])
+        if best is None or loss < best[0]:
+            best = loss, ridge, out
+    w = fitted(best[1], seen)
+    return float(w[0]), w[1:-1], float(w[-1]), best[2]
+
+
+class Chain:
+    """names; table (feature places x categories, float32); links: for each category the
+    weights of the earlier categories' probabilities; biases."""
 
-    @property
-    def table(self) -> np.ndarray:
-        return np.stack([m[0] for m in self.models], 1).astype(np.float32)
+    def __init__(self, names, table, links, biases):
+        self.names, self.table, self.links, self.biases = names, table, links, biases
 
     def finish(self, sums: np.ndarray) -> np.ndarray:
         """Probabilities from the sums of feature weights (rows x categories)."""
-        z = np.zeros_like(sums, dtype=np.float64)
-        for k, (_, v, b) in enumerate(self.models):
-            z[:, k] = np.clip(sums[:, k] + _odds(z[:, :k]) @ v + b, -30, 30)
-        return 1 / (1 + np.exp(-z))
+        p = np.zeros_like(sums, dtype=np.float64)
+        for k, (v, b) in enumerate(zip(self.links, self.biases, strict=True)):
+            p[:, k] = _sigmoid(sums[:, k] + p[:, :k] @ v + b)
+        return p
+
+
+def fit_chain(x: _Rows, ys: list[np.ndarray], fold: np.ndarray, names: list[str], linked: bool = True) -> Chain:
+    """ys: for each category 1, 0 or nan.  linked=False leaves the links at 0."""
+    earlier = np.zeros((x.rows, 0))
+    table, links, biases = np.zeros((x.size, len(ys)), np.float32), [], []
+    every = np.ones(x.rows, bool)
+    for k, y in enumerate(ys):
+        w, b = _words(x, y, every)
+        some = y[~np.isnan(y)]
+        if not len(some) or some.min() == some.max():  # one class: its rate
+            scale, v, c, z = 1.0, np.zeros(earlier.shape[1]), 0.0, np.full(x.rows, b)
+        else:
+            z = np.zeros(x.rows)
+            for part in range(FOLDS):
+                wf, bf = _words(x, y, fold != part)
+                own = fold == part
+                z[own] = (x.dot(wf) + bf)[own]
+            scale, v, c, z = _chained(z, earlier if linked else earlier * 0, y, fold)
+        table[:, k] = w * scale
+        links.append(v)
+        biases.append(b * scale + c)
+        earlier = np.column_stack((earlier, _sigmoid(z)))
+    return Chain(names, table, links, biases)
+
+
+def _drawn(labels: DataFrame, columns: list[str], max_rows: int) -> DataFrame:
+    """At most ``max_rows`` labelled ids, least hash first: _id, _ord and _y0, _y1, ..."""
+    ys = [F.max(F.col(c).cast("int")).alias(f"_y{k}") for k, c in enumerate(columns)]
+    known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(*ys)
+    known = known.withColumn("_ord", F.pmod(F.xxhash64("_id"), F.lit(1 << 30)))
+    n = known.count()
+    if n > max_rows:  # few more than wanted reach the sort
+        known = known.filter(F.col("_ord") < int((1 << 30) * min(1.0, (1.1 * max_rows + 100) / n)))
+    return known.orderBy("_ord", "_id").limit(max_rows)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_rows: int = MAX_ROWS) -> Chain:
-    small_batches(docs.sparkSession)
-    columns = list(dict.fromkeys(c for _, c, _ in categories))
-    known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(*[F.max(F.col(c).cast("int")).alias(f"_y{k}") for k, c in enumerate(columns)])
-    n = known.count()
-    order = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
-    drawn = known.filter(order < int((1 << 30) * min(1.0, 0.95 * max_rows / max(n, 1)))) if n > max_rows else known
-    drawn = drawn.limit(max_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text")).join(F.broadcast(drawn), "_id")
+def labelled_features(docs: DataFrame, labels: DataFrame, columns: list[str], max_rows: int) -> DataFrame:
+    """A written table: _ord, _id, labels, n and f (feature places) of each drawn id."""
     ys = [f"_y{k}" for k in range(len(columns))]
+    drawn = F.broadcast(_drawn(labels, columns, max_rows))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("_text")).join(drawn, "_id")
+    # a doc_id with several texts is trained on one of them
+    texts = texts.groupBy("_ord", "_id", *ys).agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
 
     def task(batches):
         for batch in batches:
             for rows, data, off in text_slices(batch, "_text"):
                 part = batch.slice(rows.start, len(off) - 1)
-                yield pa.RecordBatch.from_arrays([part.column("_id"), *[part.column(y) for y in ys], pa.array([f.tobytes() for f in features(data, off)], pa.binary())], names=["_id", *ys, "f"])
-
-    rows = texts.select("_id", *ys, "_text").mapInArrow(task, "_id long, " + "".join(f"{y} int, " for y in ys) + "f binary").collect()
-    rows.sort(key=lambda r: (r["_id"], r.f))
-    found = [np.frombuffer(r.f, np.int32) for r in rows]
-    seen = np.bincount(np.concatenate(found) if found else np.zeros(0, np.int32), minlength=1 << BITS) >= MIN_SEEN
-    x = _Rows([f[seen[f]] for f in found], 1 << BITS)
-    fold = np.array([(r["_id"] * 2654435761 >> 7) % FOLDS for r in rows], np.int64)
-    every = np.ones(len(rows), bool)
-    extra, models = np.zeros((len(rows), 0)), []
-    for k, (_, column, value) in enumerate(categories):
-        raw = [r[ys[columns.index(column)]] for r in rows]
-        y = np.array([np.nan if v is None else float(v == value) for v in raw])
-        models.append(_fit(x, extra, y, every))
-        if k + 1 < len(categories):
-            z = np.zeros(len(rows))
-            for part in range(FOLDS):
-                w, v, b = _fit(x, extra, y, fold != part)
-                own = fold == part
-                z[own] = (x.dot(w) + extra @ v + b)[own]
-            extra = np.column_stack((extra, _odds(z)))
-    return Chain([c[0] for c in categories], models)
+                found = list(features(data, off))
+                cells = [pa.array([len(f) for f in found], pa.int32()), pa.array([f.tobytes() for f in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("_ord", "_id", *ys)], *cells], names=["_ord", "_id", *ys, "n", "f"])
+
+    sql = "_ord long, _id long, " + "".join(f"{y} int, " for y in ys) + "n int, f binary"
+    return scratch(texts.select("_ord", "_id", *ys, "_text").mapInArrow(task, sql), "features")
+
+
+def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTRIES, linked: bool = True) -> Chain:
+    small_batches(docs.sparkSession)
+    columns = list(dict.fromkeys(c for _, c, _ in categories))
+    held = labelled_features(docs, labels, columns, max_rows)
+    sizes = held.select("_ord", "_id", "n").orderBy("_ord", "_id").collect()
+    upto = np.cumsum([r.n for r in sizes], dtype=np.int64)
+    rows = int(np.searchsorted(upto, max_entries, side="right"))
+    entries = int(upto[rows - 1]) if rows else 0
+    place = {r["_id"]: k for k, r in enumerate(sizes[:rows])}
+    end = np.concatenate(([0], upto[:rows]))
+    at, row = np.zeros(entries, np.int32), np.zeros(entries, np.int32)
+    label, fold = np.full((rows, len(columns)), np.nan), np.zeros(rows, np.int64)
+    for r in held.filter(F.col("_ord") <= (sizes[rows - 1]["_ord"] if rows else -1)).toLocalIterator():
+        if (k := place.get(r["_id"])) is not None:
+            at[end[k] : end[k + 1]] = np.frombuffer(r.f, np.int32)
+            row[end[k] : end[k + 1]] = k
+            label[k] = [np.nan if r[f"_y{c}"] is None else r[f"_y{c}"] for c in range(len(columns))]
+            fold[k] = (r["_id"] * 2654435761 >> 7) % FOLDS
+    ys = []
+    for _, column, value in categories:
+        raw = label[:, columns.index(column)]
+        ys.append(np.where(np.isnan(raw), np.nan, raw == value))
+    return fit_chain(_Rows(at, row, rows, 1 << BITS), ys, fold, [c[0] for c in categories], linked)
 
 
 def score(docs: DataFrame, chain: Chain, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``carry`` and p_<category> for each category of the chain."""
     small_batches(docs.sparkSession)
     kept = {f"_c{k}": c for k, c in enumerate(carry)}
-    rows = docs.select(*[F.col(c).alias(k) for k, c in kept.items()], F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    held = docs.sparkSession.sparkContext.broadcast((chain.table, chain))
+    rows = docs.select(*[column(c).alias(k) for k, c in kept.items()], F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    held = docs.sparkSession.sparkContext.broadcast(chain)
 
     def task(batches):
-        table, model = held.value
+        model = held.value
         for batch in batches:
             for part, data, off in text_slices(batch, "_text"):
-                sums = np.array([table[f].sum(axis=0, dtype=np.float64) for f in features(data, off)])
+                sums = np.array([model.table[f].sum(axis=0, dtype=np.float64) for f in features(data, off)])
                 p = model.finish(sums.reshape(len(off) - 1, -1))
                 same = batch.slice(part.start, len(off) - 1)
-                yield pa.RecordBatch.from_arrays([*[same.column(k) for k in kept], *[pa.array(c) for c in p.T]], names=[*kept, *[f"p_{n}" for n in model.names]])
+                yield pa.RecordBatch.from_arrays([*[same.column(k) for k in kept], *[pa.array(c) for c in p.T]], names=[*kept, *[f"p{k}" for k in range(len(model.names))]])
 
-    typed = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*kept).schema] + [f"p_{n} double" for n in chain.names]
-    out = rows.mapInArrow(task, ", ".join(typed))
-    return out.select(*[F.col(k).alias(c) for k, c in kept.items()], *[f"p_{n}" for n in chain.names])
+    schema = StructType([*rows.select(*kept).schema.fields, *[StructField(f"p{k}", DoubleType()) for k in range(len(chain.names))]])
+    out = rows.mapInArrow(task, schema)
+    return out.select(*[F.col(k).alias(c) for k, c in kept.items()], *[F.col(f"p{k}").alias(f"p_{n}") for k, n in enumerate(chain.names)])
