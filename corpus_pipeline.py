@@ -56,7 +56,8 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     least = groups.groupBy("component_id").agg(F.min(F.struct("_did", "_row"))["_row"].alias("_row")).select("_row")
     stay = rows.join(least, "_row", "left_semi").select("_row", "_other")
     # repeated rows meet after a partial aggregate, so a hot one is one row a partition
-    one = keyed.groupBy("_row", "_other").agg(F.min_by(F.struct(*plain.columns), F.xxhash64(*plain.columns)).alias("_all"))
+    hashed = [F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in plain.schema]
+    one = keyed.groupBy("_row", "_other").agg(F.min_by(F.struct(*plain.columns), F.xxhash64(*hashed)).alias("_all"))
     return back(one.join(stay, ["_row", "_other"], "left_semi").select("_all.*"))
 
 
