@@ -166,12 +166,63 @@ def test_toxicity(spark, none):
     assert max(r["p_toxic"] for r in toxicity.score(docs, bare).collect()) < 1e-9
 
 
-def test_later_categories_see_earlier_ones(spark):
-    """The second label is the first one's: the chain passes it on."""
-    rows = [(k, ("good day here" if k % 2 else "junk words now") + f" n{k}") for k in range(200)]
-    labels = spark.createDataFrame([(k, k % 2, 1 - k % 2) for k in range(200)], "doc_id long, quality int, toxic int")
-    chain = toxicity.train(frame(spark, rows), labels)
-    assert chain.models[1][1].shape == (1,) and chain.models[1][1][0] > 0
+def test_the_chain_wins_where_one_category_tells_of_another(spark):
+    """The second label follows the first, but few rows have it: words alone can't learn
+    it from those, the first category's probability can."""
+    rng = np.random.default_rng(5)
+    signs = ["".join(rng.choice(list("ghijklmnop"), 7)) for _ in range(120)]
+    rows, labels = [], []
+    for k in range(1200):
+        low = k % 3 == 0
+        w = [f"w{x}" for x in rng.integers(0, 400, 25)]
+        if low:
+            w[3], w[9], w[15] = rng.choice(signs, 3)
+        rows.append((k, " ".join(w)))
+        if k % 2:
+            labels.append((k, 0 if low else 1, int(low) if k % 10 == 1 else None))
+    docs, table = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    right = {}
+    for linked in (True, False):
+        chain = toxicity.train(docs, table, linked=linked)
+        assert (chain.links[1][0] > 1) == linked
+        got = {r["doc_id"]: r["p_toxic"] >= 0.5 for r in toxicity.score(docs, chain).collect()}
+        right[linked] = np.mean([got[k] for k in range(0, 1200, 6)])
+        assert np.mean([got[k] for k in range(1200) if k % 3 and k % 2 == 0]) < 0.05
+    assert right[True] > 0.9 and right[True] > right[False] + 0.2
+
+
+def test_word_models_agree_with_newton():
+    """The accelerated fit against a plain Newton solution of the same objective."""
+    rng = np.random.default_rng(6)
+    dense = rng.random((200, 12)) < 0.3
+    y = (dense[:, 0] | dense[:, 1] & (rng.random(200) < 0.8)).astype(float)
+    row, at = np.nonzero(dense)
+    x = toxicity._Rows(at.astype(np.int32), row.astype(np.int32), 200, 12)
+    w, b = toxicity._words(x, y, np.ones(200, bool), steps=3000, least=0.0)
+    ones, c1, c0 = y.sum(), y @ dense, (1 - y) @ dense
+    scale = np.log((c1 + 1) / (ones + 2)) - np.log((c0 + 1) / (200 - ones + 2))
+    a = np.column_stack((dense * scale, np.ones(200)))
+    best = toxicity._newton(a, y, np.array([1.0] * 12 + [0.0]), np.zeros(13))
+    assert np.allclose(np.append(w, b), np.append(best[:-1] * scale, best[-1]), atol=2e-3)
+    assert np.allclose(x.dot(np.arange(12.0)), dense @ np.arange(12.0)) and np.allclose(x.back(y), y @ dense)
+
+
+def test_toxicity_bounds_and_odd_tables(spark):
+    """Several label rows and texts of an id, a long text, the two bounds, dotted names."""
+    rows = [(k, f"{'grumple' if k % 4 == 0 else 'plain'} word{k}") for k in range(80)]
+    labels = [(k, 1, int(k % 4 == 0)) for k in range(80)]
+    more = [(0, "other text"), (0, rows[0][1]), (200, "grumple " * 300_000)]
+    table = spark.createDataFrame(labels + [(0, 0, 0), (4, None, None)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows + more).withColumn("a.b", F.lit(1)).withColumn("p_toxic", F.lit("x"))
+    held = toxicity.labelled_features(docs, table, ["quality", "toxic"], 50).collect()
+    assert len(held) == 50 and len({r["_id"] for r in held}) == 50
+    assert {r["_y1"] for r in held if r["_id"] == 0} <= {1}
+    chain = toxicity.train(docs, table)
+    got = [(r["doc_id"], r["p_toxic"] >= 0.5) for r in toxicity.score(docs, chain).collect()]
+    assert len(got) == 83 and (200, True) in got and (1, False) in got
+    assert toxicity.score(docs, chain, carry=("doc_id", "a.b")).columns == ["doc_id", "a.b", "p_low_quality", "p_toxic"]
+    few = toxicity.train(docs, table, max_entries=40)  # five rows or so
+    assert np.isfinite(few.table).all()
 
 
 PERSONAL = [
@@ -226,6 +277,34 @@ def test_long_secrets_are_whole(spark):
     assert set(masked) == {"set [secret] and go"}
 
 
+def test_the_classifier_admits_secrets_and_leaves_look_alikes(spark):
+    """Planted secrets in many forms, none of a base kind, beside assignments that only
+    look like them; the count of admitted spans per kind."""
+    rng = np.random.default_rng(8)
+    hexa = lambda n: "".join(rng.choice(list("0123456789abcdef"), n - 1)) + "a1"[n % 2]
+    mixed = lambda n: "".join(rng.choice(list("ABCDEFabcdefXYZxyz0123456789"), n - 2)) + "q7"
+    secret = [lambda: f'token = "{hexa(40)}"', lambda: f"password={mixed(20)}", lambda: f"api_key : '{mixed(32)}'", lambda: f'"client_secret": "{mixed(24)}"', lambda: f"access_key => {mixed(20)}"]
+    other = [lambda: f"commit = {hexa(40)}", lambda: f"sha256: {hexa(64)}", lambda: "note: important", lambda: "https://example.com/a1b2c3d4e5f6", lambda: "date = 2024-01-02T03:04:05", lambda: "path = /usr/lib/x86_64", lambda: f"total = {rng.integers(10**12, 10**13)}", lambda: "call f(x)=function(a1,b2)"]
+    rows, planted = [], {}
+    for k in range(300):
+        body = (secret[k % 5] if k % 2 else other[k // 2 % 8])()
+        rows.append((k, f"some words here {body} and more words"))
+        planted[k] = k % 2 == 1
+    rows += [(400 + k, f"mail person{k}@example.com or +1 (555) 555-{1000 + k}") for k in range(50)]
+    found = Counter()
+    hit = Counter()
+    for r in pii.find_personal_data(frame(spark, rows)).collect():
+        kinds = [s.split(":")[0] for s in r["spans"].split(",") if s]
+        found.update(kinds)
+        if r["doc_id"] in planted:
+            hit[planted[r["doc_id"]], "secret" in kinds] += 1
+    assert hit[True, True] >= 0.9 * 150 and hit[False, True] == 0
+    assert found["email"] == 50 and found["phone"] == 50 and found["secret"] == hit[True, True]
+    # and the text around them is kept, with the quotes
+    masked = {r["doc_id"]: r["text"] for r in pii.redact_personal_data(frame(spark, rows)).collect()}
+    assert masked[5] == 'some words here [secret]" and more words' and masked[0] == rows[0][1]
+
+
 def test_no_python_on_the_native_path(spark):
     plan = pii.find_personal_data(frame(spark, PERSONAL))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

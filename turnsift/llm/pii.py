@@ -33,20 +33,35 @@ from .common import keyed, scratch
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "number")
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+# between a name and its value: quotes, blanks and a sign, as in  token = "..."
+_SET = r"[\"']?[\x20\t]*+[=:]{1,2}>?[\x20\t]*+[\"']?"
 #: kind: (what a text must hold, pattern)
 PATTERNS = {
     "email": (r"@[A-Za-z0-9-]++\.", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     "ip": (r"[0-9]\.[0-9]++\.[0-9]", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": (r"[0-9](?:[\x20-]?[0-9]){13}", r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    "secret": (r"[A-Za-z_][=:][\x20]?[^\s]{8}", r"(?:\G|(?<![A-Za-z0-9_]))[A-Za-z_][A-Za-z0-9_]{2,}+[=:]\x20?[^\s,;\"']{8,}+"),
+    "secret": (rf"[A-Za-z0-9_]{_SET}[^\s,;\"']{{8}}", rf"(?:\G|(?<![A-Za-z0-9_]))[A-Za-z_][A-Za-z0-9_]{{2,}}+{_SET}[^\s,;\"']{{8,}}+"),
     "number": (r"[0-9][)]?[\x20.-][0-9]{2,}[\x20.-][0-9]{4}", r"(?<![0-9A-Za-z+.-])[(]?[0-9]{3}[)]?[\x20.-]{1,2}[0-9]{2,3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"),
 }
 # Gazetteers and cues: fixed lists.
-TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "it", "nl", "eu")
-SECRET_NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access_key", "auth", "credential", "private_key")
-CUES = ("mail", "contact", "tel", "phone", "call", "fax", "mobile", "address", "card", "visa", "login", "user", "host", "ssn", "password", "secret", "account")
-COUNTER_CUES = ("version", "release", "isbn", "issn", "section", "chapter", "page", "figure", "price", "total", "http", "serial")
+TOP_DOMAINS = (
+    "com org net edu gov mil int info biz name pro io ai app dev cloud online site shop tech "
+    "de fr es uk it nl eu at ch be pt pl cz dk se no fi ie ru ua gr tr il in cn jp kr tw hk sg au nz br mx ar cl co za ca us"
+).split()
+SECRET_NAMES = (
+    "password passwd passwort passphrase pwd pass secret token apikey api_key access_key secret_key signing_key encryption_key "
+    "auth bearer credential private_key session_key session_id cookie jwt otp pin contrasena mot_de_passe clave geheim"
+).split()
+PUBLIC_NAMES = (
+    "http https ftp url uri href src link path file dir time date day year note see version release revision rev commit "
+    "sha sha1 sha256 sha512 md5 crc checksum digest etag hash build branch tag uuid guid isbn issn doi title color colour width height"
+).split()
+CUES = (
+    "mail contact kontakt contacto tel phone call fax mobile handy anruf address adresse direccion card carte karte tarjeta visa "
+    "mastercard amex iban login user host server ssn password passwort secret account konto compte cuenta customer kunde client reach"
+).split()
+COUNTER_CUES = "version release isbn issn section chapter kapitel page seite figure table price preis precio total sum http serial commit revision checksum example".split()
 LABELERS = ("strict", "gazetteer", "context", "shape")
 EM_ROUNDS, FIT_ROUNDS = 50, 400
 
@@ -104,22 +119,27 @@ def candidates(docs: DataFrame) -> DataFrame:
     kind = lambda k: F.col("ord") == KINDS.index(k)
     body, before, n = F.col("body"), F.lower("before"), F.col("n_digits")
     # chained when(): a check runs on rows of its own kind only
+    public = rf"^(?:.*_)?(?:{'|'.join(PUBLIC_NAMES)})$"
     passes = F.when(kind("email"), True).when(kind("ip"), body.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")).when(kind("phone"), n.between(10, 15))
     passes = passes.when(kind("card"), F.when(n.between(14, 19), luhn(F.col("digits"))).otherwise(False)).otherwise(False)
-    value = F.regexp_replace(F.regexp_extract("body", r"[=:]\x20?(.*)$", 1), r"\s", "")
-    name = F.lower(F.regexp_extract("body", r"^([A-Za-z0-9_]+)[=:]", 1))
+    value = F.regexp_extract("body", rf"^[A-Za-z0-9_]+{_SET}(.*)$", 1)
+    name = F.lower(F.regexp_extract("body", r"^([A-Za-z0-9_]+)", 1))
+    drawn = r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_.~=-]{16,}$"  # letters and digits mixed, no words
+    plain = r"^[A-Za-z.]+$|^[0-9.:,T/Z+-]+$|^//|^[a-z]+://|^[./~][A-Za-z0-9_./-]*$"
     strict = _vote(
-        F.when(kind("secret"), value.rlike("^[0-9a-f]{12,}$|^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_=-]{16,}$")).when(kind("number"), body.rlike(r"^[(]?[2-9][0-9]{2}[)]?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$")).otherwise(passes),
-        F.when(kind("secret"), value.rlike("^[A-Za-z]+$|^//")).when(kind("number"), F.lit(False)).otherwise(~passes),
+        F.when(kind("secret"), value.rlike(drawn) & ~value.rlike(plain)).when(kind("number"), body.rlike(r"^[(]?[2-9][0-9]{2}[)]?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$")).otherwise(passes),
+        F.when(kind("secret"), value.rlike(plain)).when(kind("number"), F.lit(False)).otherwise(~passes),
     )
     gazetteer = _vote(
-        F.when(kind("email"), body.rlike(rf"(?i)\.(?:{'|'.join(TOP_DOMAINS)})$")).when(kind("card"), F.col("digits").rlike("^(?:4|5[1-5]|3[47]|6011|65|2[2-7])")).when(kind("phone"), F.col("digits").rlike("^(?:1|7|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])")).when(kind("secret"), _any(name, SECRET_NAMES)).when(kind("ip"), ~F.col("digits").rlike("^0+$")),
-        F.when(kind("card"), F.col("digits").rlike("^[09]")).when(kind("secret"), _any(name, ("http", "https", "time", "date", "note", "see"))),
+        F.when(kind("email"), body.rlike(rf"(?i)\.(?:{'|'.join(TOP_DOMAINS)})$")).when(kind("card"), F.col("digits").rlike("^(?:4|5[1-5]|3[47]|6011|65|2[2-7])")).when(kind("phone"), F.col("digits").rlike("^(?:1|7|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])")).when(kind("secret"), _any(name, SECRET_NAMES) & ~name.rlike(public)).when(kind("ip"), ~F.col("digits").rlike("^0+$")),
+        F.when(kind("card"), F.col("digits").rlike("^[09]")).when(kind("secret"), name.rlike(public)),
     )
-    context = _vote(_any(before, CUES) | kind("secret") & _any(name, SECRET_NAMES), _any(before, COUNTER_CUES))
+    # a secret's own name stands for its context
+    near = F.when(kind("secret"), F.concat_ws(" ", before, name)).otherwise(before)
+    context = _vote(_any(near, (*CUES, "token", "key")), _any(near, COUNTER_CUES))
     shape = _vote(
-        F.when(kind("secret"), F.length(value).between(12, 64) & value.rlike("[0-9]")).when(n >= 7, ~F.col("digits").rlike(r"^([0-9])\1+$")),
-        F.when(kind("ip") | kind("number"), F.col("after").rlike("^[.][0-9]") | F.col("before").rlike("[0-9][.-]$")).when(n > 3, F.col("digits").rlike(r"^([0-9])\1+$")),
+        F.when(kind("secret"), (F.length(value) >= 12) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")).when(n >= 7, ~F.col("digits").rlike(r"^([0-9])\1+$")),
+        F.when(kind("secret"), value.rlike("[(){}<>]|^[0-9.]+$")).when(kind("ip") | kind("number"), F.col("after").rlike("^[.][0-9]") | F.col("before").rlike("[0-9][.-]$")).when(n > 3, F.col("digits").rlike(r"^([0-9])\1+$")),
     )
     size = F.least(F.floor(F.length("body") / 8), F.lit(5)).cast("int")
     share = F.floor(4 * n / F.length("body")).cast("int")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import LOWER, Rolling, column, scratch, small_batches, text_slices, words
+from .common import LOWER, SMALL_SLICE, Rolling, column, scratch, small_batches, text_slices, words
 from .decontaminate import SEPARATOR
 
 BITS, MIN_SEEN, FOLDS = 18, 3, 5
@@ -238,7 +238,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, columns: list[str], ma
 
     def task(batches):
         for batch in batches:
-            for rows, data, off in text_slices(batch, "_text"):
+            for rows, data, off in text_slices(batch, "_text", SMALL_SLICE):
                 part = batch.slice(rows.start, len(off) - 1)
                 found = list(features(data, off))
                 cells = [pa.array([len(f) for f in found], pa.int32()), pa.array([f.tobytes() for f in found], pa.binary())]
@@ -283,7 +283,7 @@ def score(docs: DataFrame, chain: Chain, carry: tuple[str, ...] = ("doc_id",)) -
     def task(batches):
         model = held.value
         for batch in batches:
-            for part, data, off in text_slices(batch, "_text"):
+            for part, data, off in text_slices(batch, "_text", SMALL_SLICE):
                 sums = np.array([model.table[f].sum(axis=0, dtype=np.float64) for f in features(data, off)])
                 p = model.finish(sums.reshape(len(off) - 1, -1))
                 same = batch.slice(part.start, len(off) - 1)
