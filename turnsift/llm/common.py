@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
-SLICE_BYTES = 2_000_000
+SLICE_BYTES, SMALL_SLICE = 2_000_000, 500_000
 _local_dir: list[str] = []
 
 
@@ -148,22 +148,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hash modulo 2^64 over any range of a sequence, from one running sum."""
+    """Polynomial hash modulo 2^64 over any range of a sequence, from one running sum.
+    The families differ in their byte tables; the powers are one pair of arrays for all of
+    a worker's families."""
+
+    P = 0x2545F4914F6CDD1D & ~7 | 5
+    up = down = np.ones(0, np.uint64)
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(0, 2**64, 256, dtype=np.uint64)
-        self.p = int(rng.integers(0, 2**61, dtype=np.uint64)) * 8 + 5
-        self.up = np.ones(0, np.uint64)
-        self.down = self.up
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up), 1024)
-            for name, base in (("up", self.p), ("down", pow(self.p, -1, 2**64))):
+        self.table = np.random.default_rng(seed).integers(0, 2**64, 256, dtype=np.uint64)
+
+    @staticmethod
+    def _powers(n: int) -> None:
+        if len(Rolling.up) < n:
+            n = max(n + n // 4, 1024)
+            for name, base in (("up", Rolling.P), ("down", pow(Rolling.P, -1, 2**64))):
                 a = np.full(n, base, np.uint64)
                 a[0] = 1
-                setattr(self, name, np.multiply.accumulate(a))
+                setattr(Rolling, name, np.multiply.accumulate(a))
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Running sums, one longer than ``values`` (bytes go through the table)."""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, cover, mix, small_batches, text_slices, words
+from .common import LOWER, SMALL_SLICE, Rolling, cover, mix, small_batches, text_slices, words
 
 MAX_PATTERNS = 500_000
 BITS = 20
@@ -130,7 +130,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry
     def task(searchers):
         def run(batches):
             for batch in batches:
-                for part, raw, off in text_slices(batch, "_text"):
+                for part, raw, off in text_slices(batch, "_text", SMALL_SLICE):
                     data, starts, ends, first, h = _split(raw, off)
                     data = None if not len(starts) else data.tobytes()
                     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NULL_ID, Rolling, keyed, mix, pack, scratch, text_bytes, text_slices, unpack, words
+from .common import LOWER, NULL_ID, SMALL_SLICE, Rolling, keyed, mix, pack, scratch, text_bytes, text_slices, unpack, words
 from .components import components
 
 _W, _S = Rolling(31), Rolling(32)
@@ -86,7 +86,7 @@ def _order(source: DataFrame, k: int) -> tuple:
 
         count = np.zeros(1 << ORDER_BITS, np.int64)
         for batch in batches:
-            for _, data, off in text_slices(batch, "_text"):
+            for _, data, off in text_slices(batch, "_text", SMALL_SLICE):
                 rows = [r for r in shingle_rows(data, off, k) if len(r)]
                 if rows:
                     count += np.bincount((np.concatenate(rows) >> shift).astype(np.int64), minlength=1 << ORDER_BITS)
@@ -201,7 +201,7 @@ def _verified(pairs: DataFrame, bits: DataFrame, source: DataFrame, k: int, num:
 
     def sets(batches):
         for batch in batches:
-            for rows, data, off in text_slices(batch, "_text"):
+            for rows, data, off in text_slices(batch, "_text", SMALL_SLICE):
                 s = [np.unique(x).tobytes() for x in shingle_rows(data, off, k)]
                 yield pa.RecordBatch.from_arrays([batch.column("_did").slice(rows.start, len(s)), pa.array(s, pa.binary())], names=["did", "s"])
 
@@ -283,7 +283,7 @@ def link_documents(docs: DataFrame, words: int = 3, num: int = 90, den: int = 10
 
     def sign(batches):
         for batch in batches:
-            for rows, data, off in text_slices(batch, "_text"):
+            for rows, data, off in text_slices(batch, "_text", SMALL_SLICE):
                 out = {f.name: [] for f in _SIG}
                 for r in shingle_rows(data, off, k):
                     s = np.unique(r)

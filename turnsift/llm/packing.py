@@ -136,7 +136,7 @@ class Encoder:
     """Token ids as little-endian 32-bit bytes.  Chunks that start at a single space are
     independent under the byte-level pattern, so each distinct chunk is encoded once."""
 
-    MOST = 300_000
+    MOST = 100_000
 
     def __init__(self, tokenizer: str, ranks: str | None, pattern: str | None):
         from tokenizers import Tokenizer
