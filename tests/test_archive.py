@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from turnsift import cli
 from turnsift.audit.detect import findings
 from turnsift.operators.filters import Filters
+from turnsift.plans import export
 from turnsift.plans import search as plan
 from turnsift.plans.index import build_index
 from turnsift.sources import store
@@ -137,4 +138,21 @@ def test_command_line(spark, index, tmp_path):
     assert run(spark, "--index", path, "show", "zz")[0] == 1
     code, out, _ = run(spark, "--index", path, "stats", "--json")
     assert code == 0 and '"sessions": 8' in out
+    code, out, err = run(spark, "--index", path, "stats")
+    assert code == 0 and " to 20" in out and not err
+    code, _, err = run(spark, "--index", path, "search", "importer")
+    assert code == 0 and "matching turns" in err and "match " in err and "rank " in err
     assert run(spark, "--index", path, "audit")[0] == 0
+    leak = tmp_path / "leak.txt"
+    leak.write_text("mail a@example.com")
+    assert run(spark, "audit", str(leak))[0] == 1 and run(spark, "audit", str(leak), "--expect-findings", "1")[0] == 0
+    assert run(spark, "audit", str(leak), "--nul-only")[0] == 0
+
+
+def test_export_waits_for_the_audit(spark, index, tmp_path, monkeypatch):
+    path, turns, sessions, _ = index["planted"]
+    assert run(spark, "--index", path, "export", f"{tmp_path}/corpus")[0] == 0
+    rows = spark.read.json(f"{tmp_path}/corpus")
+    assert rows.count() == turns.count() and "turn_id" not in rows.columns
+    monkeypatch.setattr(export, "redact_text", lambda c, account=None: c)
+    assert export.export_corpus(turns, sessions, f"{tmp_path}/raw") > 0 and not (tmp_path / "raw").exists()

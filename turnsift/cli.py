@@ -1,4 +1,4 @@
-"""Command line: index, search, sessions, show, stats, audit.
+"""Command line: index, search, sessions, show, stats, audit, export.
 
 Exit codes: 0 hits; 1 none, or no such session; 2 a bad date; 3 the redactor fails its
 own check; 4 an index inside the repository; 5 no index, or one of another schema.
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import render
 from .functions import excerpt
-from .functions.redact import local_account, redact, redact_udf, self_check
+from .functions.redact import local_account, redact_strings, redact_text, self_check
 from .operators import context, stats
 from .operators.filters import Filters, parse_when
 from .plans import search as plan
@@ -29,8 +29,8 @@ def _spark() -> SparkSession:
     return SparkSession.builder.appName("turnsift").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
 
 
-def _guard() -> None:
-    if not self_check(local_account()):
+def _guard(spark) -> None:
+    if not self_check(spark, local_account()):
         raise StoreError("the redactor fails its own check; nothing is shown", 3)
 
 
@@ -45,142 +45,189 @@ def _query(a) -> plan.Query:
     return plan.Query(a.query, now, f, a.limit, a.scan, account=local_account())
 
 
-def _footer(n: int, unit: str, began: float) -> None:
-    print(f"{n} shown as {unit}  ({time.time() - began:.1f} s)", file=sys.stderr)
+class _Clock:
+    """Seconds since the last lap."""
+
+    def __init__(self):
+        self.at, self.laps = time.time(), {}
+
+    def lap(self, name: str) -> None:
+        now = time.time()
+        self.laps[name], self.at = now - self.at, now
+
+
+def _footer(found: int, shown: int, unit: str, clock: _Clock) -> None:
+    times = ", ".join(f"{k} {1000 * v:.0f} ms" for k, v in clock.laps.items())
+    print(f"{found} matching turns, {shown} shown as {unit}  ({times})", file=sys.stderr)
 
 
 def cmd_index(spark, a) -> int:
     meta, sources = build_index(spark, a.index, a.archive, a.source or ())
-    for s in sources:
-        if not s.exists:
-            print(f"NOTE: source {s.name} is missing: {redact(s.root, local_account())}", file=sys.stderr)
+    missing = [s for s in sources if not s.exists]
+    for s, root in zip(missing, redact_strings(spark, [s.root for s in missing], local_account()) if missing else [], strict=True):
+        print(f"NOTE: source {s.name} is missing: {root}", file=sys.stderr)
     if not a.quiet:
         print("  ".join(f"{k}={v}" for k, v in sorted(meta.items())))
     return 0
 
 
 def cmd_search(spark, a) -> int:
-    _guard()
-    q, began = _query(a), time.time()
+    _guard(spark)
+    q, clock = _query(a), _Clock()
     turns, sessions, _ = store.read(spark, a.index)
-    hits = plan.turn_hits(turns, sessions, q).cache()
+    found = plan.scored(turns, sessions, q).cache()
+    n = found.count()
+    clock.lap("match")
+    hits = plan.top_of(found, q).cache()
     rows = plan.shown(hits, q).collect()
+    clock.lap("rank")
+    near: dict = {}
+    if a.context and rows and not a.json:
+        for c in plan.around(hits, turns, q, a.context).collect():
+            near.setdefault(c["hit_id"], []).append(c)
+        clock.lap("context")
     if a.json:
         print(render.dumps([render.turn_json(r) for r in rows]))
     else:
-        near: dict = {}
-        if a.context and rows:
-            for c in plan.around(hits, turns, q, a.context).collect():
-                near.setdefault(c["hit_id"], []).append(c)
         for r in rows:
             print(render.turn_block(r, near.get(r["turn_id"], ()), a.explain), end="\n\n")
-        _footer(len(rows), "turns", began)
+        _footer(n, len(rows), "turns", clock)
     hits.unpersist()
+    found.unpersist()
     return 0 if rows else 1
 
 
 def cmd_sessions(spark, a) -> int:
-    _guard()
-    q, began = _query(a), time.time()
+    _guard(spark)
+    q, clock = _query(a), _Clock()
     turns, sessions, _ = store.read(spark, a.index)
+    found = plan.scored(turns, sessions, q).cache()
+    n = found.count()
+    clock.lap("match")
     last = F.when(F.col("last_ts") > 0, F.col("last_ts")).otherwise(F.col("ts"))
-    rows = plan.shown(plan.session_hits(turns, sessions, q), q).withColumn("last_when", excerpt.when(last)).collect()
+    rows = plan.shown(plan.sessions_of(found, q), q).withColumn("last_when", excerpt.when(last)).collect()
+    clock.lap("rank")
     if a.json:
         print(render.dumps([render.session_json(r) for r in rows]))
     else:
         for r in rows:
             print(render.session_block(r, a.explain), end="\n\n")
-        _footer(len(rows), "sessions", began)
+        _footer(n, len(rows), "sessions", clock)
+    found.unpersist()
     return 0 if rows else 1
 
 
 def cmd_show(spark, a) -> int:
-    _guard()
+    _guard(spark)
     turns, sessions, _ = store.read(spark, a.index)
-    account = local_account()
-    safe = lambda c: redact_udf(c, account)["text"]
-    head = context.find_session(sessions, a.session).withColumns({"project": safe(F.col("project")), "title": safe(F.col("title")), "when": excerpt.when(F.col("last_ts"))}).collect()
+    safe = lambda c: redact_text(c, local_account())
+    head = context.find_session(sessions, a.session)
+    head = head.select("session_id", "source", safe(F.col("project")).alias("project"), safe(F.col("title")).alias("title"), excerpt.when(F.col("last_ts")).alias("when")).collect()
     if not head:
         print(f"no session starting {a.session!r} in the index", file=sys.stderr)
         return 1
-    r = head[0]
-    print(f"session {r['session_id']}  {r['source']}  {r['project']}  {r['when']}")
-    if r["title"]:
-        print(f"title: {r['title']}")
-    window = context.show_window(turns, sessions, a.session, a.seq, a.span).withColumns({"line": safe(excerpt.context_line(F.col("text"), a.width)), "tool": safe(F.col("tool"))})
-    for t in window.collect():
-        print(f"\n{t['seq']:>4} [{render.label(t['kind'])}{'/' + t['tool'] if t['tool'] else ''}]\n     {t['line']}")
+    print(f"session {'  '.join(str(head[0][c]) for c in ('session_id', 'source', 'project', 'when'))}")
+    if head[0]["title"]:
+        print(f"title: {head[0]['title']}")
+    window = context.show_window(turns, sessions, a.session, a.seq, a.span)
+    for t in window.withColumns({"line": safe(excerpt.context_line(F.col("text"), a.width)), "tool": safe(F.col("tool"))}).collect():
+        name = "/".join(filter(None, (render.label(t["kind"]), t["tool"])))
+        print(f"\n{t['seq']:>4} [{name}]\n     {t['line']}")
     return 0
 
 
+#: What stats prints: a heading, the field it comes from, how to write it.
+STATS = (
+    ("index", "path", "{}"), ("size", "size_mb", "{:.1f} MB"), ("sessions", "sessions", "{}"), ("turns", "turns", "{}"), ("projects", "projects", "{}"), ("span", "span", "{}"),
+    ("built in", "built", "{}"), ("by source", "by_source", "{}"), ("by kind", "by_kind", "{}"), ("top tools", "by_tool", "{}"), ("skipped", "skipped", "{}"),
+)
+
+
 def cmd_stats(spark, a) -> int:
+    _guard(spark)
     turns, sessions, meta = store.read(spark, a.index)
-    account = local_account()
-    t = stats.totals(turns, sessions).first().asDict()
-    pairs = {"by_source": stats.by_source(sessions), "by_kind": stats.by_kind(turns), "by_tool": stats.top_tools(turns)}
-    found = {k: {redact(r[0], account): r[1] for r in df.collect()} for k, df in pairs.items()}
+    groups = {"by_source": stats.by_source(sessions), "by_kind": stats.by_kind(turns), "by_tool": stats.top_tools(turns)}
+    parts = [df.select(F.lit(k).alias("part"), F.col(df.columns[0]).alias("name"), F.col(df.columns[1]).alias("n")) for k, df in groups.items()]
+    names = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("name", redact_text(F.col("name"), local_account()))
+    found: dict = {k: {} for k in groups}
+    for r in names.orderBy("part", F.desc("n"), "name").collect():
+        found[r["part"]][r["name"]] = r["n"]
+    day = lambda c: F.substring(excerpt.when(F.col(c)), 1, 10)
+    t = stats.totals(turns, sessions).withColumn("span", F.concat_ws(" to ", day("first_ts"), day("last_ts"))).first().asDict()
     size = store.size_bytes(spark, a.index)
-    print(f"index         {redact(a.index, account)}\nsize          {size / 1e6:.1f} MB")
-    for k in ("sessions", "turns", "projects"):
-        print(f"{k:<14}{t[k]}")
-    print(f"built in      {meta.get('build_seconds')}s from {meta.get('files')} files")
-    for title, k, most in (("by source", "by_source", None), ("by kind", "by_kind", None), ("top tools", "by_tool", 10)):
-        print(f"{title:<14}" + ", ".join(f"{n}={c}" for n, c in list(found[k].items())[:most]))
-    print(f"skipped       {meta.get('attachment', 0)} attachments, {meta.get('encrypted', 0)} encrypted blobs, {meta.get('bad_json', 0)} unparseable lines")
     if a.json:
-        print(render.dumps({"size_bytes": size, **t, **found}))
+        span = t.pop("span")
+        print(render.dumps({"size_bytes": size, "span": span, **t, **found}))
+        return 0
+    listed = {k: ", ".join(f"{n}={c}" for n, c in list(v.items())[: 10 if k == "by_tool" else None]) for k, v in found.items()}
+    skipped = ", ".join(f"{meta.get(k, 0)} {what}" for k, what in (("attachment", "attachments"), ("encrypted", "encrypted blobs"), ("bad_json", "unparseable lines")))
+    fields = {**t, **listed, "path": redact_strings(spark, [a.index], local_account())[0], "size_mb": size / 1e6, "built": f"{meta.get('build_seconds')}s from {meta.get('files')} files", "skipped": skipped}
+    for heading, field, form in STATS:
+        print(f"{heading:<14}{form.format(fields[field])}")
     return 0
 
 
 def cmd_audit(spark, a) -> int:
-    from .audit.detect import findings, shorten
-
-    turns, _, _ = store.read(spark, a.index)
-    rows = findings(plan.audit_ready(turns, local_account()), "turn_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.first("snippet").alias("x")).collect()
+    """LEK33.  Audits the index as it would be shown; files named, or those below folders;
+    ``-`` is what comes on standard input."""
+    from .audit import detect
+
+    if not a.path:
+        turns, _, _ = store.read(spark, a.index)
+        found = detect.findings(plan.audit_ready(turns, local_account()), "turn_id")
+    elif a.path == ["-"]:
+        files = spark.createDataFrame([("standard input", bytearray(sys.stdin.buffer.read()))], "path string, content binary")
+        found = detect.scan_files(files, not a.nul_only, honour=False)
+    else:
+        found = detect.scan_files(detect.read_files(spark, a.path, a.glob), not a.nul_only)
+    rows = found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("snippet").alias("x")).select("label", "n", detect.shorten(F.col("x")).alias("x")).orderBy(F.desc("n"), "label").collect()
     for r in rows:
-        print(f"{r['n']:>6}  {r['label']}  {shorten(r['x'])}")
+        print(f"{r['n']:>6}  {r['label']}  {r['x']}")
     total = sum(r["n"] for r in rows)
     print(f"{total} findings")
     return 0 if total == a.expect_findings else 1
 
 
+def cmd_export(spark, a) -> int:
+    """SNK12, SNK13.  Redacted turns as JSON lines, written only if an audit finds nothing."""
+    from .plans.export import export_corpus
+
+    _guard(spark)
+    turns, sessions, _ = store.read(spark, a.index)
+    n = export_corpus(turns, sessions, a.out, local_account())
+    if n:
+        print(f"{n} findings after redaction; nothing was written", file=sys.stderr)
+    return 1 if n else 0
+
+
+_FLAG, _MANY = {"action": "store_true"}, {"action": "append"}
+_ASKED = {
+    "query": {}, "--kind": _MANY | {"choices": KINDS}, "--tool": _MANY, "--source": _MANY | {"choices": SOURCES}, "--project": {}, "--session": {}, "--since": {}, "--until": {},
+    "--limit": {"type": int, "default": DEFAULT_LIMIT}, "--scan": {"type": int, "default": DEFAULT_SCAN}, "--context": {"type": int, "default": 1},
+    "--explain": _FLAG, "--json": _FLAG, "--include-meta": _FLAG, "--sidechain": {"choices": ["only", "never", "both"], "default": "both"},
+}
+#: command: (what runs it, its arguments)
+COMMANDS = {
+    "index": (cmd_index, {"--archive": {}, "--source": _MANY | {"choices": SOURCES}, "--quiet": _FLAG}),
+    "search": (cmd_search, _ASKED),
+    "sessions": (cmd_sessions, _ASKED),
+    "show": (cmd_show, {"session": {}, "--seq": {"type": int, "default": 0}, "--span": {"type": int, "default": 5}, "--width": {"type": int, "default": 400}}),
+    "stats": (cmd_stats, {"--json": _FLAG}),
+    "audit": (cmd_audit, {"path": {"nargs": "*"}, "--glob": {"default": "*"}, "--nul-only": _FLAG, "--expect-findings": {"type": int, "default": 0}}),
+    "export": (cmd_export, {"out": {}}),
+}
+
+
 def parser() -> argparse.ArgumentParser:
     ap = argparse.ArgumentParser(prog="turnsift", description="Search, rank and safely show transcripts.")
     ap.add_argument("--index", default=store.default_path())
     ap.add_argument("--now", type=float, help="epoch seconds to count ages from")
     sub = ap.add_subparsers(dest="cmd", required=True)
-    p = sub.add_parser("index")
-    p.add_argument("--archive")
-    p.add_argument("--source", action="append", choices=SOURCES)
-    p.add_argument("--quiet", action="store_true")
-    p.set_defaults(fn=cmd_index)
-    for name, fn in (("search", cmd_search), ("sessions", cmd_sessions)):
+    for name, (run, arguments) in COMMANDS.items():
         p = sub.add_parser(name)
-        p.add_argument("query")
-        p.add_argument("--kind", action="append", choices=KINDS)
-        p.add_argument("--tool", action="append")
-        p.add_argument("--source", action="append", choices=SOURCES)
-        for option in ("--project", "--session", "--since", "--until"):
-            p.add_argument(option)
-        p.add_argument("--limit", type=int, default=DEFAULT_LIMIT)
-        p.add_argument("--scan", type=int, default=DEFAULT_SCAN)
-        p.add_argument("--context", type=int, default=1)
-        for option in ("--explain", "--json", "--include-meta"):
-            p.add_argument(option, action="store_true")
-        p.add_argument("--sidechain", choices=["only", "never", "both"], default="both")
-        p.set_defaults(fn=fn)
-    p = sub.add_parser("show")
-    p.add_argument("session")
-    p.add_argument("--seq", type=int, default=0)
-    p.add_argument("--span", type=int, default=5)
-    p.add_argument("--width", type=int, default=400)
-    p.set_defaults(fn=cmd_show)
-    p = sub.add_parser("stats")
-    p.add_argument("--json", action="store_true")
-    p.set_defaults(fn=cmd_stats)
-    p = sub.add_parser("audit")
-    p.add_argument("--expect-findings", type=int, default=0)
-    p.set_defaults(fn=cmd_audit)
+        for argument, options in arguments.items():
+            p.add_argument(argument, **options)
+        p.set_defaults(fn=run)
     return ap
 
 

@@ -41,13 +41,17 @@ def top_turns(scored: DataFrame, limit: int) -> DataFrame:
     return scored.orderBy(*_best_first()).limit(limit)
 
 
+_TEXTS = ("text", "target", "text_tok", "target_tok")
+
+
 def rank_sessions(scored: DataFrame) -> DataFrame:
     """The best turn of each (source, session_id), its hits, extra for repeats, score.
 
-    A maximum over a struct: partial aggregation before the shuffle, so that a session
-    with very many hits is one row for each task.
+    A maximum over a struct of short columns: partial aggregation before the shuffle, so
+    that a session with very many hits is one row for each task.  Texts stay behind;
+    ``with_texts`` fetches those of the few rows that are shown.
     """
-    rest = [c for c in scored.columns if c not in ("source", "session_id", "score", "ts", "seq", "turn_id")]
+    rest = [c for c in scored.columns if c not in ("source", "session_id", "score", "ts", "seq", "turn_id", *_TEXTS)]
     key = F.struct("score", "ts", (-F.col("seq")).alias("nseq"), (-F.col("turn_id")).alias("nid"), F.struct(*rest).alias("row"))
     best = scored.groupBy("source", "session_id").agg(F.max(key).alias("b"), F.count(F.lit(1)).alias("hits"))
     extra = F.least(F.lit(MOST_EXTRA), F.col("hits") - 1).cast("int")
@@ -59,6 +63,11 @@ def top_sessions(ranked: DataFrame, limit: int) -> DataFrame:
     return ranked.orderBy(F.desc("score"), F.desc("last_ts"), F.asc("session_id"), F.asc("source")).limit(limit)
 
 
+def with_texts(top: DataFrame, turns: DataFrame, limit: int) -> DataFrame:
+    """text and target of at most ``limit`` ranked rows, in their order."""
+    return top_sessions(turns.select("turn_id", "text", "target").join(F.broadcast(top), "turn_id"), limit)
+
+
 def rank_position(scored: DataFrame) -> DataFrame:
     """WIN7, on what is shown: a global order is one task's work."""
     return scored.withColumn("rank", F.row_number().over(Window.orderBy(*_best_first())))

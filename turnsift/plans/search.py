@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import excerpt
-from ..functions.redact import redact_udf
+from ..functions.redact import redact_text as _safe
 from ..functions.text import split_query
 from ..operators import context, search
 from ..operators.filters import Filters
@@ -37,16 +37,20 @@ def scored(turns: DataFrame, sessions: DataFrame, q: Query) -> DataFrame:
     return search.score(found, q.terms, q.now)
 
 
-def turn_hits(turns: DataFrame, sessions: DataFrame, q: Query) -> DataFrame:
-    return search.top_turns(scored(turns, sessions, q), q.limit)
+def top_of(found: DataFrame, q: Query) -> DataFrame:
+    return search.top_turns(found, q.limit)
 
 
-def session_hits(turns: DataFrame, sessions: DataFrame, q: Query) -> DataFrame:
-    return search.top_sessions(search.rank_sessions(scored(turns, sessions, q)), q.limit)
+def sessions_of(found: DataFrame, q: Query) -> DataFrame:
+    return search.with_texts(search.top_sessions(search.rank_sessions(found), q.limit), found, q.limit)
+
+
+def turn_hits(turns: DataFrame, sessions: DataFrame, q: Query) -> DataFrame:
+    return top_of(scored(turns, sessions, q), q)
 
 
-def _safe(c, account):
-    return redact_udf(c, account)["text"]
+def session_hits(turns: DataFrame, sessions: DataFrame, q: Query) -> DataFrame:
+    return sessions_of(scored(turns, sessions, q), q)
 
 
 def shown(hits: DataFrame, q: Query) -> DataFrame:
