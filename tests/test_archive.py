@@ -154,5 +154,5 @@ def test_export_waits_for_the_audit(spark, index, tmp_path, monkeypatch):
     assert run(spark, "--index", path, "export", f"{tmp_path}/corpus")[0] == 0
     rows = spark.read.json(f"{tmp_path}/corpus")
     assert rows.count() == turns.count() and "turn_id" not in rows.columns
-    monkeypatch.setattr(export, "redact_text", lambda c, account=None: c)
+    monkeypatch.setattr(export, "redact_fields", lambda df, fields, account=None: df)
     assert export.export_corpus(turns, sessions, f"{tmp_path}/raw") > 0 and not (tmp_path / "raw").exists()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import render
 from .functions import excerpt
-from .functions.redact import local_account, redact_strings, redact_text, self_check
+from .functions.redact import local_account, redact_fields, redact_strings, redact_text, self_check
 from .operators import context, stats
 from .operators.filters import Filters, parse_when
 from .plans import search as plan
@@ -120,9 +120,8 @@ def cmd_sessions(spark, a) -> int:
 def cmd_show(spark, a) -> int:
     _guard(spark)
     turns, sessions, _ = store.read(spark, a.index)
-    safe = lambda c: redact_text(c, local_account())
-    head = context.find_session(sessions, a.session)
-    head = head.select("session_id", "source", safe(F.col("project")).alias("project"), safe(F.col("title")).alias("title"), excerpt.when(F.col("last_ts")).alias("when")).collect()
+    head = context.find_session(sessions, a.session).withColumn("when", excerpt.when(F.col("last_ts")))
+    head = redact_fields(head, {c: F.col(c) for c in ("project", "title")}, local_account()).collect()
     if not head:
         print(f"no session starting {a.session!r} in the index", file=sys.stderr)
         return 1
@@ -130,7 +129,7 @@ def cmd_show(spark, a) -> int:
     if head[0]["title"]:
         print(f"title: {head[0]['title']}")
     window = context.show_window(turns, sessions, a.session, a.seq, a.span)
-    for t in window.withColumns({"line": safe(excerpt.context_line(F.col("text"), a.width)), "tool": safe(F.col("tool"))}).collect():
+    for t in redact_fields(window, {"line": excerpt.context_line(F.col("text"), a.width), "tool": F.col("tool")}, local_account()).collect():
         name = "/".join(filter(None, (render.label(t["kind"]), t["tool"])))
         print(f"\n{t['seq']:>4} [{name}]\n     {t['line']}")
     return 0

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..audit.detect import findings
-from ..functions.redact import redact_text
+from ..functions.redact import redact_fields
 from ..operators.search import with_sessions
 
 _SHOWN = ("text", "target", "tool", "project", "title")
@@ -16,8 +16,8 @@ _PLAIN = ("session_id", "source", "seq", "kind", "ts")
 
 def redacted_corpus(turns: DataFrame, sessions: DataFrame, account: str | None = None) -> DataFrame:
     """One row a turn, with its session's project and title; every free text is redacted."""
-    joined = with_sessions(turns, sessions)
-    return joined.select("turn_id", *_PLAIN, *[redact_text(F.col(c), account).alias(c) for c in _SHOWN])
+    joined = with_sessions(turns, sessions).select("turn_id", *_PLAIN, *_SHOWN)
+    return redact_fields(joined, {c: F.col(c) for c in _SHOWN}, account)
 
 
 def export_corpus(turns: DataFrame, sessions: DataFrame, path: str, account: str | None = None) -> int:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import excerpt
-from ..functions.redact import redact_text as _safe
+from ..functions.redact import redact_fields, redact_text
 from ..functions.text import split_query
 from ..operators import context, search
 from ..operators.filters import Filters
@@ -55,19 +55,21 @@ def session_hits(turns: DataFrame, sessions: DataFrame, q: Query) -> DataFrame:
 
 def shown(hits: DataFrame, q: Query) -> DataFrame:
     """Hits with safe texts: excerpt, and project, target, path, title and tool masked."""
-    whole = _safe(F.col("text"), q.account) if q.redact_first else F.col("text")
+    whole = redact_text(F.col("text"), q.account) if q.redact_first else F.col("text")
     cut = hits.withColumn("excerpt", excerpt.snip_column(whole, q.terms))
     cut = cut.withColumn("target_line", excerpt.context_line(F.col("target"), 100))
     names = [c for c in ("excerpt", "target", "target_line", "project", "path", "title", "tool") if c in cut.columns]
-    return cut.withColumns({c: _safe(F.col(c), q.account) for c in names}).withColumn("when", excerpt.when(F.col("ts"))).withColumn("ago", excerpt.ago(F.col("ts"), q.now))
+    safe = redact_fields(cut, {c: F.col(c) for c in names}, q.account)
+    return safe.withColumn("when", excerpt.when(F.col("ts"))).withColumn("ago", excerpt.ago(F.col("ts"), q.now))
 
 
 def around(hits: DataFrame, turns: DataFrame, q: Query, span: int = 1) -> DataFrame:
     """One join for the context of all hits."""
     near = context.neighbours(hits, turns, span, span, most_hits=q.limit)
-    return near.withColumn("line", _safe(excerpt.context_line(F.col("text")), q.account)).select("hit_id", "seq", "offset", "kind", "line")
+    return redact_fields(near, {"line": excerpt.context_line(F.col("text"))}, q.account).select("hit_id", "seq", "offset", "kind", "line")
 
 
 def audit_ready(turns: DataFrame, account: str | None = None, fields: Sequence[str] = ("text", "target")) -> DataFrame:
     """AGG16: each turn's redacted text and target on lines of their own, for an auditor."""
-    return turns.select("turn_id", F.concat_ws("\n", *[_safe(F.col(f), account) for f in fields]).alias("text"))
+    safe = redact_fields(turns.select("turn_id", *fields), {f: F.col(f) for f in fields}, account)
+    return safe.select("turn_id", F.concat_ws("\n", *fields).alias("text"))
