@@ -14,6 +14,8 @@ so that further columns with any names do no harm.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -42,13 +44,42 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dir[0]}"
 
 
+_written: list[str] = []
+
+
 def scratch(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, lineage cut."""
+    """Write ``df`` to the shared folder and read it back: computed once, lineage cut.
+    ``scratch_scope`` or ``clear_scratch`` removes what was written."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all that this process has written with ``scratch``.  DataFrames made of it
+    can't be read any more: call it when their results are written."""
+    _remove(spark, _written)
+    _written.clear()
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Removes, at its end, what ``scratch`` wrote inside."""
+    held = len(_written)
+    try:
+        yield
+    finally:
+        _remove(spark, _written[held:])
+        del _written[held:]
+
+
 BATCH_BYTES = 4 << 20
 
 
@@ -114,6 +145,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
 
 # ---------------------------------------------------------------- words and hashes
 
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -138,6 +170,52 @@ def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE):
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, off)
 
 
+def word_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, overlap: int = 0, sep: np.ndarray = SPACE):
+    """Like text_slices, with a fourth value, and no slice much over ``limit``: a longer row
+    comes in pieces that end between words, each with the last ``overlap`` words of the
+    piece before.  The fourth value is the number of the row's words before the piece."""
+    for rows, data, off in text_slices(batch, column, limit):
+        if len(off) > 2 or len(data) <= 2 * limit:
+            yield rows, data, off, 0
+            continue
+        a, before, size = 0, 0, limit
+        while True:
+            b = a + size
+            while b < len(data) and not (gap := sep[data[b : b + 65536]]).any():
+                b += len(gap)
+            b = min(b + int(np.argmax(gap)), len(data)) if b < len(data) else len(data)
+            starts = words(data[a:b], np.array([0, b - a]), sep)[0]
+            if b < len(data) and len(starts) <= overlap:
+                size *= 2  # words so long that the piece holds nothing new
+                continue
+            yield rows, data[a:b], np.array([0, b - a]), before
+            if b == len(data):
+                break
+            step = len(starts) - overlap
+            a, before, size = (a + int(starts[step]) if overlap else b), before + step, limit
+
+
+def byte_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, overlap: int = 0):
+    """The same by bytes: (rows, bytes, offsets, bytes of the row before the piece)."""
+    for rows, data, off in text_slices(batch, column, limit):
+        if len(off) > 2 or len(data) <= 2 * limit:
+            yield rows, data, off, 0
+            continue
+        for a in range(0, max(len(data) - overlap, 1), limit):
+            b = min(a + limit + overlap, len(data))
+            yield rows, data[a:b], np.array([0, b - a]), a
+
+
+def white_space_chunks(raw: bytes, size: int = SMALL_SLICE):
+    """A text's words, a list for each stretch of about ``size`` bytes."""
+    a = 0
+    while a < len(raw):
+        end = _GAP.search(raw, a + size) if a + size < len(raw) else None
+        b = end.start() if end else len(raw)
+        yield raw[a:b].split()
+        a = b
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x *= np.uint64(0xBF58476D1CE4E5B9)

@@ -27,8 +27,9 @@ SALT_SLICES = 20_000
 _REMOVED = ("<i4", "<i4")
 
 
-def removed_rows(did: np.ndarray, tid: np.ndarray, pos: np.ndarray) -> list[tuple]:
-    """A row for each document, under a negative bucket, with the runs of its removed windows."""
+def removed_rows(did: np.ndarray, tid: np.ndarray, pos: np.ndarray, buckets: int) -> list[tuple]:
+    """A row for each document, under one of as many negative buckets as there are others,
+    with the runs of its removed windows."""
     if not len(pos):
         return []
     o = np.lexsort((pos, tid, did))
@@ -36,7 +37,7 @@ def removed_rows(did: np.ndarray, tid: np.ndarray, pos: np.ndarray) -> list[tupl
     first, n = runs(pos, did, tid)
     d, t, p = did[first], tid[first], pos[first]
     cut = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]))))
-    return [(-1 - (int(t[a]) & 63), 0, int(d[a]), int(t[a]), pack(p[a:b].astype("<i4"), n[a:b].astype("<i4"))) for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True)]
+    return [(-1 - int(t[a]) % buckets, 0, int(d[a]), int(t[a]), pack(p[a:b].astype("<i4"), n[a:b].astype("<i4"))) for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True)]
 
 
 def record(rows: list[tuple]) -> pa.RecordBatch:
@@ -56,29 +57,38 @@ def find(
     bucket_bytes: int,
     max_salts: int = 1024,
     salt_slices: int = SALT_SLICES,
+    max_bits: int = sketch.MAX_BITS,
 ) -> DataFrame:
-    """docs: as ``keyed``.  emit(batch, sketch, buckets, salts) gives rows; settle(rows of a
-    bucket, last) gives removed rows and, unless last, what is still unsettled."""
+    """docs: as ``keyed``.  anchors(batch) gives (document, hashes) of each slice;
+    emit(batch, repeated, buckets, salts) gives rows, where repeated(document in the batch,
+    hashes) looks hashes up; settle(rows of a bucket, buckets, last) gives removed rows and,
+    unless last, what is still unsettled."""
     total, _ = text_bytes(docs, "_text")
-    held = sketch.build(docs.select("_text"), anchors, sketch.bits_for(total * anchors_per_byte))
     buckets = max(8, total // bucket_bytes)
     salts = min(max_salts, -(-total // (SLICE_BYTES * salt_slices)))
+    bits = sketch.bits_for(total * anchors_per_byte)
+    columns = ["_did", "_tid", "_text"]
+    if bits <= max_bits:
+        held = sketch.build(docs.select("_text"), lambda batch: (h for _, h in anchors(batch)), bits)
+    else:  # a sketch too large to broadcast stays a table, and comes with each text
+        held, columns = None, [*columns, "_repeated"]
+        docs = sketch.with_repeated(docs, anchors, bits)
 
     def second(batches):
         for batch in batches:
-            yield from emit(batch, held, buckets, salts)
+            yield from emit(batch, held.repeated_of if held else sketch.listed(batch), buckets, salts)
 
     # settled rows travel along, under negative buckets, so that one pass makes both kinds
-    rows = docs.select("_did", "_tid", "_text").mapInArrow(second, ROW_SQL)
+    rows = docs.select(*columns).mapInArrow(second, ROW_SQL)
     for last in [False, True] if salts > 1 else [True]:
-        rows = rows.groupBy(*(["bucket"] if last else ["bucket", "salt"])).applyInPandas(_bound(settle, last), ROW_SQL)
+        rows = rows.groupBy(*(["bucket"] if last else ["bucket", "salt"])).applyInPandas(_bound(settle, buckets, last), ROW_SQL)
     out = rows.filter("bucket < 0")
     return out.groupBy(F.col("did").alias("_did"), F.col("tid").alias("_tid")).agg(F.collect_list("payload").alias("_runs"))
 
 
-def _bound(settle: Callable, last: bool) -> Callable:
+def _bound(settle: Callable, buckets: int, last: bool) -> Callable:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf if pdf.bucket.iloc[0] < 0 else settle(pdf, last)
+        return pdf if pdf.bucket.iloc[0] < 0 else settle(pdf, buckets, last)
 
     return one
 

@@ -5,8 +5,11 @@ gram inside it.  Equal windows have equal anchors at equal offsets, so a window
 occurs twice has its anchor at two places at least: the sketch never estimates less
 than the true count, and a window estimated at 1 is unique.  Cells are sent sparsely
 (two bytes each), merged by shard in a tree, and only the bit "2 or more" is broadcast:
-``2 * cells / 8`` bytes, at most 2**MAX_BITS cells a row (64 MB).  Beyond that bound
-more unique windows reach the exact second pass; none is ever lost.
+``2 * cells / 8`` bytes, at most 2**MAX_BITS cells a row (64 MB).
+
+A larger sketch is not broadcast: ``with_repeated`` keeps it as a table of cells, one row
+of them but eight cells for each anchor, merged by Spark's partial aggregation, and sends
+the anchors that it counts at 2 or more back to their texts by joins.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ _SENT_SQL = "pid int, shard int, once binary, twice binary"
 
 
 def bits_for(items: float) -> int:
-    return int(np.clip(np.ceil(np.log2(max(items, 1) * 2)), MIN_BITS, MAX_BITS))
+    return int(max(np.ceil(np.log2(max(items, 1) * 2)), MIN_BITS))
 
 
 def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -113,10 +116,46 @@ def build(source: DataFrame, add, bits: int) -> "Sketch":
     return Sketch(source.sparkSession.sparkContext.broadcast(table.reshape(ROWS, -1).copy()), bits)
 
 
+def with_repeated(docs: DataFrame, anchors, bits: int) -> DataFrame:
+    """docs with _repeated: the packed, sorted anchors of the text that the sketch counts
+    at 2 or more.  anchors(batch) gives (document in the batch, hashes) of each slice."""
+
+    def task(batches):
+        for batch in batches:
+            for d, h in anchors(batch):
+                one, n = np.unique(np.stack((d.astype(np.uint64), h)), axis=1, return_counts=True)
+                at = one[0].astype(np.int64)
+                own = [batch.column(c).take(pa.array(at)) for c in ("_did", "_tid")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(one[1].view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["_did", "_tid", "anchor", "n"])
+
+    cell = F.shiftrightunsigned("anchor", max(64 - bits - 2, 0)).alias("cell")
+    places = scratch(docs.select("_did", "_tid", "_text").mapInArrow(task, "_did long, _tid long, anchor long, n int").select("*", cell), "anchors")
+    twice = places.groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1").select("cell")
+    found = places.join(twice, "cell", "left_semi").groupBy("_did", "_tid").agg(F.collect_set("anchor").alias("_repeated"))
+    return docs.join(found, ["_did", "_tid"])
+
+
+def listed(batch: pa.RecordBatch):
+    """The lookup of a batch that ``with_repeated`` made."""
+    cells = batch.column("_repeated")
+
+    def look_up(document: np.ndarray, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), bool)
+        for d in np.unique(document).tolist():
+            own = document == d
+            out[own] = np.isin(h[own], cells[d].values.to_numpy().view(np.uint64))
+        return out
+
+    return look_up
+
+
 class Sketch:
     def __init__(self, held, bits: int):
         self.held, self.bits = held, bits
 
+    def repeated_of(self, document: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return self.repeated(h)
+
     def repeated(self, h: np.ndarray) -> np.ndarray:
         """Which are estimated at 2 or more."""
         out, t = np.ones(len(h), bool), self.held.value

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import repeats
-from .common import Rolling, cover, keyed, pack, sliding, text_slices, unpack, words
-from .sketch import anchor_mask
+from .common import Rolling, cover, keyed, pack, sliding, unpack, white_space_chunks, word_slices, words
+from .sketch import MAX_BITS, anchor_mask
 
 GRAM = 8
 _W1, _W2, _S1, _S2 = Rolling(11), Rolling(12), Rolling(13), Rolling(14)
@@ -42,7 +42,8 @@ def _windows(data, off, window: int, exact: bool):
     grams = _S1.grams(sums, gram)
     least = sliding(grams, window - gram + 1)
     if not exact:
-        return grams[anchor_mask(grams, least, valid, window - gram + 1)]
+        at = np.flatnonzero(anchor_mask(grams, least, valid, window - gram + 1))
+        return doc[at], grams[at]
     second = _S2.sums(_W2.spans(_W2.sums(data), starts, ends))
     return least, valid, doc, first, lambda i: (_S1.grams(sums, window)[i], _S2.grams(second, window)[i])
 
@@ -68,55 +69,59 @@ def _rows(least, ha, hb, did, tid, pos, buckets, salt):
     return [(int(b[o[a]]), salt, 0, 0, pack(*[c[a:z] for c in cols])) for a, z in zip(cut, np.append(cut[1:], len(o)), strict=True)]
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, salt_slices: int = repeats.SALT_SLICES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 20, salt_slices: int = repeats.SALT_SLICES, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words joined by one space)."""
 
     def anchors(batch):
-        for _, data, off in text_slices(batch, "_text"):
-            if (h := _windows(data, off, window, False)) is not None:
-                yield h
+        for rows, data, off, _ in word_slices(batch, "_text", overlap=window - 1):
+            if (found := _windows(data, off, window, False)) is not None:
+                yield rows.start + found[0], found[1]
 
-    def emit(batch, held, buckets, salts):
-        for n, (rows, data, off) in enumerate(text_slices(batch, "_text")):
+    def emit(batch, repeated, buckets, salts):
+        for n, (rows, data, off, before) in enumerate(word_slices(batch, "_text", overlap=window - 1)):
             if (found := _windows(data, off, window, True)) is None:
                 continue
             least, valid, doc, first, hashes = found
             i = np.flatnonzero(valid)
-            i = i[held.repeated(least[i])]
+            i = i[repeated(rows.start + doc[i], least[i])]
             if not len(i):
                 continue
             did, tid, _ = repeats.identity(batch, rows)
             d = doc[i]
-            args = (least[i], *hashes(i), did[d], tid[d], i - first[d])
+            args = (least[i], *hashes(i), did[d], tid[d], before + i - first[d])
             keep, gone = _first_only(*args)
             keep.sort()
             salt = (int(did[0]) * 31 + n) % max(salts, 1)
-            out = repeats.removed_rows(did[d][gone], tid[d][gone], args[5][gone])
+            out = repeats.removed_rows(did[d][gone], tid[d][gone], args[5][gone], buckets)
             out += _rows(*[x[keep] for x in args], buckets, salt)
             yield repeats.record(out)
 
-    def settle(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
+    def settle(pdf: pd.DataFrame, buckets: int, last: bool) -> pd.DataFrame:
         did, tid, pos, least, ha, hb = unpack(pdf.payload, *_KEY)
         keep, gone = _first_only(least, ha, hb, did, tid, pos)
-        out = repeats.removed_rows(did[gone], tid[gone], pos[gone])
+        out = repeats.removed_rows(did[gone], tid[gone], pos[gone], buckets)
         if not last:
             out += [(int(pdf.bucket.iloc[0]), 0, 0, 0, pack(did[keep], tid[keep], pos[keep], least[keep], ha[keep], hb[keep]))]
         return repeats.frame(out)
 
     source = keyed(docs, "doc_id")
-    removed = repeats.find(source, anchors, emit, settle, 0.024, 1_000_000, salt_slices=salt_slices)
+    removed = repeats.find(source, anchors, emit, settle, 0.024, 1_000_000, salt_slices=salt_slices, max_bits=max_bits)
 
     def finish(batches):
         for batch in batches:
             n_words, n_removed, kept = [], [], []
             for text, cells in zip(batch.column("_text"), batch.column("_runs"), strict=True):
-                w = text.as_py().encode().split()
-                n_words.append(len(w))
-                if cells.is_valid:
-                    mask = cover(len(w), *repeats.runs_of(cells.as_py()), window)
-                    w = [x for x, m in zip(w, mask.tolist(), strict=True) if not m]
-                n_removed.append(n_words[-1] - len(w))
-                kept.append(b" ".join(w))
+                raw = text.as_py().encode()
+                n = sum(map(len, white_space_chunks(raw)))
+                mask = cover(n, *repeats.runs_of(cells.as_py()), window) if cells.is_valid else np.zeros(n, bool)
+                left, at = [], 0
+                for w in white_space_chunks(raw):
+                    if some := [x for x, m in zip(w, mask[at : at + len(w)].tolist(), strict=True) if not m]:
+                        left.append(b" ".join(some))
+                    at += len(w)
+                n_words.append(n)
+                n_removed.append(int(mask.sum()))
+                kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept_text"],

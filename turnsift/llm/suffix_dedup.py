@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import repeats
-from .common import Rolling, cover, flat, keyed, pack, runs, sliding, text_slices, unpack
-from .sketch import anchor_mask
+from .common import Rolling, byte_slices, cover, flat, keyed, pack, runs, sliding, unpack
+from .sketch import MAX_BITS, anchor_mask
 
 GRAM, EXTRA = 32, 16
 _B = Rolling(21)
@@ -144,7 +144,7 @@ def _cell(did, tid, anchor, first, n, data: bytes) -> bytes:
     return pack(np.array([len(did)], "<i8"), did.astype("<i8"), tid.astype("<i8"), anchor.astype("<i8"), first.astype("<i4"), n.astype("<i4")) + data
 
 
-def dedup_suffixes(docs: DataFrame, length: int = 100, salt_slices: int = repeats.SALT_SLICES) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, length: int = 100, salt_slices: int = repeats.SALT_SLICES, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (bytes)."""
     gram = min(GRAM, length)
     w = length - gram + 1
@@ -159,9 +159,10 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, salt_slices: int = repeat
         return g, sliding(g, w), valid, doc
 
     def anchors(batch):
-        for _, data, off in text_slices(batch, "_text"):
+        for rows, data, off, _ in byte_slices(batch, "_text", overlap=length - 1):
             if (x := grams(data, off)) is not None:
-                yield x[0][anchor_mask(x[0], x[1], x[2], w)]
+                at = np.flatnonzero(anchor_mask(x[0], x[1], x[2], w))
+                yield rows.start + x[3][at], x[0][at]
 
     def rows_for(raw: bytes, begin, stop, did, tid, pos, anchor, n, buckets, salt):
         """Chunks dealt out by anchor.  begin, stop: of each chunk's bytes in raw."""
@@ -176,13 +177,13 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, salt_slices: int = repeat
             out.append((int(b[k[0]]), salt, 0, 0, _cell(did[k], tid[k], anchor[k], pos[k], n[k], data)))
         return out
 
-    def emit(batch, held, buckets, salts):
-        for turn, (rows, data, off) in enumerate(text_slices(batch, "_text")):
+    def emit(batch, repeated_of, buckets, salts):
+        for turn, (rows, data, off, before) in enumerate(byte_slices(batch, "_text", overlap=length - 1)):
             if (x := grams(data, off)) is None:
                 continue
             _, low, valid, doc = x
             i = np.flatnonzero(valid)
-            i = i[held.repeated(low[i])]
+            i = i[repeated_of(rows.start + doc[i], low[i])]
             if not len(i):
                 continue
             did, tid, _ = repeats.identity(batch, rows)
@@ -193,8 +194,9 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, salt_slices: int = repeat
             d = doc[begin]
             stop = np.minimum(begin + n + tail, off[d + 1])
             text, start, size = _join([raw[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)])
-            gone, keep = repeated(text, start, size, n, did[d], tid[d], begin - off[d], length)
-            out = repeats.removed_rows(did[d][gone[0]], tid[d][gone[0]], (begin - off[d])[gone[0]] + gone[1])
+            place = before + begin - off[d]
+            gone, keep = repeated(text, start, size, n, did[d], tid[d], place, length)
+            out = repeats.removed_rows(did[d][gone[0]], tid[d][gone[0]], place[gone[0]] + gone[1], buckets)
             left = np.sort(first[keep[0]] + keep[1])  # indices into i
             # rows equal in doc_id and text leave the same place twice; that does no harm
             at, m = runs(i[left], doc[i[left]], low[left])
@@ -203,10 +205,10 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, salt_slices: int = repeat
                 d = doc[begin]
                 stop = np.minimum(begin + m + tail, off[d + 1])
                 salt = (int(did[0]) * 31 + turn) % max(salts, 1)
-                out += rows_for(raw, begin, stop, did[d], tid[d], begin - off[d], low[left[at]], m, buckets, salt)
+                out += rows_for(raw, begin, stop, did[d], tid[d], before + begin - off[d], low[left[at]], m, buckets, salt)
             yield repeats.record(out)
 
-    def settle(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
+    def settle(pdf: pd.DataFrame, buckets: int, last: bool) -> pd.DataFrame:
         heads, pieces = [], []
         for cell in pdf.payload:
             k = int(np.frombuffer(cell, "<i8", 1)[0])
@@ -219,7 +221,7 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, salt_slices: int = repeat
         first, n = first.astype(np.int64), n.astype(np.int64)
         text, start, size = _join(pieces)
         gone, keep = repeated(text, start, size, n, did, tid, first, length)
-        out = repeats.removed_rows(did[gone[0]], tid[gone[0]], first[gone[0]] + gone[1])
+        out = repeats.removed_rows(did[gone[0]], tid[gone[0]], first[gone[0]] + gone[1], buckets)
         if not last:
             place = np.sort(start[keep[0]] + keep[1])
             chunk = np.searchsorted(start, place, side="right") - 1
@@ -231,7 +233,7 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, salt_slices: int = repeat
         return repeats.frame(out)
 
     source = keyed(docs, "doc_id")
-    removed = repeats.find(source, anchors, emit, settle, 2.0 / (w + 1), 1_000_000, salt_slices=salt_slices)
+    removed = repeats.find(source, anchors, emit, settle, 2.0 / (w + 1), 1_000_000, salt_slices=salt_slices, max_bits=max_bits)
 
     def finish(batches):
         for batch in batches:
