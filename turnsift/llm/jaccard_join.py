@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NULL_ID, SMALL_SLICE, Rolling, keyed, mix, pack, scratch, text_bytes, text_slices, unpack, words
+from .common import LOWER, NULL_ID, SMALL_SLICE, Rolling, keyed, mix, pack, scratch, text_bytes, unpack, word_slices, words
 from .components import components
 
 _W, _S = Rolling(31), Rolling(32)
@@ -76,6 +76,22 @@ def shingle_rows(data: np.ndarray, off: np.ndarray, k: int):
             yield grams[:0]
 
 
+def shingle_slices(batch: pa.RecordBatch, k: int):
+    """Yields (rows of the batch, shingle hashes of each); a long text's pieces as one."""
+    held = None
+    for rows, data, off, before in word_slices(batch, "_text", SMALL_SLICE, k - 1):
+        if before:  # what overlaps is shorter than a shingle
+            more = next(shingle_rows(data, off, k)) if len(words(data, off)[0]) >= k else held[1][0][:0]
+            held = held[0], [np.concatenate((held[1][0], more))]
+            continue
+        if held:
+            yield held
+        found = list(shingle_rows(data, off, k))
+        held = slice(rows.start, rows.start + len(found)), found
+    if held:
+        yield held
+
+
 def _order(source: DataFrame, k: int) -> tuple:
     """Broadcast frequency class of each cell of a count-min sketch of all shingles.
     Only the order of the lists depends on it, so its width is fixed (4 MB)."""
@@ -86,8 +102,8 @@ def _order(source: DataFrame, k: int) -> tuple:
 
         count = np.zeros(1 << ORDER_BITS, np.int64)
         for batch in batches:
-            for _, data, off in text_slices(batch, "_text", SMALL_SLICE):
-                rows = [r for r in shingle_rows(data, off, k) if len(r)]
+            for _, found in shingle_slices(batch, k):
+                rows = [r for r in found if len(r)]
                 if rows:
                     count += np.bincount((np.concatenate(rows) >> shift).astype(np.int64), minlength=1 << ORDER_BITS)
         if count.any():
@@ -201,8 +217,8 @@ def _verified(pairs: DataFrame, bits: DataFrame, source: DataFrame, k: int, num:
 
     def sets(batches):
         for batch in batches:
-            for rows, data, off in text_slices(batch, "_text", SMALL_SLICE):
-                s = [np.unique(x).tobytes() for x in shingle_rows(data, off, k)]
+            for rows, found in shingle_slices(batch, k):
+                s = [np.unique(x).tobytes() for x in found]
                 yield pa.RecordBatch.from_arrays([batch.column("_did").slice(rows.start, len(s)), pa.array(s, pa.binary())], names=["did", "s"])
 
     def exact(batches):
@@ -275,6 +291,8 @@ def _crossing(num: int, den: int, every: bool):
 
 def link_documents(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, list_cost: float = LIST_COST) -> DataFrame:
     """doc_id, n_shingles (set size) and component_id (least doc_id reachable by links)."""
+    if 2 * num < den:
+        raise ValueError("the bounds hold for similarities of 1/2 and more")
     k, edge = words, boundary(num, den, list_cost)
     source = keyed(docs, "doc_id")
     total, _ = text_bytes(source, "_text")
@@ -283,9 +301,9 @@ def link_documents(docs: DataFrame, words: int = 3, num: int = 90, den: int = 10
 
     def sign(batches):
         for batch in batches:
-            for rows, data, off in text_slices(batch, "_text", SMALL_SLICE):
+            for rows, found in shingle_slices(batch, k):
                 out = {f.name: [] for f in _SIG}
-                for r in shingle_rows(data, off, k):
+                for r in found:
                     s = np.unique(r)
                     out["n"].append(len(s))
                     out["h1"].append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NULL_ID, Rolling, flat, keyed, mix, pack, partitions, scratch, unpack, words
+from .common import LOWER, NULL_ID, SMALL_SLICE, Rolling, keyed, mix, pack, partitions, scratch, text_bytes, unpack, word_slices, words
 from .components import components
 
 _W, _S = Rolling(91), Rolling(92)
@@ -49,38 +49,56 @@ _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorde
 _PLACE = np.arange(BITS // 8, dtype=np.int64) * 256
 
 
-def _votes(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def _votes(h: np.ndarray, weight: np.ndarray, block: int = 200_000) -> np.ndarray:
     """Fingerprint of terms: one weighted histogram of hash bytes, then signs."""
-    both = np.stack((h, mix(h ^ np.uint64(0x2545F4914F6CDD1D))), 1)
-    at = both.view(np.uint8).reshape(len(h), BITS // 8) + _PLACE
-    seen = np.bincount(at.ravel(), np.repeat(weight, BITS // 8), minlength=256 * BITS // 8)
+    seen = np.zeros(256 * BITS // 8)
+    for k in range(0, len(h), block):
+        some = h[k : k + block]
+        both = np.stack((some, mix(some ^ np.uint64(0x2545F4914F6CDD1D))), 1)
+        at = both.view(np.uint8).reshape(len(some), BITS // 8) + _PLACE
+        seen += np.bincount(at.ravel(), np.repeat(weight[k : k + block], BITS // 8), minlength=len(seen))
     total = np.einsum("bv,vk->bk", seen.reshape(BITS // 8, 256), _SIGNS).ravel()
     return np.packbits(total > 0, bitorder="little").view(np.uint64)
 
 
+def _unique(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once, with its weight."""
+    h, at = np.unique(np.concatenate([p for p, _ in pieces]), return_index=True)
+    return h, np.concatenate([w for _, w in pieces])[at]
+
+
 def fingerprints(texts: list[str]) -> np.ndarray:
     """Two 64-bit words for each text."""
-    raw, off = flat(pa.array(texts, pa.string()))
-    data = LOWER[raw]
-    starts, ends, first = words(data, off)
-    sums = _W.sums(data)
-    h = _W.spans(sums, starts, ends)
-    size = np.minimum(ends - starts, 12) ** 2 / 144.0
-    c = _S.sums(h)
-    runs = _S.grams(c, SHINGLE)
     out = np.zeros((len(texts), 2), np.uint64)
-    for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-        if a == b:
-            continue
-        word, at = np.unique(h[a:b], return_index=True)
-        run = np.unique(runs[a : b - SHINGLE + 1]) if b - a >= SHINGLE else _S.spans(c, np.array([a]), np.array([b]))
-        terms, weight = [word, run], [size[a:b][at], np.ones(len(run))]
-        if b - a < SHORT and off[k + 1] - off[k] >= GRAM:
-            lo, hi = int(off[k]), int(off[k + 1])
-            gram = np.unique(mix((sums[lo + GRAM : hi + 1] - sums[lo : hi - GRAM + 1]) * _W.down[lo : hi - GRAM + 1]))
-            terms.append(gram)
-            weight.append(np.full(len(gram), 0.25 * (1 - (b - a) / SHORT)))
-        out[k] = _votes(np.concatenate(terms), np.concatenate(weight))
+    held: list = []  # terms of the row so far, a long one's pieces together
+
+    def vote() -> None:
+        if held and held[1]:
+            out[held[0]] = _votes(*(np.concatenate(x) for x in zip(*map(_unique, held[1:]), strict=True)))
+
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    for rows, raw, off, before in word_slices(batch, "text", SMALL_SLICE, SHINGLE - 1):
+        data = LOWER[raw]
+        starts, ends, first = words(data, off)
+        sums = _W.sums(data)
+        h = _W.spans(sums, starts, ends)
+        size = np.minimum(ends - starts, 12) ** 2 / 144.0
+        c = _S.sums(h)
+        runs = _S.grams(c, SHINGLE)
+        for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            if not before:
+                vote()
+                held = [rows.start + k, [], []]
+            if a == b:
+                continue
+            run = runs[a : b - SHINGLE + 1] if b - a >= SHINGLE else _S.spans(c, np.array([a]), np.array([b]))[: 0 if before else 1]
+            held[1].append(_unique([(h[a:b], size[a:b])]))
+            held[2].append(_unique([(run, np.ones(len(run)))]))
+            if not before and b - a < SHORT and off[k + 1] - off[k] >= GRAM:
+                lo, hi = int(off[k]), int(off[k + 1])
+                gram = np.unique(mix((sums[lo + GRAM : hi + 1] - sums[lo : hi - GRAM + 1]) * _W.down[lo : hi - GRAM + 1]))
+                held.append([(gram, np.full(len(gram), 0.25 * (1 - (b - a) / SHORT)))])
+    vote()
     return out
 
 
@@ -96,25 +114,51 @@ def _hex(f: np.ndarray) -> list[str]:
 _EDIT = {"doc_id": "long", "n_chars": "long", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"}
 
 
+RANGE_BYTES, DRAWS = 32 << 20, 8
+
+
+def _splitters(source: DataFrame, total: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """(_did, _tid) of quantiles of rows drawn in proportion to their bytes, DRAWS a range."""
+    u = F.pmod(F.xxhash64("_did", "_tid", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    draws = F.least(F.floor((F.octet_length("_text") + 1) * (ranges * DRAWS / max(total, 1)) + u), F.lit(ranges * DRAWS))
+    drawn = source.select("_did", "_tid", draws.cast("int").alias("n")).filter("n > 0").toPandas()
+    did, tid = (np.repeat(drawn[c].to_numpy(np.int64), drawn.n) for c in ("_did", "_tid"))
+    o = np.lexsort((tid, did))
+    at = np.linspace(0, len(o), ranges + 1).astype(int)[1:-1] if len(o) else np.zeros(0, int)
+    both = np.unique(np.stack((did[o][at], tid[o][at]), 1), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def place_among(did: np.ndarray, tid: np.ndarray, splits: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The number of splitters at or before each (did, tid)."""
+    lo, hi = (np.searchsorted(splits[0], did, side=s) for s in ("left", "right"))
+    for d in np.unique(did[hi - lo > 0]).tolist():  # splitters with this very id
+        own = did == d
+        a, b = int(np.searchsorted(splits[0], d)), int(np.searchsorted(splits[0], d, side="right"))
+        lo[own] = a + np.searchsorted(splits[1][a:b], tid[own], side="right")
+    return lo
+
+
 def _with_next(docs: DataFrame) -> DataFrame:
     """Rows dealt out in ranges of (doc_id, text hash), each range followed by the first
-    row of the next one (``_last``), sorted."""
+    row of the next one (``_last``), sorted.  Ranges hold about RANGE_BYTES of text, so a
+    doc_id that many rows share is many ranges."""
     source = keyed(docs, "doc_id")
-    spark, ranges = docs.sparkSession, 2 * partitions(docs.sparkSession)
-    splits = np.unique(source.approxQuantile("_did", [k / ranges for k in range(1, ranges)], 0.1 / ranges) or [0]).astype(np.float64)
+    spark, (total, _) = docs.sparkSession, text_bytes(docs)
+    ranges = max(2 * partitions(spark), total // RANGE_BYTES)
+    splits = spark.sparkContext.broadcast(_splitters(source, total, ranges))
 
     @F.pandas_udf("int")
-    def range_of(did: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(splits, did.to_numpy(np.float64), side="right").astype(np.int32))
+    def range_of(did: pd.Series, tid: pd.Series) -> pd.Series:
+        return pd.Series(place_among(did.to_numpy(np.int64), tid.to_numpy(np.int64), splits.value).astype(np.int32))
 
-    cut = source.withColumn("_part", range_of("_did")).withColumn("_last", F.lit(False))
+    cut = source.withColumn("_part", range_of("_did", "_tid")).withColumn("_last", F.lit(False))
     heads = cut.groupBy("_part").agg(F.min(F.struct("_did", "_tid")).alias("h")).orderBy("_part").collect()
     if not heads:
         return cut
     before = [heads[-1], *heads[:-1]]
     ghosts = spark.createDataFrame([(h.h["_did"], h.h["_tid"], p["_part"]) for h, p in zip(heads, before, strict=True)], "_did long, _tid long, _to int")
-    ids = [h.h["_did"] for h in heads]
-    extra = cut.filter(F.col("_did").isin(ids)).join(F.broadcast(ghosts), ["_did", "_tid"]).dropDuplicates(["_did", "_tid", "_to"])
+    extra = cut.join(F.broadcast(ghosts), ["_did", "_tid"]).groupBy("_did", "_tid", "_to").agg(F.first("doc_id").alias("doc_id"), F.first("_text").alias("_text"))
     extra = extra.select("doc_id", "_did", "_tid", "_text", F.col("_to").alias("_part"), F.lit(True).alias("_last"))
     return cut.unionByName(extra).repartition(ranges, "_part").sortWithinPartitions("_part", "_last", "_did", "_tid")
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import LOWER, SMALL_SLICE, Rolling, column, scratch, small_batches, text_slices, words
+from .common import LOWER, SMALL_SLICE, Rolling, column, scratch, small_batches, word_slices, words
 from .decontaminate import SEPARATOR
 
 BITS, MIN_SEEN, FOLDS = 18, 3, 5
@@ -55,6 +55,21 @@ def features(data: np.ndarray, off: np.ndarray):
         yield np.unique(place[a:b])
 
 
+def feature_slices(batch: pa.RecordBatch):
+    """Yields (rows of the batch, feature places of each); a long text's pieces as one."""
+    held = None
+    for rows, data, off, before in word_slices(batch, "_text", SMALL_SLICE, 0, SEPARATOR):
+        found = list(features(data, off))
+        if before:
+            held = held[0], [np.union1d(held[1][0], found[0])]
+            continue
+        if held:
+            yield held
+        held = slice(rows.start, rows.start + len(found)), found
+    if held:
+        yield held
+
+
 class _Rows:
     """Binary rows in compressed form.  Sums go through blocks of entries, so that their
     temporaries stay small beside the entries (four bytes each) themselves."""
@@ -238,9 +253,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame, columns: list[str], ma
 
     def task(batches):
         for batch in batches:
-            for rows, data, off in text_slices(batch, "_text", SMALL_SLICE):
-                part = batch.slice(rows.start, len(off) - 1)
-                found = list(features(data, off))
+            for rows, found in feature_slices(batch):
+                part = batch.slice(rows.start, len(found))
                 cells = [pa.array([len(f) for f in found], pa.int32()), pa.array([f.tobytes() for f in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("_ord", "_id", *ys)], *cells], names=["_ord", "_id", *ys, "n", "f"])
 
@@ -283,10 +297,10 @@ def score(docs: DataFrame, chain: Chain, carry: tuple[str, ...] = ("doc_id",)) -
     def task(batches):
         model = held.value
         for batch in batches:
-            for part, data, off in text_slices(batch, "_text", SMALL_SLICE):
-                sums = np.array([model.table[f].sum(axis=0, dtype=np.float64) for f in features(data, off)])
-                p = model.finish(sums.reshape(len(off) - 1, -1))
-                same = batch.slice(part.start, len(off) - 1)
+            for rows, found in feature_slices(batch):
+                sums = np.array([model.table[f].sum(axis=0, dtype=np.float64) for f in found])
+                p = model.finish(sums.reshape(len(found), -1))
+                same = batch.slice(rows.start, len(found))
                 yield pa.RecordBatch.from_arrays([*[same.column(k) for k in kept], *[pa.array(c) for c in p.T]], names=[*kept, *[f"p{k}" for k in range(len(model.names))]])
 
     schema = StructType([*rows.select(*kept).schema.fields, *[StructField(f"p{k}", DoubleType()) for k in range(len(chain.names))]])
