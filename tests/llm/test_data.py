@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from small import frame
 
 from turnsift.llm import decontaminate, packing, pii, toxicity
-from turnsift.llm.preference import format_pairs, pairs_from_turns
+from turnsift.llm.preference import format_pairs, next_in_order, pairs_from_turns
 from turnsift.llm.queries import tokenizer_files
 from turnsift.llm.sharding import shard_documents
 
@@ -58,6 +58,26 @@ def test_pairs_from_turns(spark):
     assert pairs_from_turns(turns.filter("false")).collect() == []
 
 
+def test_pairs_of_odd_conversations(spark):
+    """Ties of turn, repeated rows, clashing columns, a very long text, an outlying id."""
+    rows = [(1, 0, "user", "u"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (5, 0, "assistant", "x" * 2_000_000), (2**60, 0, "assistant", "far"), (7, None, None, "t"), (7, 1, "assistant", "z")]
+    turns = spark.createDataFrame([(*r, 1, "k") for r in rows], "conv_id long, turn long, role string, text string, g int, at string").repartition(3)
+    got = {r["pair_id"]: r for r in pairs_from_turns(turns).collect()}
+    assert [t["text"] for t in got[1]["chosen"]] == ["u", "a", "a", "b"] and len(got[1]["rejected"][3]["text"]) == 2_000_000
+    assert got[5]["rejected"][0]["text"] == "z" and got[7]["rejected"][1]["text"] == "far" and got[2**60]["rejected"][0]["text"] == "b"
+    shown = {r["pair_id"]: r for r in format_pairs(spark.createDataFrame(list(got.values()))).collect()}
+    assert shown[7]["prompt"] == "<||>\nt<|end|>\n" and shown[1]["n_prompt_turns"] == 3
+    twice = format_pairs(spark.createDataFrame([got[1], got[1]])).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
+def test_next_in_order(spark):
+    ids = sorted({*range(0, 600, 7), 2**40, 2**40 + 1, -5})
+    rows = spark.createDataFrame([(k, f"v{k}") for k in ids], "k long, v string").repartition(4)
+    got = dict(map(tuple, next_in_order(rows, "k", "v", ranges=16).collect()))
+    assert got == {k: f"v{n}" for k, n in zip(ids, [*ids[1:], ids[0]], strict=True)}
+
+
 def best_fit(sizes, capacity):
     """How many bins best fit takes, longest first."""
     rooms = []

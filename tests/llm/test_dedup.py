@@ -4,12 +4,13 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from small import frame
 
-from turnsift.llm import queries, simhash, sketch
+from turnsift.llm import common, queries, simhash, sketch
 from turnsift.llm.components import components
 from turnsift.llm.jaccard_join import boundary, link_documents
 from turnsift.llm.substring_dedup import dedup_substrings
@@ -32,6 +33,73 @@ def test_suffix_dedup(docs, rows, salt_slices):
     assert got == sorted((d, *want[d, t]) for d, t in rows)
 
 
+def test_a_sketch_too_large_to_broadcast(docs, rows):
+    """The sketch as a table, joined: the same results."""
+    words, text = brute.words_removed(rows), brute.bytes_removed(rows)
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"].encode()) for r in dedup_substrings(docs, 20, max_bits=0).collect())
+    assert got == sorted((d, *words[d, t]) for d, t in rows)
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in dedup_suffixes(docs, 100, max_bits=0).collect())
+    assert got == sorted((d, *text[d, t]) for d, t in rows)
+
+
+def test_slices_of_long_rows():
+    """Pieces together hold each window once, at its true place."""
+    rng = random.Random(2)
+    texts = ["a b", "", " ".join("".join(rng.choices("abé", k=rng.randint(1, 40))) for _ in range(700)), "x" * 3000 + " y z", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    for overlap in (0, 4):
+        seen = [[] for _ in texts]
+        for rows, data, off, before in common.word_slices(batch, "t", 200, overlap):
+            starts, ends, first = common.words(data, off)
+            raw = data.tobytes()
+            for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                w = [raw[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
+                seen[rows.start + k] += [(before + i, *w[i : i + overlap + 1]) for i in range(len(w) - overlap)]
+        for text, got in zip(texts, seen, strict=True):
+            w = (text or "").encode().split()
+            assert got == [(i, *w[i : i + overlap + 1]) for i in range(len(w) - overlap)]
+    seen = [[] for _ in texts]
+    for rows, data, off, before in common.byte_slices(batch, "t", 200, 9):
+        raw = data.tobytes()
+        for k, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+            seen[rows.start + k] += [(before + i, raw[a + i : a + i + 10]) for i in range(b - a - 9)]
+    for text, got in zip(texts, seen, strict=True):
+        raw = (text or "").encode()
+        assert got == [(i, raw[i : i + 10]) for i in range(len(raw) - 9)]
+    assert [w for part in common.white_space_chunks((texts[2] or "").encode(), 50) for w in part] == (texts[2] or "").encode().split()
+
+
+def test_a_very_long_text(spark):
+    """Nine megabytes, in pieces: what repeats across them, within it and outside it."""
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"{x:x}" for x in (rng.getrandbits(40) for _ in range(n)))
+    part, other = say(2000), say(1500)
+    long = " ".join((part, say(380_000), part, say(380_000), other))
+    docs = frame(spark, [(5, long), (7, other), (9, say(50)), (10, long + " end")])
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in dedup_substrings(docs, 20).collect()}
+    n = 2 * 2000 + 760_000 + 1500
+    assert got == {5: (n, 2000), 7: (1500, 1500), 9: (50, 0), 10: (n + 1, n)}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in dedup_suffixes(docs, 100).collect()}
+    assert got[9][1] == 0 and got[7] == (len(other), len(other), 1) and got[10] == (len(long) + 4, len(long), 1)
+    assert got[5][0] == len(long) and len(part) <= got[5][1] <= len(part) + 8 and got[5][2] == 1
+    joined = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in link_documents(docs).collect()}
+    assert joined[5] == (len(shingled(long)), 5) and joined[10][1] == 5 and joined[7][1] == 7
+    prints = {r["doc_id"]: r for r in simhash.edited_fingerprints(docs).collect()}
+    assert prints[5]["n_chars"] == len(long) and int(prints[5]["fingerprint"], 16) != 0
+    assert (int(prints[5]["fingerprint"], 16) ^ int(prints[10]["fingerprint"], 16)).bit_count() <= 3
+
+
+def shingled(text):
+    return brute.shingles(text, 3)
+
+
+def test_places_among_splitters():
+    splits = (np.array([3, 5, 5, 9]), np.array([0, -4, 8, 0]))
+    rows = [(d, t) for d in range(12) for t in (-9, -4, 0, 8, 9)]
+    got = simhash.place_among(np.array([d for d, _ in rows]), np.array([t for _, t in rows]), splits)
+    assert got.tolist() == [sum((a, b) <= r for a, b in zip(*map(np.ndarray.tolist, splits), strict=True)) for r in rows]
+
+
 def test_null_ids_and_empty_tables(spark, none):
     rows = [(None, "w " * 30), (5, "w " * 30 + "end"), (-3, "w " * 30)]
     small = frame(spark, rows)

@@ -1,8 +1,12 @@
 """The pipeline on planted documents: what must go goes, clean documents stay."""
 
 import random
+import zlib
+from collections import Counter
 
+import brute
 import corpus_pipeline
+import numpy as np
 import pytest
 
 
@@ -60,3 +64,64 @@ def test_near_dups_by_row(spark):
     assert len(eleven) == 1 and eleven[0] in (e, near(e))  # ties of doc_id by hash
     want = [(None, a), (None, b), (None, near(c)), (11, d), (13, None), (None, "")]
     assert sorted([x for x in got if x != (11, eleven[0])], key=repr) == sorted(want, key=repr)
+
+
+CLASHING = ["_did", "_row", "_first", "p_toxic", "n_hit", "x0", "a.b", "spans", "component_id"]
+
+
+def _expected(rows, toxic, items):
+    """The pieces that must come out, by the plainest means."""
+    from tokenizers import Tokenizer
+
+    from turnsift.llm.queries import tokenizer_files
+
+    rows = sorted(set(rows), key=lambda r: (*brute.place(r), r[1] or ""))
+    rows = [r for r in rows if not any(w in (r[1] or "").split() for w in toxic)]
+    groups = brute.linked([(k, t) for k, (_, t) in enumerate(rows)], 5, 80)
+    rows = [rows[k] for k in {least for _, _, least in groups}]
+    bad = {d for d, _, hit, _ in brute.contaminated([(k, t) for k, (_, t) in enumerate(rows)], items) if hit}
+    out, whole = Counter(), Tokenizer.from_file(tokenizer_files()["tokenizer"])
+    for k, (d, text) in enumerate(rows):
+        if k in bad:
+            continue
+        text = text or ""
+        for span in reversed(list(filter(None, brute.base_spans(text).split(",")))):
+            kind, a, b = span.split(":")
+            text = f"{text[: int(a)]}[{kind}]{text[int(b) :]}"
+        ids = [*whole.encode(text, add_special_tokens=False).ids, 2]
+        cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            out[d, piece, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    return out
+
+
+def test_against_brute_force(spark, tmp_path):
+    """Nulls, empty and repeated rows, ties of doc_id, long texts, clashing names."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(900)]
+    say = lambda n: " ".join(rng.choices(vocab, k=n))
+    toxic, item = ["grumple", "snorfid", "blarghen"], say(24)
+    rows = [(k, say(80)) for k in range(120)]
+    for k in range(0, 120, 3):
+        rows[k] = (k, f"{rows[k][1]} {toxic[k % 2]} {say(3)}")
+    base = say(100)
+    rows += [(200 + k, base + " end" * (k % 3)) for k in range(9)] + [(None, base), (None, say(70)), (None, say(70)), (None, None), (None, ""), (210, None), (211, ""), (212, " \n")]
+    rows += [(220, f"{say(20)} {item} {say(20)}"), (221, item.upper()), (222, say(30) + " bob@mail.example.com " + say(30)), (223, say(3000)), (223, say(50)), (223, say(50))]
+    rows += [rows[1], rows[1], rows[-1], (224, "one"), (225, "one"), (226, "one two")]
+    wide = [(d, t, len(t or ""), *[str(j) if rng.random() < 0.8 else None for j in range(len(CLASHING))]) for d, t in rows]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    docs = spark.createDataFrame(wide, schema).repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    items = [(1, item), (2, None), (None, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    want = _expected(rows, toxic, items)
+    # of texts that share an id any one may stand for its group: here none do
+    assert got == want
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        own = {tuple(r[c] for c in docs.columns if c not in ("text", "n_chars")) for r in kept.collect()}
+        assert own <= {tuple(r[c] for c in docs.columns if c not in ("text", "n_chars")) for r in docs.collect()}
+        assert stage(spark, docs.filter("false"), str(tmp_path)).collect() == []

@@ -8,7 +8,8 @@ Packing depends on lengths alone, so it is planned on their histogram (``capacit
 numbers, whatever the corpus): the reduction fixes sets that dominate every other set
 holding the same piece, the rest goes by best fit, longest first.  The plan is a list
 of intervals (length, ranks) -> (sequences, offset); ranks are dealt out by salted
-windows, so one very common length does not meet in one task.
+windows, so one very common length does not meet in one task.  Pieces of full length
+are sequences as they are.
 
 Token ids are those of the ``tokenizers`` file.  Where a file of the same vocabulary
 as ranks is beside it (``ranks``), texts go through it instead, which is faster; texts
@@ -222,8 +223,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, ranks=None, pattern=None, ca
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if kept)."""
     pieces = tokenize(docs, tokenizer, ranks, pattern, capacity, end_id, keep_ids)
     pieces = scratch(pieces if keep_ids else pieces.drop("ids"), "pieces")
+    # a full piece dominates every set with it: it is a sequence, and needs no rank
+    alone = pieces.filter(F.col("length") == capacity).select(*[c for c in pieces.columns if c not in ("part", "length")], F.col("length").cast("long"), (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     salts = int(np.clip(4 * partitions(docs.sparkSession), 1, MAX_SALTS))
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part", "piece", "start"), F.lit(salts)).cast("int"))
+    pieces = pieces.filter(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "part", "piece", "start"), F.lit(salts)).cast("int"))
     counts = np.zeros((capacity + 1, salts), np.int64)
     for r in pieces.groupBy("length", "salt").count().collect():
         counts[r["length"], r["salt"]] = r["count"]
@@ -243,4 +246,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, ranks=None, pattern=None, ca
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * keep_ids
     w = Window.partitionBy("length", "salt").orderBy("doc_id", "part", "piece")
     ranked = pieces.withColumn("rn", F.row_number().over(w)).drop("part")
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * keep_ids)
+    placed = ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * keep_ids)
+    return placed.unionByName(alone)

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import scratch
+
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 
 
@@ -55,13 +57,14 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     return out.select("pair_id", "n_prompt_turns", F.array_join(F.transform("_p", _render), "").alias("prompt"), chosen.alias("chosen"), chosen_mask.alias("chosen_mask"), rejected.alias("rejected"), rejected_mask.alias("rejected_mask"))
 
 
-def next_in_order(rows: DataFrame, key: str, value: str, salt: int = 256) -> DataFrame:
+def next_in_order(rows: DataFrame, key: str, value: str, ranges: int = 256) -> DataFrame:
     """(key, value) -> (key, following): the value of the next key, the first after the
-    last.  Keys are cut into ``salt`` even ranges; only each range's first row is shared."""
-    bounds = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    lo, hi = (bounds["lo"] or 0), (bounds["hi"] or 0)
-    width = max(1, -(-(hi - lo + 1) // salt))
-    cut = rows.select(F.col(key).alias("k"), F.col(value).alias("v")).withColumn("g", F.floor((F.col("k") - lo) / width).cast("int"))
+    last.  Keys are unique and cut into ranges at sampled quantiles, so that neither gaps
+    nor outliers fill one; only each range's first row is shared."""
+    number = F.col(key).cast("double")
+    splits = sorted(set(rows.select(number.alias("k")).approxQuantile("k", [k / ranges for k in range(1, ranges)], 0.25 / ranges)))
+    part = F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s <= number)) if splits else F.lit(0)
+    cut = rows.select(F.col(key).alias("k"), F.col(value).alias("v"), part.alias("g"))
     heads = cut.groupBy("g").agg(F.min_by("v", "k").alias("h")).withColumn("head", F.coalesce(F.lead("h").over(Window.orderBy("g")), F.first("h").over(Window.orderBy("g")))).select("g", "head")
     w = Window.partitionBy("g").orderBy("k")
     return cut.withColumn("n", F.lead("v").over(w)).join(F.broadcast(heads), "g").select(F.col("k").alias(key), F.coalesce("n", "head").alias("following"))
@@ -73,6 +76,7 @@ def pairs_from_turns(turns: DataFrame) -> DataFrame:
     convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     last = F.array_max(F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == "assistant"))
     convs = convs.withColumn("at", last).filter("at is not null").withColumn("answer", F.element_at("turns", F.col("at"))["text"])
+    convs = scratch(convs, "conversations")
     convs = convs.join(next_in_order(convs, "conv_id", "answer"), "conv_id")
     plain = lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))
     chosen = F.transform("turns", plain)
