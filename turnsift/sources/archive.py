@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import SOURCES
@@ -44,16 +44,28 @@ def discover(spark: SparkSession, archive: str | None = None) -> list[Source]:
     return [Source(name, root, _exists(spark, root)) for name, root in roots(archive).items()]
 
 
+def bare(raw: Column) -> Column:
+    """A line without the white space and separators around it."""
+    return F.regexp_replace(raw, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def local_path(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
 def lines(spark: SparkSession, source: Source) -> DataFrame:
     """SRC4, SRC5: path, line_no (from 0) and raw of each non-blank line.
 
-    Files are read whole, since order within a file decides; bytes that are not UTF-8
-    become replacement characters; CRLF, CR and LF end a line.
+    Files are split like any text; the place of a split in its file, and of a line in its
+    split, give the line numbers, so a file may be of any size.  Bytes that are not UTF-8
+    become replacement characters; CRLF, CR and LF end a line; a file that can't be read
+    is passed over with a warning (SRC9).
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     if not source.root.endswith(".jsonl"):
         reader = reader.option("pathGlobFilter", "*.jsonl")
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    cut = reader.load(source.root).select("path", F.posexplode(F.split(text, "\r\n|\r|\n")).alias("line_no", "raw"))
-    bare = F.regexp_replace("raw", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-    return cut.select(F.lit(source.name).alias("source"), F.regexp_replace("path", "^file:/*", "/").alias("path"), "line_no", bare.alias("raw")).filter("raw <> ''")
+    # a file's path comes as a URI: percent signs are escapes there, plus signs are not
+    path = local_path(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+    found = reader.text(source.root).select(path.alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.make_valid_utf8("value").alias("value"))
+    number = F.row_number().over(Window.partitionBy("path").orderBy("start", "at")) - 1
+    return found.select(F.lit(source.name).alias("source"), "path", number.alias("line_no"), bare(F.col("value")).alias("raw")).filter("raw <> ''")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.archive import bare, local_path
 from ..sources.parse import emissions
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -21,8 +22,7 @@ def stream_lines(spark: SparkSession, root: str, source: str) -> DataFrame:
     files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
     text = F.make_valid_utf8(F.col("content").cast("string"))
     cut = files.select("path", F.posexplode(F.split(text, "\r\n|\r|\n")).alias("line_no", "raw"))
-    bare = F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")
-    return cut.select(F.lit(source).alias("source"), F.regexp_replace("path", "^file:/*", "/").alias("path"), "line_no", bare.alias("raw")).filter("raw <> ''")
+    return cut.select(F.lit(source).alias("source"), local_path(F.col("path")).alias("path"), "line_no", bare(F.col("raw")).alias("raw")).filter("raw <> ''")
 
 
 def start(spark: SparkSession, root: str, source: str, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
