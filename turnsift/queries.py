@@ -97,7 +97,24 @@ def phrase_bonus(spark, sf):
     return _scored(spark, sf, ["de", "la"]).select("turn_id", "phrase_pts")
 
 
-@register()
+def _three_sql(a: str, b: str, c: str) -> str:
+    """The window rule for three terms: from each place of the rarest, the first place of
+    the next term that keeps the span, then any place of the last that does."""
+    at = lambda t: f"list_filter(range(1, length(hay) + 1), lambda i: substring(hay, CAST(i AS BIGINT), {len(t)}) = '{t}')"
+
+    def near(p, q, r):
+        (x, m), (y, n), (z, o) = p, q, r
+        first = f"list_filter({y}, lambda j: greatest(i + {m}, j + {n}) - least(i, j) <= 60)[1:1]"
+        last = f"len(list_filter({z}, lambda k: greatest(i + {m}, j + {n}, k + {o}) - least(i, j, k) <= 60)) > 0"
+        return f"len(list_filter({x}, lambda i: len(list_filter({first}, lambda j: {last})) > 0)) > 0"
+
+    t = [("pa", len(a)), ("pb", len(b)), ("pc", len(c))]
+    rare = f"CASE WHEN len(pa) <= len(pb) AND len(pa) <= len(pc) THEN {near(t[0], t[1], t[2])} WHEN len(pb) <= len(pc) THEN {near(t[1], t[0], t[2])} ELSE {near(t[2], t[0], t[1])} END"
+    hit = " AND ".join(f"contains(tok, ' {x} ')" for x in (a, b, c))
+    return f"{CONV}, f AS (SELECT *, lower(text || chr(10)) AS hay FROM t WHERE {hit} AND kind <> 'meta'), g AS (SELECT *, {at(a)} AS pa, {at(b)} AS pb, {at(c)} AS pc FROM f) SELECT turn_id, CASE WHEN {rare} THEN 3 ELSE 0 END AS phrase_pts FROM g"
+
+
+@register(_three_sql("the", "and", "of"))
 def phrase_bonus_three_terms(spark, sf):
     return _scored(spark, sf, ["the", "and", "of"]).select("turn_id", "phrase_pts")
 
@@ -456,32 +473,82 @@ def redact_full(spark, sf):
     return out.select("doc_id", "r.text")
 
 
-@register()
+@register(
+    FULL_SQL.replace(" SELECT doc_id,", ", o AS (SELECT doc_id,", 1)
+    + ") SELECT label, CAST(sum(n) AS BIGINT) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT '{label}' AS label, len(regexp_extract_all(text, '\\[redacted:{label}\\]')) AS n FROM o" for label in sorted({r.label for r in redact.rules(None)} - {"home-path"}))
+    + ") GROUP BY 1 HAVING sum(n) > 0"
+)
 def redact_counts(spark, sf):
     out = _read(spark, sf, "documents").select(F.explode(redact.redact(F.col("text"))["counts"]).alias("label", "k"))
     return out.groupBy("label").agg(F.sum("k").alias("n"))
 
 
-PLAIN = [(label, p) for label, p in detect.SIGNATURES if "(?!" not in p and "(?<" not in p and "\\b" not in p]
+def _has(s: str, *patterns: str) -> str:
+    return " + ".join(f"CAST(regexp_matches({s}, {_lit(p)}) AS INTEGER)" for p in patterns)
+
+
+def _wide(p: str) -> str:
+    """A signature that takes in the characters it only looks at."""
+    for look, group in ((r"(?<![\d.\-])", r"(?:^|[^\d.\-])"), (r"(?<![\d.])", r"(?:^|[^\d.])"), (r"(?![\d.\-])", r"(?:$|[^\d.\-])"), (r"(?![\d.])", r"(?:$|[^\d.])"), (r"(?![\w.\-])", r"(?:$|[^\w.\-])")):
+        p = p.replace(look, group)
+    return p
+
+
+def _bits_sql(s: str) -> str:
+    chars = f"string_split({s}, '')"
+    count = f"len(list_filter({chars}, lambda d: d = c))"
+    return f"list_sum(list_transform(list_distinct({chars}), lambda c: {count} / length({s}) * log2(length({s}) / {count})))"
 
 
 @register(
     "SELECT label, CAST(sum(n) AS BIGINT) AS n FROM ("
-    + " UNION ALL ".join(f"""SELECT '{label}' AS label, coalesce(sum(len(regexp_extract_all(coalesce(text, ''), '{p.replace("'", "''")}'))), 0) AS n FROM documents""" for label, p in PLAIN)
+    + " UNION ALL ".join(f"SELECT {_lit(label)} AS label, coalesce(sum(len(regexp_extract_all(coalesce(text, ''), {_lit(_wide(p))}))), 0) AS n FROM documents" for label, p in detect.SIGNATURES)
     + ") GROUP BY 1"
 )
 def audit_signatures(spark, sf):
-    docs = _read(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
-    return detect.signature_counts(docs).filter(F.col("label").isin([label for label, _ in PLAIN]))
-
-
-@register()
-def audit_signatures_all(spark, sf):
-    # all labels: look-around and word bounds have no DuckDB form
     return detect.signature_counts(_read(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit(""))))
 
 
-@register()
+@register(ORACLE["audit_signatures"])
+def audit_signatures_all(spark, sf):
+    # by its former name; audit_signatures has all labels too
+    return audit_signatures(spark, sf)
+
+
+def _random_sql(s: str) -> str:
+    """LEK26, LEK27 in SQL."""
+    names = f"list_filter(string_split({s}, '/'), lambda n: n <> '')"
+    bad = "NOT regexp_full_match(n, '-?[A-Za-z0-9][A-Za-z0-9._\\-]*') OR regexp_matches(n, '[A-Z]{2}')"
+    path = f"(len({names}) > 1 AND len(list_filter({names}[1:-2], lambda n: {bad})) = 0)"
+    return f"(length({s}) >= 24 AND (regexp_full_match({s}, '[0-9a-fA-F]{{32,}}') OR (regexp_matches({s}, '[0-9]') AND {_has(s, '[a-z]', '[A-Z]', '[0-9]', '[+/=_-]')} >= 3 AND NOT {path} AND {_bits_sql(s)} >= 3.7)))"
+
+
+def _findings_sql() -> str:
+    """Signatures, the second opinion on assignments and the sweep, line by line.  Where a
+    pattern looks around itself, SQL takes in the characters it looks at."""
+    counts = []
+    for label, p in detect.SIGNATURES:
+        hits = f"regexp_extract_all(line, {_lit(_wide(p))})"
+        if label == detect.ASSIGNMENT:
+            value = "trim(trim(CASE WHEN contains(x, '=') THEN substring(x, strpos(x, '=') + 1) ELSE substring(x, strpos(x, ':') + 1) END), chr(34) || chr(39))"
+            code = "regexp_matches(v, '[\\[\\]{}()<>$&|;`\\\\]')"
+            name = "regexp_full_match(v, '[A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)+')"
+            hits = f"list_filter(list_transform({hits}, lambda x: {value}), lambda v: v <> '' AND NOT {code} AND NOT {name} AND (length(v) >= 20 OR {_has('v', '[a-z]', '[A-Z]', '[0-9]', '[+/=_-]')} > 1))"
+        counts.append(f"SELECT {_lit(label)} AS label, sum(len({hits})) AS n FROM l")
+    cleared = "tok"
+    for p in detect.HARMLESS:
+        cleared = f"regexp_replace({cleared}, {_lit(p)}, '', 'g')"
+    return f"""WITH l AS (SELECT unnest(string_split_regex(coalesce(text, ''), '\\r\\n|[\\n\\v\\f\\r]')) AS line FROM documents),
+ a AS (SELECT unnest(regexp_extract_all(line, '{detect.TOKEN}')) AS tok FROM l), b AS (SELECT {cleared} AS w FROM a),
+ d AS (SELECT w, list_filter(string_split_regex(w, '[_\\-/=+]'), lambda x: x <> '') AS parts FROM b),
+ e AS (SELECT *, list_filter(parts, lambda x: length(x) = list_max(list_transform(parts, lambda y: length(y))))[1] AS longest FROM d),
+ h AS (SELECT CASE WHEN regexp_full_match(w, '[0-9a-fA-F]{{32,}}') THEN '{detect.HEX_LABEL}' ELSE '{detect.TOKEN_LABEL}' END AS label FROM e WHERE len(parts) <= 3 AND {_random_sql("w")} OR {_random_sql("coalesce(longest, '')")}),
+ u AS ({" UNION ALL ".join(counts)} UNION ALL SELECT label, count(*) FROM h GROUP BY 1)
+ SELECT label, CAST(sum(n) AS BIGINT) AS n FROM u GROUP BY 1 HAVING sum(n) > 0"""
+
+
+@register(_findings_sql())
 def audit_findings(spark, sf):
     return detect.findings(_read(spark, sf, "documents"), "doc_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -492,7 +559,7 @@ def audit_entropy(spark, sf):
     return pairs.select("lang", "source", F.round(detect.entropy(F.concat_ws("/", "lang", "source")), 9).alias("bits"))
 
 
-@register()
+@register(f"SELECT token, n, round({_bits_sql('token')}, 9) AS bits FROM (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{detect.SIGN}+')) AS token FROM documents) GROUP BY 1)")
 def audit_entropy_tokens(spark, sf):
     # each distinct token of the whole texts once
     tokens = _read(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(detect.SIGN + "+"), F.lit(0))).alias("token"))
