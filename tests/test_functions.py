@@ -149,25 +149,40 @@ def test_other_masks(spark):
     assert redact.self_check(spark) and redact.redact_strings(spark, [None, "a@b.co"]) == ["", "[redacted:address]"]
 
 
-def test_gates_let_every_match_through(spark):
-    """What the patterns alone do in plain Python, rule by rule, without gates."""
-    pieces = ["sk-", "AKIA", "ghp_", "://", "@", "secret", "password", "key", "=", ":", " ", "'", "a" * 30, "B4" * 13, "/home/", "Users", "10.1.2.3", ".local", "555-123-4567", "eyJ", ".", "\n", "bearer ", "é", "\x07", "x" * 9, "b1" * 12]
+PIECES = ["sk-", "AKIA", "ASIA", "ghp_", "://", "@", "secret", "password", "key", "=", ":", " ", "'", "a" * 30, "B4" * 13, "/home/", "Users", "\\", "10.1.2.3", ".local", "555-123-4567", "eyJ", ".", "\n", "bearer ", "BEARER ", "é", "\x07", "x" * 9, "b1" * 12, "/", "aB3/", "AIza", "_x@lan"]
+
+
+def odd_texts(n=500):
     rng = random.Random(4)
-    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    return ["".join(rng.choice(PIECES) for _ in range(rng.randint(1, 14))) for _ in range(n)]
+
 
-    def plain(t):
-        for rule in redact.rules(None):
-            p = re.compile(rule.pattern.replace("(?<before>", "(?P<before>").replace("(?<mask>", "(?P<mask>"))
-            into = rule.into or redact.mask(rule.label)
-            t = p.sub(lambda m, p=p, into=into: (m["before"] if "mask" in p.groupindex else "") + into, t)
-        return t
+def plainly(t, account=None):
+    """All steps in plain Python, without gates."""
+    for rule in redact.rules(account):
+        p = re.compile(rule.pattern.replace("(?<before>", "(?P<before>").replace("(?<mask>", "(?P<mask>"))
+        into = rule.into or redact.mask(rule.label)
+        t = p.sub(lambda m, p=p, into=into: (m["before"] if "mask" in p.groupindex else "") + into, t)
+    mixed = lambda s: any(map(str.isdigit, s)) and any(map(str.isalpha, s))
 
-    def chain(c):
-        for rule in redact.rules(None):
-            c = redact.bind(c, lambda t, rule=rule: F.when(rule.may_match(t), F.regexp_replace(t, rule.java, rule.replacement)).otherwise(t))
-        return c
+    def secret(s):
+        parts = [x for x in s.split("/") if x]
+        pairs = [x.isupper() != y.isupper() for x, y in zip(s, s[1:], strict=False) if x.isalpha() and y.isalpha()]
+        often = bool(pairs) and sum(pairs) / len(pairs) >= redact.CHURN
+        return mixed(s) and (len(parts) < 2 or often or sum(map(len, parts)) / len(parts) >= (20 if s[0] == "/" else 12))
 
-    assert column(spark, texts, chain) == [plain(t) for t in texts]
+    for pattern, judge in ((redact.BASE64_RUN, secret), (redact.MIXED_RUN, mixed)):
+        t = re.sub(pattern, lambda m, judge=judge: redact.mask("high-entropy") if judge(m[0]) else m[0], t)
+    return re.sub(redact.CONTROL, lambda m: redact.CONTROL_NAMES.get(ord(m[0]), f"\\x{ord(m[0]):02x}"), t)
+
+
+def test_gates_let_every_match_through(spark):
+    texts = odd_texts()
+    assert masked(spark, texts) == [plainly(t) for t in texts]
+    assert masked(spark, texts, "secret") == [plainly(t, "secret") for t in texts]
+    seen = column(spark, texts, detect.suspicious, "string")
+    for t, some in zip(texts, seen, strict=True):
+        assert some or not any(re.search(p, t) for _, p in detect.SIGNATURES) and not re.search(detect.TOKEN, t), t
 
 
 def scan(spark, texts):
