@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from turnsift import cli
 from turnsift.audit.detect import findings
 from turnsift.operators.filters import Filters
-from turnsift.plans import export
+from turnsift.plans import export, measure
 from turnsift.plans import search as plan
 from turnsift.plans.index import build_index
 from turnsift.sources import store
@@ -149,6 +149,16 @@ def test_command_line(spark, index, tmp_path):
     assert run(spark, "audit", str(leak), "--nul-only")[0] == 0
 
 
+def test_measure(spark, index, tmp_path):
+    path, turns, sessions, _ = index["planted"]
+    found = measure.latencies(turns, sessions, NOW, ["importer", "slerp"])
+    assert 0 < found["query_ms_median"] <= found["query_ms_max"]
+    for n, code in ((8, 0), (80, 1)):
+        (tmp_path / "was.json").write_text(json.dumps({"sessions": n, "turns": turns.count(), "projects": sessions.select("project").distinct().count()}))
+        got, out, _ = run(spark, "--index", path, "measure", "--recorded", f"{tmp_path}/was.json")
+        assert got == code and "query_ms_median" in out and ("sessions: recorded 80, now 8" in out) == bool(code)
+
+
 def test_export_waits_for_the_audit(spark, index, tmp_path, monkeypatch):
     path, turns, sessions, _ = index["planted"]
     assert run(spark, "--index", path, "export", f"{tmp_path}/corpus")[0] == 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from turnsift.audit import detect
 from turnsift.functions import excerpt, redact, score, text
+from turnsift.operators import page
 from turnsift.operators.filters import parse_when
 from turnsift.sources import parse
 from turnsift.streaming import ingest
@@ -229,6 +230,13 @@ def test_auditor_is_independent():
         assert "redact import" not in (source := f.read()) and "from ..functions" not in source
 
 
+def test_page(spark):
+    ages = column(spark, [None, -3, 0, 1, 59, 75, 800], page.page_when, "int")
+    assert ages == ["undated", "today", "today", "yesterday", "59 days ago", "3 months ago", "2.2 years ago"]
+    assert column(spark, ["a <b> & A.b"], lambda c: page.highlight(c, ["a", "."])) == ["<mark>a</mark> &lt;b&gt; &<mark>a</mark>mp; <mark>A</mark><mark>.</mark>b"]
+    assert column(spark, ["x " * 200 + "needle" + " y" * 200, "short  one"], lambda c: page.page_snip(c, ["zz", "NEEDLE"])) == ["…" + ("x " * 30 + "needle" + " y" * 97) + "…", "short one"]
+
+
 def test_dates():
     assert parse_when("7d", NOW) == NOW - 7 * DAY and parse_when("2mo", NOW) == NOW - 60 * DAY
     assert parse_when("", NOW) is None and parse_when("1970-01-02T00:00:00+00:00", NOW) == DAY

@@ -1,4 +1,4 @@
-"""Command line: index, search, sessions, show, stats, audit, export.
+"""Command line: index, search, sessions, show, stats, audit, measure, export.
 
 Exit codes: 0 hits; 1 none, or no such session; 2 a bad date; 3 the redactor fails its
 own check; 4 an index inside the repository; 5 no index, or one of another schema.
@@ -7,6 +7,7 @@ own check; 4 an index inside the repository; 5 no index, or one of another schem
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 import time
 
@@ -199,6 +200,26 @@ def cmd_export(spark, a) -> int:
     return 1 if n else 0
 
 
+def cmd_measure(spark, a) -> int:
+    """AGG14, AGG15.  Times the fixed queries; with counts recorded as JSON (name: number),
+    reports those that have moved."""
+    from .plans import measure
+
+    turns, sessions, _ = store.read(spark, a.index)
+    now = a.now if a.now is not None else time.time()
+    print(render.dumps(measure.latencies(turns, sessions, now)))
+    if not a.recorded:
+        return 0
+    total = stats.totals(turns, sessions)
+    counted = total.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in ("sessions", "turns", "projects")])).alias("x")).select("x.*")
+    with open(a.recorded) as f:
+        recorded = spark.createDataFrame([(k, int(v)) for k, v in json.load(f).items()], "name string, n long")
+    moved = measure.drifted(counted, recorded).orderBy("name").collect()
+    for r in moved:
+        print(f"{r['name']}: recorded {r['was']}, now {r['now']}")
+    return 1 if moved else 0
+
+
 _FLAG, _MANY = {"action": "store_true"}, {"action": "append"}
 _ASKED = {
     "query": {}, "--kind": _MANY | {"choices": KINDS}, "--tool": _MANY, "--source": _MANY | {"choices": SOURCES}, "--project": {}, "--session": {}, "--since": {}, "--until": {},
@@ -213,6 +234,7 @@ COMMANDS = {
     "show": (cmd_show, {"session": {}, "--seq": {"type": int, "default": 0}, "--span": {"type": int, "default": 5}, "--width": {"type": int, "default": 400}}),
     "stats": (cmd_stats, {"--json": _FLAG}),
     "audit": (cmd_audit, {"path": {"nargs": "*"}, "--glob": {"default": "*"}, "--nul-only": _FLAG, "--expect-findings": {"type": int, "default": 0}}),
+    "measure": (cmd_measure, {"--recorded": {}}),
     "export": (cmd_export, {"out": {}}),
 }
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .audit import detect
 from .functions import excerpt, redact, score, text
-from .operators import context, search, stats
+from .operators import context, page, search, stats
 from .operators.filters import Filters
+from .plans import measure
 from .sources import parse, tables
 
 NOW = float(tables.BASE_TS + 60 * tables.DAY)
@@ -580,6 +581,35 @@ def dedupe_union_sources(spark, sf):
     return both.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PAGE = f"""{CONV}, h AS (SELECT *, lower(text || chr(10)) AS hay, CAST(floor(({NOW} - ts) / 86400.0) AS BIGINT) AS age FROM t WHERE kind <> 'meta'),
+ p AS (SELECT *, {KIND_SQL} + 4 + CASE WHEN {_near_sql("the", "ing")} THEN 3 ELSE 0 END + CASE WHEN age <= 7 THEN 3 WHEN age <= 30 THEN 2 WHEN age <= 180 THEN 1 ELSE 0 END AS score FROM h WHERE contains(hay, 'the') AND contains(hay, 'ing'))"""
+
+
+@register(f"{_PAGE} SELECT turn_id, CAST(score AS INTEGER) AS score, age FROM p ORDER BY score DESC, age, session_id, seq LIMIT 8")
+def page_search(spark, sf):
+    return page.page_search(_conv(spark, sf), ["the", "ing"], NOW).select("turn_id", "score", "age")
+
+
+@register("""SELECT doc_id, CASE WHEN length(f) <= 260 THEN f ELSE CASE WHEN b > 0 THEN '…' ELSE '' END || substring(f, b + 1, 260) || CASE WHEN b + 260 < length(f) THEN '…' ELSE '' END END AS line
+ FROM (SELECT *, CAST(greatest(coalesce(nullif(strpos(lower(f), 'license'), 0), nullif(strpos(lower(f), 'tion'), 0), 0) - 61, 0) AS BIGINT) AS b FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS f FROM documents))""")
+def page_snip(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", page.page_snip(F.coalesce("text", F.lit("")), ["License", "tion"]).alias("line"))
+
+
+@register("SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)the', '<mark>\\0</mark>', 'g'), '(?i)\\.', '<mark>\\0</mark>', 'g') AS html FROM documents")
+def page_highlight(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", page.highlight(F.coalesce("text", F.lit("")), ["The", "", "."]).alias("html"))
+
+
+RECORDED = {"user": 250, "assistant": 10, "system": 20, "other": 5}
+
+
+@register("SELECT coalesce(m.name, r.name) AS name, m.n AS now, r.n AS was FROM (SELECT role AS name, count(*) AS n FROM conversations GROUP BY 1) m FULL JOIN (VALUES " + ", ".join(f"('{k}', CAST({v} AS BIGINT))" for k, v in RECORDED.items()) + ") r(name, n) USING (name) WHERE m.n IS NULL OR r.n IS NULL OR abs(m.n - r.n) / greatest(r.n, 1) > 0.4")
+def drift_check(spark, sf):
+    counted = _read(spark, sf, "conversations").groupBy(F.col("role").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return measure.drifted(counted, spark.createDataFrame(list(RECORDED.items()), "name string, n long"))
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: terms to ranked turns."""
     return search_terms_topk(spark, sf)
