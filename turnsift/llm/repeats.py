@@ -29,7 +29,8 @@ _REMOVED = ("<i4", "<i4")
 
 def removed_rows(did: np.ndarray, tid: np.ndarray, pos: np.ndarray, buckets: int) -> list[tuple]:
     """A row for each document, under one of as many negative buckets as there are others,
-    with the runs of its removed windows."""
+    with the runs of its removed windows.  The bucket depends on the doc_id as well, so
+    that a large group of copies, which share a text hash, is dealt out too."""
     if not len(pos):
         return []
     o = np.lexsort((pos, tid, did))
@@ -37,7 +38,7 @@ def removed_rows(did: np.ndarray, tid: np.ndarray, pos: np.ndarray, buckets: int
     first, n = runs(pos, did, tid)
     d, t, p = did[first], tid[first], pos[first]
     cut = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]))))
-    return [(-1 - int(t[a]) % buckets, 0, int(d[a]), int(t[a]), pack(p[a:b].astype("<i4"), n[a:b].astype("<i4"))) for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True)]
+    return [(-1 - (int(t[a]) + 0x9E3779B1 * int(d[a]) >> 7) % buckets, 0, int(d[a]), int(t[a]), pack(p[a:b].astype("<i4"), n[a:b].astype("<i4"))) for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True)]
 
 
 def record(rows: list[tuple]) -> pa.RecordBatch:
