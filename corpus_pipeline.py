@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnsift.llm import pii
-from turnsift.llm.common import NULL_ID, column, scratch
+from turnsift.llm.common import NULL_ID, column, scratch, scratch_scope
 from turnsift.llm.decontaminate import decontaminate
 from turnsift.llm.jaccard_join import link_documents
 from turnsift.llm.packing import pack_documents
@@ -84,5 +84,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch_scope(spark, keep=1):
+            docs = scratch(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

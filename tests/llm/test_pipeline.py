@@ -9,6 +9,8 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
+from turnsift.llm import common
+
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
@@ -115,7 +117,9 @@ def test_against_brute_force(spark, tmp_path):
     spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     items = [(1, item), (2, None), (None, "")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = len(common._written)
     got = Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert len(common._written) == before + len(corpus_pipeline.STAGES)  # what a stage wrote on the way is gone
     want = _expected(rows, toxic, items)
     assert got == want
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -70,14 +70,15 @@ def clear_scratch(spark: SparkSession) -> None:
 
 
 @contextlib.contextmanager
-def scratch_scope(spark: SparkSession):
-    """Removes, at its end, what ``scratch`` wrote inside."""
+def scratch_scope(spark: SparkSession, keep: int = 0):
+    """Removes, at its end, what ``scratch`` wrote inside, but for the last ``keep``."""
     held = len(_written)
     try:
         yield
     finally:
-        _remove(spark, _written[held:])
-        del _written[held:]
+        stop = max(held, len(_written) - keep)
+        _remove(spark, _written[held:stop])
+        del _written[held:stop]
 
 
 BATCH_BYTES = 4 << 20
