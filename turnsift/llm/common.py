@@ -47,11 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def scratch(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, lineage cut.
-    ``scratch_scope`` or ``clear_scratch`` removes what was written."""
+def scratch(df: DataFrame, tag: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder, partitioned ``by`` columns if any, and read it
+    back: computed once, lineage cut.  ``scratch_scope`` or ``clear_scratch`` removes what
+    was written."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -120,6 +121,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+HEAVY = 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows joined with ``table`` (one row for each value of ``keys``, none null), where
+    ``weight`` is how many rows have that value.  A value of more than 1/HEAVY of all rows
+    is broadcast: there are fewer than HEAVY of those.  The rest are shuffled, and none of
+    them is hot.  Both frames are read twice: written tables."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * HEAVY > F.lit(total)
+    heavy = F.broadcast(table.filter(hot))
+    light = rows.join(heavy.select(*keys), keys, "left_anti").join(table.filter(~hot), keys)
+    return rows.join(heavy, keys).unionByName(light)
+
+
 # ---------------------------------------------------------------- Arrow text to bytes
 
 

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .jaccard_join import link_documents
+from .merkle import prove_documents
 from .oracles import ORACLE_SQL  # noqa: F401  read by the entry module
 from .packing import pack_documents
 from .pii import find_personal_data
 from .preference import format_pairs, pairs_from_turns
 from .sharding import shard_documents
 from .simhash import RADIUS, fingerprint_documents
+from .simhash_join import near_documents
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_suffixes
 from .toxicity import score, train
+from .vector_codes import compress_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +84,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prove_documents(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = compress_vectors(_table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "code", "error", "label_error", F.sha2(F.col("books").cast("binary"), 256).alias("codebooks_sha256"))
+
+
+def op13_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sharding": op2_sharding,
@@ -92,4 +109,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
+    "op11_merkle": op11_merkle,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_simhash_join": op13_simhash_join,
 }
