@@ -13,7 +13,7 @@ from turnsift.audit import detect
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events customer orders documents benchmark labels conversations".split()
-SAMPLE = ["score_breakdown", "sessions_ranked", "phrase_bonus", "neighbours_range", "show_window", "tool_name_asof", "stats_span", "epoch_normalise", "clip_text", "error_signal_kind", "redact_email", "audit_signatures", "audit_entropy", "ingest_turns", "session_bounds_last_value", "prompt_recovery_anti", "redact_full", "audit_findings", "phrase_bonus_three_terms", "search_folded", "page_snip"]
+SAMPLE = ["score_breakdown", "sessions_ranked", "phrase_bonus", "neighbours_range", "show_window", "tool_name_asof", "stats_span", "epoch_normalise", "clip_text", "error_signal_kind", "redact_email", "audit_signatures", "audit_entropy", "ingest_turns", "session_bounds_last_value", "prompt_recovery_anti", "redact_full", "redact_planted", "redact_counts", "redact_planted_counts", "audit_findings", "phrase_bonus_three_terms", "search_folded", "page_snip"]
 
 
 def test_every_oracle_has_a_query():
@@ -44,7 +44,7 @@ def test_oracle(spark, name):
 def test_all_signatures_are_counted(spark, tmp_path):
     texts = ["see /home/alice/x and 10.1.2.3, call 555-123-4567", None, "", "on nas.local and 192.168.1.9, bob@mail.example.com", "/Users/bob 1.10.1.2.3 x.internal"] * 2
     spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["label"]: r["n"] for r in entry.queries()["audit_signatures_all"](spark, str(tmp_path)).collect()}
+    got = {r["label"]: r["n"] for r in entry.queries()["audit_signatures"](spark, str(tmp_path)).collect()}
     want = dict.fromkeys((label for label, _ in detect.SIGNATURES), 0)
     for label, p in detect.SIGNATURES:
         want[label] += sum(len(re.findall(p, t or "", re.A)) for t in texts)

@@ -6,6 +6,8 @@ rounded, so that both sides state the same values.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -349,13 +351,18 @@ def error_signal_kind(spark, sf):
     return docs.select("k", "doc_id", text.result_kind(F.concat(sign, F.lit("\n"), F.col("text")), F.lit(False)).alias("kind"))
 
 
-STAMPS = ["", "1717000000", "1717000000123", "2026-06-10T09:00:00Z", "2026-06-10T09:00:00+02:00", "2026-06-10", "junk"]
-STAMP_VALUES = [0.0, 1717000000.0, 1717000000.123, 1781082000.0, 1781074800.0, 1781049600.0, 0.0]
+_EPOCH = "CAST(floor(epoch(ts)) AS BIGINT)"
 
 
-@register("SELECT * FROM (VALUES " + ", ".join(f"('{s}', CAST({v} AS DOUBLE))" for s, v in zip(STAMPS, STAMP_VALUES, strict=True)) + ") v(stamp, ts)")
+@register(f"""SELECT event_id, CASE event_id % 7 WHEN 2 THEN {_EPOCH} + event_id % 1000 / 1000.0 WHEN 4 THEN {_EPOCH} - 7200.0 WHEN 5 THEN epoch(date_trunc('day', ts)) WHEN 6 THEN 0.0 WHEN 0 THEN 0.0 ELSE {_EPOCH} END::DOUBLE AS ts FROM events""")
 def epoch_normalise(spark, sf):
-    return spark.createDataFrame([(s,) for s in STAMPS], "stamp string").select("stamp", text.epoch_seconds(F.col("stamp")).alias("ts"))
+    # each event's time in one of the forms that transcripts have, by its number
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    whole = F.floor(t / 1_000_000)
+    at = lambda form: F.date_format(F.timestamp_seconds(whole), form)
+    forms = [F.lit(""), whole.cast("string"), (whole * 1000 + F.col("event_id") % 1000).cast("string"), at("yyyy-MM-dd'T'HH:mm:ss'Z'"), at("yyyy-MM-dd'T'HH:mm:ss'+02:00'"), at("yyyy-MM-dd"), F.concat(F.lit("junk "), "event_id")]
+    stamp = F.element_at(F.array(*forms), F.pmod("event_id", F.lit(7)).cast("int") + 1)
+    return _read(spark, sf, "events").select("event_id", text.epoch_seconds(stamp).alias("ts"))
 
 
 @register("""SELECT doc_id, substring(c, 1, 500) AS text, length(c) > 500 AS truncated, CAST(length(c) AS INTEGER) AS orig_len FROM (SELECT doc_id, regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '^\\s+|\\s+$', '', 'g') AS c FROM documents)""")
@@ -363,20 +370,30 @@ def clip_text(spark, sf):
     return _read(spark, sf, "documents").withColumn("c", text.clip(F.coalesce("text", F.lit("")), 500)).select("doc_id", "c.*")
 
 
-PATHS = ["/home/al", "/home/al/x", "/home/alice/x", "/tmp", ""]
+def _fronted_sql(fronts: list[str]) -> str:
+    return "(SELECT doc_id, v.front || coalesce(source, '') AS p FROM documents JOIN (VALUES " + ", ".join(f"({k}, '{f}')" for k, f in enumerate(fronts)) + f") v(k, front) ON v.k = doc_id % {len(fronts)})"
+
+
+def _fronted(spark, sf, fronts):
+    """Each document's source behind one of the fronts, by its number."""
+    front = F.element_at(F.array(*[F.lit(f) for f in fronts]), F.pmod("doc_id", F.lit(len(fronts))).cast("int") + 1)
+    return _read(spark, sf, "documents").select("doc_id", F.concat(front, F.coalesce("source", F.lit(""))).alias("p"))
+
 
+PATHS = ["/home/al/", "/home/al", "/home/al/x y/", "/home/alice/", "/tmp/", ""]
 
-@register("SELECT p, CASE WHEN p = '/home/al' OR starts_with(p, '/home/al/') THEN '~' || substring(p, 9) ELSE p END AS short FROM (VALUES " + ", ".join(f"('{p}')" for p in PATHS) + ") v(p)")
+
+@register(f"SELECT doc_id, CASE WHEN p = '/home/al' OR starts_with(p, '/home/al/') THEN '~' || substring(p, 9) ELSE p END AS short FROM {_fronted_sql(PATHS)}")
 def collapse_home(spark, sf):
-    return spark.createDataFrame([(p,) for p in PATHS], "p string").select("p", text.collapse_home(F.col("p"), "/home/al").alias("short"))
+    return _fronted(spark, sf, PATHS).select("doc_id", text.collapse_home(F.col("p"), "/home/al").alias("short"))
 
 
-FOLDERS = ["-home-al-Projects-x", "-tmp-a", "plain-name", ""]
+FOLDERS = ["-home-al-Projects-", "-home-al-", "-tmp-a-", "-home-alice-", "plain-", ""]
 
 
-@register("SELECT p, CASE WHEN starts_with(p, '-') THEN CASE WHEN starts_with(q, '/home/al/') OR q = '/home/al' THEN '~' || substring(q, 9) ELSE q END ELSE p END AS project FROM (SELECT p, '/' || replace(substring(p, 2), '-', '/') AS q FROM (VALUES " + ", ".join(f"('{p}')" for p in FOLDERS) + ") v(p))")
+@register(f"SELECT doc_id, CASE WHEN starts_with(p, '-') THEN CASE WHEN starts_with(q, '/home/al/') OR q = '/home/al' THEN '~' || substring(q, 9) ELSE q END ELSE p END AS project FROM (SELECT doc_id, p, '/' || replace(substring(p, 2), '-', '/') AS q FROM {_fronted_sql(FOLDERS)})")
 def decode_project(spark, sf):
-    return spark.createDataFrame([(p,) for p in FOLDERS], "p string").select("p", text.decode_project_dir(F.col("p"), "/home/al").alias("project"))
+    return _fronted(spark, sf, FOLDERS).select("doc_id", text.decode_project_dir(F.col("p"), "/home/al").alias("project"))
 
 
 @register("SELECT doc_id, CASE WHEN length(b) > 130 THEN substring(b, 1, 130) || '…' ELSE b END AS line FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS b FROM documents)")
@@ -458,8 +475,34 @@ _SEGMENTS = "len(list_filter(string_split(x[2], '/'), lambda y: y <> ''))"
 _TURNS = "len(list_filter(range(1, length(x[2])), lambda i: regexp_matches(substring(x[2], CAST(i AS BIGINT), 2), '^([a-z][A-Z]|[A-Z][a-z])$')))"
 _LETTERS = "len(list_filter(range(1, length(x[2])), lambda i: regexp_matches(substring(x[2], CAST(i AS BIGINT), 2), '^[A-Za-z]{2}$')))"
 _BASE64_SQL = f"{_MIXED_SQL} AND ({_SEGMENTS} < 2 OR ({_LETTERS} > 0 AND {_TURNS} >= 0.15 * {_LETTERS}) OR length(replace(x[2], '/', '')) >= {_SEGMENTS} * CASE WHEN starts_with(x[2], '/') THEN 20 ELSE 12 END)"
-FULL_SQL = f"""WITH a AS (SELECT doc_id, {_rules_sql()} AS t FROM documents), b AS (SELECT doc_id, {_runs_sql("t", redact.BASE64_RUN, _BASE64_SQL)} AS t FROM a)
- SELECT doc_id, {_runs_sql("t", redact.MIXED_RUN, _MIXED_SQL)} AS text FROM b"""
+def _escapes_sql(inner: str) -> str:
+    """RED38: every control character by its name or its number."""
+    for code in (c for c in range(128) if re.match(redact.CONTROL, chr(c))):
+        inner = f"replace({inner}, chr({code}), {_lit(redact.CONTROL_NAMES.get(code, f'{chr(92)}x{code:02x}'))})"
+    return inner
+
+
+def _full_sql(docs: str = "documents") -> str:
+    """The whole cascade.  d: before and after the home paths; b: before the control bytes."""
+    masked = homes = "coalesce(text, '')"
+    steps = []
+    for rule in redact.rules(None):
+        if rule.into:
+            steps.append((rule.pattern.replace("(?=/|\\b)", "(?:/|\\b)"), masked))
+        masked = _rule_sql(rule, masked)
+    counted = " + ".join(f"len(regexp_extract_all({before}, {_lit(p)}))" for p, before in steps)
+    return f"""WITH a AS (SELECT doc_id, {counted} AS homes, {masked} AS t FROM {docs}), b AS (SELECT doc_id, homes, {_runs_sql("t", redact.BASE64_RUN, _BASE64_SQL)} AS t FROM a),
+ e AS (SELECT doc_id, homes, {_runs_sql("t", redact.MIXED_RUN, _MIXED_SQL)} AS t FROM b), o AS (SELECT doc_id, homes, len(regexp_extract_all(t, {_lit(redact.CONTROL)})) AS controls, {_escapes_sql("t")} AS text FROM e)"""
+
+
+FULL_SQL = f"{_full_sql()} SELECT doc_id, text FROM o"
+
+
+def _counts_sql(docs: str = "documents") -> str:
+    masks = sorted({r.label for r in redact.rules(None) if not r.into})
+    each = [f"SELECT '{label}' AS label, len(regexp_extract_all(text, '\\[redacted:{label}\\]')) AS n FROM o" for label in masks]
+    each += ["SELECT 'home-path', homes FROM o", "SELECT 'control-byte', controls FROM o"]
+    return f"{_full_sql(docs)} SELECT label, CAST(sum(n) AS BIGINT) AS n FROM ({' UNION ALL '.join(each)}) GROUP BY 1 HAVING sum(n) > 0"
 
 
 @register(FULL_SQL)
@@ -474,17 +517,49 @@ def redact_full(spark, sf):
     return out.select("doc_id", "r.text")
 
 
-@register(
-    FULL_SQL.replace(" SELECT doc_id,", ", o AS (SELECT doc_id,", 1)
-    + ") SELECT label, CAST(sum(n) AS BIGINT) AS n FROM ("
-    + " UNION ALL ".join(f"SELECT '{label}' AS label, len(regexp_extract_all(text, '\\[redacted:{label}\\]')) AS n FROM o" for label in sorted({r.label for r in redact.rules(None)} - {"home-path"}))
-    + ") GROUP BY 1 HAVING sum(n) > 0"
-)
+@register(_counts_sql())
 def redact_counts(spark, sf):
     out = _read(spark, sf, "documents").select(F.explode(redact.redact(F.col("text"))["counts"]).alias("label", "k"))
     return out.groupBy("label").agg(F.sum("k").alias("n"))
 
 
+def _signs(n: int, signs: str) -> str:
+    return "".join(signs[(7 * k + 3) % len(signs)] for k in range(n))
+
+
+_BODY, _UPPER, _HEX = _signs(40, "bQz7Kd2Wn9Xc4Lr"), _signs(16, "QWERTYUIOP234567"), _signs(32, "0a1b2c3d4e5f")
+#: What each rule is for, put together here so that no key stands in the source.
+PLANTS = [
+    "-" * 5 + "BEGIN RSA PRIVATE" + " KEY" + "-" * 5 + "\nxyz\n" + "-" * 5 + "END RSA PRIVATE" + " KEY" + "-" * 5,
+    "-" * 5 + "BEGIN PRIVATE" + " KEY cut off here",
+    *(head + _BODY for head in ("sk-ant-", "sk-or-v1-", "sk-proj-", "sk-", "ghp" + "_", "ghs" + "_", "github" + "_pat_", "AI" + "za", "xox" + "b-", "hf" + "_", "npm" + "_", "glpat" + "-", "dckr" + "_pat_", "sk" + "_live_", "rk" + "_test_")),
+    *(head + _UPPER for head in ("AK" + "IA", "AS" + "IA", "AR" + "OA", "AI" + "DA")),
+    "https://hooks.slack.com/services/" + _BODY, "https://discord.com/api/webhooks/" + _BODY, "https://discordapp.com/api/webhooks/" + _BODY,
+    "S" + "G." + _BODY[:20] + "." + _BODY[20:], "ey" + "J" + _BODY[:10] + "." + _BODY[10:20] + "." + _BODY[20:],
+    "ftp://bob:pa55" + "word@host", "Authorization: Bearer " + _BODY[:18], "my password = correcthorsebattery", "API_KEY: '" + _BODY[:9] + "'", "my-session-key=" + _BODY[:9],
+    "write a.b@example.org", "ssh deploy@build7 now", "/home/someone/x", "see /Users/someone.else", "C:\\Users\\someone\\y", "/root/.ssh", "in -home-someone-src", "in _Users_someone",
+    "at 10.20.30.40 and 192.168.7.7", "at 172.20.1.1 not 172.40.1.1", "on nas-2.local", "on db.home.arpa", "call 555-123-4567", "call +1 (555) 123 4567", _HEX, _signs(33, "aB3/dE5+f"), _signs(30, "aB3_dE5-f"), "bell \x07 null-free \x01\x1b[0m\x7f",
+]
+_PLANTED = "(SELECT doc_id, v.plant || chr(10) || coalesce(text, '') AS text FROM documents JOIN (VALUES " + ", ".join(f"({k}, {_lit(p)})" for k, p in enumerate(PLANTS)) + f") v(k, plant) ON v.k = doc_id % {len(PLANTS)})"
+
+
+def _planted(spark, sf):
+    """Each document behind one thing that a rule is for, by its number."""
+    plant = F.element_at(F.array(*[F.lit(p) for p in PLANTS]), F.pmod("doc_id", F.lit(len(PLANTS))).cast("int") + 1)
+    return _read(spark, sf, "documents").select("doc_id", F.concat(plant, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@register(f"{_full_sql(_PLANTED)} SELECT doc_id, text FROM o")
+def redact_planted(spark, sf):
+    return _planted(spark, sf).select("doc_id", redact.redact_text(F.col("text")).alias("text"))
+
+
+@register(_counts_sql(_PLANTED))
+def redact_planted_counts(spark, sf):
+    out = _planted(spark, sf).select(F.explode(redact.redact(F.col("text"))["counts"]).alias("label", "k"))
+    return out.groupBy("label").agg(F.sum("k").alias("n"))
+
+
 def _has(s: str, *patterns: str) -> str:
     return " + ".join(f"CAST(regexp_matches({s}, {_lit(p)}) AS INTEGER)" for p in patterns)
 
@@ -511,12 +586,6 @@ def audit_signatures(spark, sf):
     return detect.signature_counts(_read(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit(""))))
 
 
-@register(ORACLE["audit_signatures"])
-def audit_signatures_all(spark, sf):
-    # by its former name; audit_signatures has all labels too
-    return audit_signatures(spark, sf)
-
-
 def _random_sql(s: str) -> str:
     """LEK26, LEK27 in SQL."""
     names = f"list_filter(string_split({s}, '/'), lambda n: n <> '')"
