@@ -96,6 +96,6 @@ def test_auditor_looks_at_every_signature(spark):
 def test_gates_of_patterns():
     assert gates.gate_of("ab(?:cd|ce)x").sets == (("abcdx", "abcex"),)
     assert gates.gate_of("a?b{2}c*").sets == (("bb",),)
-    assert gates.gate_of("[xy]+z").sets == (("x", "y"),) or gates.gate_of("[xy]+z").sets == (("z",),)
+    assert set(gates.gate_of("[xy]+z").sets) == {("x", "y"), ("z",)}
     assert gates.gate_of("(?<=key )[0-9]{3}").sets == (("key ",),)
     assert gates.gate_of("(?:ab|[0-9]+)[a-f]{4}").pattern == "(?U)[abcdef]{4}"
