@@ -128,6 +128,9 @@ def test_command_line(spark, index, tmp_path):
     assert code == 0 and "why: kind 5 + terms 4 + phrase 3 + recency 2 = 14" in out
     assert all(len(block.splitlines()) <= 8 for block in out.split("\n\n"))
     assert run(spark, "--index", path, "search", "nosuchword")[0] == 1
+    code, best, err = run(spark, "--index", path, "search", "crlf importer", "--best", "--json")
+    assert code == 0 and best == run(spark, "--index", path, "search", "crlf importer", "--json")[1] and "blocks" not in err
+    assert "1 best turns; read 1 of 1 blocks" in run(spark, "--index", path, "search", "quaternion", "--best", "--limit", "1")[2]
     assert run(spark, "--index", path, "search", "x", "--since", "junk")[0] == 2
     assert run(spark, "--index", str(cli.__file__).replace("cli.py", "here"), "index")[0] == 4
     assert run(spark, "--index", f"{tmp_path}/none", "stats")[0] == 5

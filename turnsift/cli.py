@@ -76,10 +76,14 @@ def cmd_search(spark, a) -> int:
     _guard(spark)
     q, clock = _query(a), _Clock()
     turns, sessions, _ = store.read(spark, a.index)
-    found = plan.scored(turns, sessions, q).cache()
-    n = found.count()
-    clock.lap("match")
-    hits = plan.top_of(found, q).cache()
+    index, found, reads = store.read_terms(spark, a.index), None, None
+    if a.best and q.terms:
+        hits, reads = plan.best_hits(index, sessions, q)
+    else:
+        found = plan.scored(turns, sessions, q, index).cache()
+        n = found.count()
+        clock.lap("match")
+        hits = plan.top_of(found, q).cache()
     rows = plan.shown(hits, q).collect()
     clock.lap("rank")
     near: dict = {}
@@ -92,9 +96,13 @@ def cmd_search(spark, a) -> int:
     else:
         for r in rows:
             print(render.turn_block(r, near.get(r["turn_id"], ()), a.explain), end="\n\n")
-        _footer(n, len(rows), "turns", clock)
-    hits.unpersist()
-    found.unpersist()
+        if reads:
+            print(f"{len(rows)} best turns; read {reads.read} of {reads.blocks} blocks that hold the terms", file=sys.stderr)
+        else:
+            _footer(n, len(rows), "turns", clock)
+    if found is not None:
+        hits.unpersist()
+        found.unpersist()
     return 0 if rows else 1
 
 
@@ -102,7 +110,7 @@ def cmd_sessions(spark, a) -> int:
     _guard(spark)
     q, clock = _query(a), _Clock()
     turns, sessions, _ = store.read(spark, a.index)
-    found = plan.scored(turns, sessions, q).cache()
+    found = plan.scored(turns, sessions, q, store.read_terms(spark, a.index)).cache()
     n = found.count()
     clock.lap("match")
     last = F.when(F.col("last_ts") > 0, F.col("last_ts")).otherwise(F.col("ts"))
@@ -207,7 +215,7 @@ def cmd_measure(spark, a) -> int:
 
     turns, sessions, _ = store.read(spark, a.index)
     now = a.now if a.now is not None else time.time()
-    print(render.dumps(measure.latencies(turns, sessions, now)))
+    print(render.dumps(measure.latencies(turns, sessions, now, index=store.read_terms(spark, a.index))))
     if not a.recorded:
         return 0
     total = stats.totals(turns, sessions)
@@ -229,7 +237,7 @@ _ASKED = {
 #: command: (what runs it, its arguments)
 COMMANDS = {
     "index": (cmd_index, {"--archive": {}, "--source": _MANY | {"choices": SOURCES}, "--quiet": _FLAG}),
-    "search": (cmd_search, _ASKED),
+    "search": (cmd_search, _ASKED | {"--best": _FLAG}),
     "sessions": (cmd_sessions, _ASKED),
     "show": (cmd_show, {"session": {}, "--seq": {"type": int, "default": 0}, "--span": {"type": int, "default": 5}, "--width": {"type": int, "default": 400}}),
     "stats": (cmd_stats, {"--json": _FLAG}),

@@ -108,6 +108,11 @@ def matches(terms: Iterable[str], text_tok: str = "text_tok", target_tok: str =
     return out
 
 
+def term_tokens(term: str, folded: bool = True) -> list[str]:
+    """The tokens of a term, as ``matches`` looks for them."""
+    return (fold(term) if folded else _plain(term)).split()
+
+
 def _plain(term: str) -> str:
     tokens = re.findall(r"[^\W_]+", term.lower())
     return f" {' '.join(tokens)} " if tokens else ""

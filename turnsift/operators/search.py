@@ -12,7 +12,8 @@ from ..functions.text import matches
 from ..schema import MOST_EXTRA
 from .filters import Filters
 
-def _best_first() -> list:
+
+def best_first() -> list:
     """SRT1, with turn_id as the last key, so that ties have one order."""
     return [F.desc("score"), F.desc("ts"), F.asc("session_id"), F.asc("seq"), F.asc("turn_id")]
 
@@ -38,7 +39,7 @@ def score(found: DataFrame, terms: Sequence[str], now: float) -> DataFrame:
 
 def top_turns(scored: DataFrame, limit: int) -> DataFrame:
     """One TakeOrderedAndProject: no full sort, no shuffle of what does not place."""
-    return scored.orderBy(*_best_first()).limit(limit)
+    return scored.orderBy(*best_first()).limit(limit)
 
 
 _TEXTS = ("text", "target", "text_tok", "target_tok")
@@ -70,4 +71,4 @@ def with_texts(top: DataFrame, turns: DataFrame, limit: int) -> DataFrame:
 
 def rank_position(scored: DataFrame) -> DataFrame:
     """WIN7, on what is shown: a global order is one task's work."""
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(*_best_first())))
+    return scored.withColumn("rank", F.row_number().over(Window.orderBy(*best_first())))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources import store
 from ..sources.archive import Source, discover, lines
 from ..sources.parse import build, emissions
+from ..sources.work import remove
 
 
 def build_index(spark: SparkSession, path: str, archive: str | None = None, only: Sequence[str] = (), home: str | None = None) -> tuple[dict, list[Source]]:
@@ -36,8 +37,7 @@ def build_index(spark: SparkSession, path: str, archive: str | None = None, only
     meta = {r["name"]: r["n"] for r in counts.collect()}
     meta["build_seconds"] = round(time.time() - began, 1)
     store.write(path, turns, sessions, meta)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    remove(spark, work)
     return meta, sources
 
 

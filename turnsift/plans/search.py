@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import excerpt
 from ..functions.redact import redact_fields, redact_text
 from ..functions.text import split_query
-from ..operators import context, search
+from ..operators import context, postings, search
 from ..operators.filters import Filters
 from ..schema import DEFAULT_LIMIT
 
@@ -32,8 +32,12 @@ class Query:
         return split_query(self.text)
 
 
-def scored(turns: DataFrame, sessions: DataFrame, q: Query) -> DataFrame:
-    found = search.candidates(search.with_sessions(turns, sessions), q.terms, q.filters, q.scan)
+def scored(turns: DataFrame, sessions: DataFrame, q: Query, index: postings.Index | None = None) -> DataFrame:
+    """All hits with their scores; by a scan of the turns where there is no term index."""
+    if index and q.terms:
+        found = postings.candidates(index, sessions, q.terms, q.filters, q.scan)
+    else:
+        found = search.candidates(search.with_sessions(turns, sessions), q.terms, q.filters, q.scan)
     return search.score(found, q.terms, q.now)
 
 
@@ -49,6 +53,11 @@ def turn_hits(turns: DataFrame, sessions: DataFrame, q: Query) -> DataFrame:
     return top_of(scored(turns, sessions, q), q)
 
 
+def best_hits(index: postings.Index, sessions: DataFrame, q: Query) -> tuple[DataFrame, postings.Reads]:
+    """turn_hits without a look at turns that cannot place; no scan cap."""
+    return postings.top(index, sessions, q.terms, q.now, q.limit, q.filters)
+
+
 def session_hits(turns: DataFrame, sessions: DataFrame, q: Query) -> DataFrame:
     return sessions_of(scored(turns, sessions, q), q)
 

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from .audit import detect
 from .functions import excerpt, redact, score, text
-from .operators import context, page, search, stats
+from .operators import context, page, postings, search, stats
 from .operators.filters import Filters
 from .plans import measure
-from .sources import parse, tables
+from .sources import parse, tables, work
 
 NOW = float(tables.BASE_TS + 60 * tables.DAY)
 EVENTS_NOW = 1_706_918_400.0  # 2024-02-03
@@ -90,6 +90,22 @@ def search_terms_topk(spark, sf):
     return search.top_turns(_scored(spark, sf, ["the", "and"]), 10).select(SCORE)
 
 
+def _term_index(spark, turns) -> postings.Index:
+    return postings.write(turns, work.folder(spark, "terms"))
+
+
+@register(ORACLE["search_terms_topk"])
+def search_index_topk(spark, sf):
+    # by way of a term index, with an early stop
+    return postings.top(_term_index(spark, _conv(spark, sf)), None, ["the", "and"], NOW, 10, folded=False)[0].select(SCORE)
+
+
+@register(f"{DOCS} SELECT turn_id, tool, project FROM t WHERE contains(tok, ' of the ') AND contains(tok, ' license ')")
+def search_index_phrase(spark, sf):
+    found = postings.candidates(_term_index(spark, _docs(spark, sf)), None, ["of the", "License"], folded=False)
+    return found.select("turn_id", "tool", "project")
+
+
 @register(f"{_scored_sql('the', 'and')} SELECT {', '.join(SCORE)} FROM s")
 def score_breakdown(spark, sf):
     return _scored(spark, sf, ["the", "and"]).select(SCORE)
@@ -276,8 +292,8 @@ SAID = f"""WITH c AS (SELECT conv_id AS k, turn, role, text, CAST({tables.BASE_T
 
 
 def _ingested(spark, sf):
-    """Emissions of the transcripts, kept while their tables are built several times."""
-    return parse.emissions(tables.conversations_to_transcripts(_read(spark, sf, "conversations"))).persist()
+    """Emissions of the transcripts, written, since their tables are built from several looks."""
+    return work.put(parse.emissions(tables.conversations_to_transcripts(_read(spark, sf, "conversations"))), "emissions")
 
 
 def _built(spark, sf):

@@ -14,7 +14,8 @@ MOST_EXTRA = 5
 EXCERPT_WIDTH, CONTEXT_WIDTH = 260, 130
 MAX_TEXT = 20_000
 DEFAULT_LIMIT, DEFAULT_SCAN = 10, 4000
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
+# End of the fixed values.
 
 TURNS = T.StructType(
     [
