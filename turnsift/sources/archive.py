@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import SOURCES
@@ -54,12 +54,13 @@ def local_path(path: Column) -> Column:
 
 
 def lines(spark: SparkSession, source: Source) -> DataFrame:
-    """SRC4, SRC5: path, line_no (from 0) and raw of each non-blank line.
+    """SRC4, SRC5: path, start, at and raw of each line, blank ones (empty) included.
 
-    Files are split like any text; the place of a split in its file, and of a line in its
-    split, give the line numbers, so a file may be of any size.  Bytes that are not UTF-8
-    become replacement characters; CRLF, CR and LF end a line; a file that can't be read
-    is passed over with a warning (SRC9).
+    Files are split like any text.  start is the place of the split in its file; at grows
+    by one from line to line of a split; ``segments.number_lines`` makes line numbers of
+    them, so no file passes through one task.  Bytes that are not UTF-8 become replacement
+    characters; CRLF, CR and LF end a line; a file that can't be read is passed over with
+    a warning (SRC9).
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     if not source.root.endswith(".jsonl"):
@@ -67,5 +68,4 @@ def lines(spark: SparkSession, source: Source) -> DataFrame:
     # a file's path comes as a URI: percent signs are escapes there, plus signs are not
     path = local_path(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
     found = reader.text(source.root).select(path.alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.make_valid_utf8("value").alias("value"))
-    number = F.row_number().over(Window.partitionBy("path").orderBy("start", "at")) - 1
-    return found.select(F.lit(source.name).alias("source"), "path", number.alias("line_no"), bare(F.col("value")).alias("raw")).filter("raw <> ''")
+    return found.select(F.lit(source.name).alias("source"), "path", "start", "at", bare(F.col("value")).alias("raw"))

@@ -2,8 +2,8 @@
 
 One Arrow function, ``emissions``, looks at each line alone: the JSON of the dialects is
 polymorphic (a string or nested lists, numbers or strings), which no fixed schema states
-without loss.  Whatever depends on order is SQL over its rows: tool names by a window as
-of the latest call, dense numbering, the last session values of a file, counters.
+without loss.  Whatever depends on order is SQL over its rows, in chunks of lines: tool
+names as of the latest call, dense numbering; the last session values of a file, counters.
 
 Deviation on purpose: a prompt-history line that is JSON but no object counts as
 unparseable instead of ending the run.
@@ -16,21 +16,23 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, collapse_home, decode_project_dir, fold_column, result_kind
+from ..operators.segments import latest, line_splits, number_lines, running_number
 from ..schema import MAX_TEXT
+from .work import put
 
 # Argument names that say what a tool was used on, first one wins.
 TARGET_NAMES = ("file_path", "notebook_path", "path", "command", "url", "pattern", "query", "prompt", "description", "skill", "content")
 META_ROLES = ("developer", "system", "tool")
 COLUMNS = {
-    "source": "string", "path": "string", "line_no": "int", "pos": "int", "role": "string", "call": "string", "tool": "string",
+    "source": "string", "path": "string", "line_no": "int", "start": "long", "at": "long", "pos": "int", "role": "string", "call": "string", "tool": "string",
     "target": "string", "body": "string", "flagged": "boolean", "side": "boolean", "ts": "double", "sid": "string", "cwd": "string",
     "title": "string", "note": "string",
 }
-_ARROW = pa.schema([(k, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}[t]) for k, t in COLUMNS.items()])
+_ARROW = pa.schema([(k, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[t]) for k, t in COLUMNS.items()])
 
 
 def plain_text(value) -> str:
@@ -178,7 +180,11 @@ def _line(source: str, raw: str) -> Iterator[dict]:
 
 def emissions(lines: DataFrame) -> DataFrame:
     """SRC6-SRC8: what each line says, without its neighbours.  A line whose parsing fails
-    in an unforeseen way becomes a record with the note "failed" (SRC9)."""
+    in an unforeseen way becomes a record with the note "failed" (SRC9).
+
+    lines: source, path, raw and either line_no or start and at, which ``numbered`` turns
+    into line numbers.  A blank line leaves a row with the role "blank", to be counted.
+    """
 
     def run(batches):
         for batch in batches:
@@ -186,21 +192,32 @@ def emissions(lines: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 raw = row.pop("raw")
                 try:
-                    found = list(_line(row["source"], raw))
+                    found = list(_line(row["source"], raw)) if raw else [{"role": "blank"}]
                 except Exception:  # noqa: BLE001  one odd line must not end the job
                     found = [{"role": "record", "note": "failed"}]
                 out += [{**row, "pos": k, **f} for k, f in enumerate(found)]
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
-    return lines.select("source", "path", "line_no", "raw").mapInArrow(run, ", ".join(f"{k} {t}" for k, t in COLUMNS.items()))
+    placed = [F.col(c) if c in lines.columns else F.lit(None).cast(COLUMNS[c]).alias(c) for c in ("line_no", "start", "at")]
+    return lines.select("source", "path", *placed, "raw").mapInArrow(run, ", ".join(f"{k} {t}" for k, t in COLUMNS.items()))
+
+
+def numbered(emitted: DataFrame, path: str | None = None) -> DataFrame:
+    """Written emissions of split files with their line numbers, without blank lines."""
+    splits = put(line_splits(emitted), "splits", path)
+    return number_lines(emitted.filter("role <> 'blank'").drop("line_no"), splits).select(*COLUMNS)
 
 
 def _clean(said: DataFrame, most: int) -> DataFrame:
-    """PRJ3, PRJ7, PRJ8, JON3: clipped text and final kind of each turn, empties included."""
-    latest = Window.partitionBy("path", "call").orderBy("line_no", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    named = F.when(F.col("role") == "result", F.coalesce(F.last(F.when(F.col("role") == "tool_input", F.col("tool")), ignorenulls=True).over(latest), F.lit("")))
-    kind = F.when(F.col("role") == "result", result_kind(F.col("body"), F.coalesce("flagged", F.lit(False)))).otherwise(F.col("role"))
-    out = said.withColumn("tool", F.coalesce(named, F.col("tool"), F.lit(""))).withColumn("kind", kind).withColumn("c", clip(F.coalesce("body", F.lit("")), most))
+    """PRJ3, PRJ7, PRJ8, JON3: clipped text and final kind of each turn, empties included.
+    Only a call's and a result's names and places are looked at for the tool of a result."""
+    result = F.col("role") == "result"
+    calls = said.filter("role in ('tool_input', 'result')").select("path", "line_no", "pos", "call", "role", "tool")
+    named = latest(calls, ["path", "call"], F.when(F.col("role") == "tool_input", F.col("tool")), "named").filter(result).select("path", "line_no", "pos", "named")
+    results = said.filter(result).join(named, ["path", "line_no", "pos"]).withColumn("tool", F.col("named"))
+    said = said.filter(~result).unionByName(results.drop("named"))
+    kind = F.when(result, result_kind(F.col("body"), F.coalesce("flagged", F.lit(False)))).otherwise(F.col("role"))
+    out = said.withColumn("tool", F.coalesce("tool", F.lit(""))).withColumn("kind", kind).withColumn("c", clip(F.coalesce("body", F.lit("")), most))
     return out.select("source", "path", "line_no", "pos", "ts", "sid", "kind", "tool", F.coalesce("target", F.lit("")).alias("target"), F.coalesce("side", F.lit(False)).alias("sidechain"), "c.*")
 
 
@@ -223,14 +240,12 @@ def build(emitted: DataFrame, home: str = "/nonexistent", most: int = MAX_TEXT)
     folder = F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)
     project = F.when(F.col("cwd").isNotNull(), collapse_home(F.col("cwd"), home)).when(F.col("source") == "claude_code", decode_project_dir(folder, home)).otherwise("")
     by_file = values.select("source", "path", F.coalesce("sid", _stem()).alias("session_id"), project.alias("project"), F.coalesce("title", F.lit("")).alias("title"), "first_ts", "last_ts")
-    order = Window.partitionBy("path").orderBy("line_no", "pos")
-    turns = said.filter("source <> 'claude_prompts' and text <> ''").withColumn("seq", F.row_number().over(order) - 1).join(by_file.select("path", "session_id"), "path")
+    turns = running_number(said.filter("source <> 'claude_prompts' and text <> ''"), ["path"]).join(by_file.select("path", "session_id"), "path")
 
     # prompt history: sessions by id, without those of which a first-dialect file has turns
     covered = turns.filter("source = 'claude_code'").select(F.col("session_id").alias("sid")).distinct()
     prompts = said.filter("source = 'claude_prompts' and sid <> ''").join(covered, "sid", "left_anti")
-    of_session = Window.partitionBy("path", "sid").orderBy("line_no", "pos")
-    prompts = prompts.withColumn("seq", F.row_number().over(of_session) - 1).withColumn("session_id", F.col("sid"))
+    prompts = running_number(prompts, ["path", "sid"]).withColumn("session_id", F.col("sid"))
     heads = records.filter("source = 'claude_prompts' and sid <> ''").groupBy("source", "path", F.col("sid").alias("session_id")).agg(F.min_by("cwd", "line_no").alias("cwd"), F.min(dated).alias("first_ts"), F.max(dated).alias("last_ts"))
     by_prompt = heads.select("source", "path", "session_id", collapse_home(F.coalesce("cwd", F.lit("")), home).alias("project"), F.lit("").alias("title"), "first_ts", "last_ts")
 
