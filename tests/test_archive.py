@@ -150,6 +150,12 @@ def test_command_line(spark, index, tmp_path):
     leak.write_text("mail a@example.com")
     assert run(spark, "audit", str(leak))[0] == 1 and run(spark, "audit", str(leak), "--expect-findings", "1")[0] == 0
     assert run(spark, "audit", str(leak), "--nul-only")[0] == 0
+    leak.write_text("fine\nmail a@example.com\nb@example.com  synthetic-fixture\n")
+    code, out, _ = run(spark, "audit", str(leak))
+    assert code == 1 and f"LEAK {leak}:2: email address: a@exam…" in out and "1 findings in 1 input(s)" in out
+    assert run(spark, "audit", str(leak), "--strict", "--expect-findings", "2", "--quiet") == (0, "", "")
+    code, out, _ = run(spark, "audit", str(leak), "--count-markers")
+    assert code == 0 and out == f"{leak}:3\n1 marked line(s)\n"
 
 
 def test_measure(spark, index, tmp_path):
@@ -167,5 +173,11 @@ def test_export_waits_for_the_audit(spark, index, tmp_path, monkeypatch):
     assert run(spark, "--index", path, "export", f"{tmp_path}/corpus")[0] == 0
     rows = spark.read.json(f"{tmp_path}/corpus")
     assert rows.count() == turns.count() and "turn_id" not in rows.columns
+    lines = [json.loads(x) for p in sorted((tmp_path / "corpus").glob("part-*")) for x in p.read_text().splitlines()]
+    joined = turns.join(sessions.select("session_key", "session_id"), "session_key").orderBy("session_id", "seq").collect()
+    assert [(x["session"], x["seq"], x["kind"]) for x in lines] == [(r["session_id"][:8], r["seq"], r["kind"]) for r in joined]
+    assert {x["age_days"] for x in lines} == {round((NOW - r["ts"]) / DAY) if r["ts"] else None for r in joined} and max(len(x["text"]) for x in lines) <= 1200
+    with pytest.raises(FileExistsError):
+        export.export_corpus(turns, sessions, f"{tmp_path}/corpus", NOW)
     monkeypatch.setattr(export, "redact_fields", lambda df, fields, account=None: df)
-    assert export.export_corpus(turns, sessions, f"{tmp_path}/raw") > 0 and not (tmp_path / "raw").exists()
+    assert export.export_corpus(turns, sessions, f"{tmp_path}/raw", NOW) > 0 and not list(tmp_path.glob("raw*"))

@@ -207,11 +207,12 @@ def test_auditor_fires_and_rests(spark):
 
 def test_auditor_on_files(spark, tmp_path):
     (tmp_path / "f.txt").write_bytes(b"fine\n\x00a@example.com\nb@example.com  synthetic-fixture\n\xff\n\x00")
-    files = detect.read_files(spark, str(tmp_path))
-    found = sorted((r["line"], r["label"], r["snippet"]) for r in detect.scan_files(files).collect())
-    assert found == [(0, detect.NUL_LABEL, "offset 5"), (0, detect.NUL_LABEL, "offset 55"), (2, "email address", "a@example.com")]
-    assert [r["line"] for r in detect.exempted(files).collect()] == [3]
-    assert detect.scan_files(files, honour=False).count() == 4 and detect.file_findings(spark, str(tmp_path), text_rules=False).count() == 2
+    found = detect.scan_records(detect.read_records(spark, str(tmp_path))).cache()
+    kept = sorted((r["line"], r["label"], r["snippet"]) for r in found.filter("not exempt").collect())
+    assert kept == [(0, detect.NUL_LABEL, "offset 5"), (0, detect.NUL_LABEL, "offset 55"), (2, "email address", "a@example.com")]
+    assert [r["line"] for r in found.filter("exempt").collect()] == [3]
+    assert [r["n"] for r in detect.per_input(found).collect()] == [3]
+    assert detect.scan_records(detect.read_records(spark, str(tmp_path)), text_rules=False).count() == 2
     assert column(spark, ["a" * 20, "short"], detect.shorten) == ["aaaaaa…aaaa (20 chars)", "short"]
 
 

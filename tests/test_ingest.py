@@ -1,11 +1,14 @@
 """Line numbers of split files and running values in chunks, against plain Python."""
 
+import io
 import json
 import random
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
+from turnsift.audit import detect
 from turnsift.operators import segments
 from turnsift.sources import parse, work
 from turnsift.sources.archive import Source, lines
@@ -70,3 +73,30 @@ def test_work_folder(spark):
     assert df.count() == 3
     work.clear(spark)
     assert not work._written
+
+
+def test_audit_of_split_files(spark, tmp_path, small_splits):
+    rng = random.Random(2)
+    want, at = set(), 0
+    with open(tmp_path / "big.txt", "wb") as f:
+        for k in range(1, 401):
+            text = rng.choice([b"plain words", b"", b"mail a@example.com", b"x\x00y", b"caf\xc3\xa9", b"b@example.com synthetic-fixture"])
+            want |= {(k, "email address", b"exempt"[: 6 * text.startswith(b"b@")])} if b"@" in text else set()
+            want |= {(0, detect.NUL_LABEL, f"offset {at + 1}".encode())} if b"\x00" in text else set()
+            text += rng.choice([b"\n", b"\r\n"])
+            f.write(text)
+            at += len(text)
+    records = detect.read_records(spark, str(tmp_path))
+    assert records.select("start").distinct().count() > 5
+    found = detect.scan_records(records).collect()
+    assert {(r["line"], r["label"], r["snippet"].encode() if r["line"] == 0 else b"exempt" if r["exempt"] else b"") for r in found} == want
+
+
+def test_tracked_files_and_streams(spark, tmp_path):
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    (tmp_path / "in.txt").write_text("a@example.com")
+    (tmp_path / "out.txt").write_text("b@example.com")
+    subprocess.run(["git", "-C", str(tmp_path), "add", "in.txt"], check=True)
+    assert detect.tracked_files(str(tmp_path)) == [f"{tmp_path}/in.txt"]
+    path = work.spool(spark, io.BytesIO(b"x\nc@example.com\n"), "stream", chunk=3)
+    assert [(r["line"], r["label"]) for r in detect.scan_records(detect.read_records(spark, path)).collect()] == [(2, "email address")]

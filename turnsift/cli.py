@@ -22,7 +22,7 @@ from .operators.filters import Filters, parse_when
 from .plans import search as plan
 from .plans.index import build_index
 from .schema import DEFAULT_LIMIT, DEFAULT_SCAN, KINDS, SOURCES
-from .sources import store
+from .sources import store, work
 from .sources.store import StoreError
 
 
@@ -177,17 +177,14 @@ def cmd_stats(spark, a) -> int:
 
 def cmd_audit(spark, a) -> int:
     """LEK33.  Audits the index as it would be shown; files named, or those below folders;
-    ``-`` is what comes on standard input."""
+    with --tree what git tracks there; ``-`` is what comes on standard input.  Of files,
+    each finding is listed with its place."""
     from .audit import detect
 
-    if not a.path:
-        turns, _, _ = store.read(spark, a.index)
-        found = detect.findings(plan.audit_ready(turns, local_account()), "turn_id")
-    elif a.path == ["-"]:
-        files = spark.createDataFrame([("standard input", bytearray(sys.stdin.buffer.read()))], "path string, content binary")
-        found = detect.scan_files(files, not a.nul_only, honour=False)
-    else:
-        found = detect.scan_files(detect.read_files(spark, a.path, a.glob), not a.nul_only)
+    if a.path or a.tree:
+        return _audit_files(spark, a)
+    turns, _, _ = store.read(spark, a.index)
+    found = detect.findings(plan.audit_ready(turns, local_account()), "turn_id")
     rows = found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("snippet").alias("x")).select("label", "n", detect.shorten(F.col("x")).alias("x")).orderBy(F.desc("n"), "label").collect()
     for r in rows:
         print(f"{r['n']:>6}  {r['label']}  {r['x']}")
@@ -196,13 +193,43 @@ def cmd_audit(spark, a) -> int:
     return 0 if total == a.expect_findings else 1
 
 
+def _audit_files(spark, a) -> int:
+    """LEK30, LEK31, AGG13."""
+    from .audit import detect
+
+    given = a.path == ["-"]
+    paths = [work.spool(spark, sys.stdin.buffer, "stdin")] if given else [*a.path, *(detect.tracked_files(a.tree) if a.tree else ())]
+    found = detect.scan_records(detect.read_records(spark, paths, a.glob), not a.nul_only).withColumn("path", F.lit("<stdin>") if given else F.col("path"))
+    if a.strict or given:
+        found = found.withColumn("exempt", F.lit(False))
+    found = found.cache()
+    if a.count_markers:
+        marked = found.filter("exempt").select("path", "line").distinct().orderBy("path", "line")
+        for r in marked.toLocalIterator():
+            print(f"{r['path']}:{r['line']}")
+        print(f"{marked.count()} marked line(s)")
+        return 0
+    by_input = detect.per_input(found).cache()
+    total = by_input.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("inputs")).first()
+    if not a.quiet:
+        listed = found.filter("not exempt").select("path", "line", "label", detect.shorten(F.col("snippet")).alias("x")).orderBy("path", "line", "label", "x")
+        for r in listed.toLocalIterator():
+            print(f"LEAK {r['path']}:{r['line']}: {r['label']}: {r['x']}")
+        for r in by_input.orderBy(F.desc("n"), "path").toLocalIterator():
+            print(f"{r['n']:>6}  {r['path']}")
+        print(f"{total['n']} findings in {total['inputs']} input(s)")
+    found.unpersist()
+    by_input.unpersist()
+    return 0 if total["n"] == a.expect_findings else 1
+
+
 def cmd_export(spark, a) -> int:
     """SNK12, SNK13.  Redacted turns as JSON lines, written only if an audit finds nothing."""
     from .plans.export import export_corpus
 
     _guard(spark)
     turns, sessions, _ = store.read(spark, a.index)
-    n = export_corpus(turns, sessions, a.out, local_account())
+    n = export_corpus(turns, sessions, a.out, a.now if a.now is not None else time.time(), local_account())
     if n:
         print(f"{n} findings after redaction; nothing was written", file=sys.stderr)
     return 1 if n else 0
@@ -241,7 +268,7 @@ COMMANDS = {
     "sessions": (cmd_sessions, _ASKED),
     "show": (cmd_show, {"session": {}, "--seq": {"type": int, "default": 0}, "--span": {"type": int, "default": 5}, "--width": {"type": int, "default": 400}}),
     "stats": (cmd_stats, {"--json": _FLAG}),
-    "audit": (cmd_audit, {"path": {"nargs": "*"}, "--glob": {"default": "*"}, "--nul-only": _FLAG, "--expect-findings": {"type": int, "default": 0}}),
+    "audit": (cmd_audit, {"path": {"nargs": "*"}, "--glob": {"default": "*"}, "--tree": {}, "--strict": _FLAG, "--count-markers": _FLAG, "--quiet": _FLAG, "--nul-only": _FLAG, "--expect-findings": {"type": int, "default": 0}}),
     "measure": (cmd_measure, {"--recorded": {}}),
     "export": (cmd_export, {"out": {}}),
 }

@@ -15,7 +15,7 @@ from .audit import detect
 from .functions import excerpt, redact, score, text
 from .operators import context, page, postings, search, stats
 from .operators.filters import Filters
-from .plans import measure
+from .plans import export, measure
 from .sources import parse, tables, work
 
 NOW = float(tables.BASE_TS + 60 * tables.DAY)
@@ -576,6 +576,18 @@ def redact_planted_counts(spark, sf):
     return out.groupBy("label").agg(F.sum("k").alias("n"))
 
 
+@register(
+    _full_sql("(SELECT conv_id * 10000 + turn AS doc_id, text FROM conversations)")
+    + f""", t AS (SELECT conv_id * 10000 + turn AS doc_id, conv_id, turn, CAST({tables.BASE_TS} + conv_id * 86400 + turn * 60 AS DOUBLE) AS ts, CASE role WHEN 'user' THEN 'user_request' WHEN 'assistant' THEN 'assistant_text' ELSE 'meta' END AS kind FROM conversations)
+ SELECT left(CAST(conv_id AS VARCHAR), 8) AS session, 'conversations' AS source, CAST(turn AS INTEGER) AS seq, CAST(round_even(({NOW} - ts) / 86400.0, 0) AS BIGINT) AS age_days, kind, left(text, 1200) AS text FROM t JOIN o USING (doc_id)"""
+)
+def export_rows(spark, sf):
+    turns = _conv(spark, sf)
+    sessions = turns.select("session_key", "session_id", "source").distinct().withColumns({"title": F.lit(""), "turns": F.lit(0)})
+    corpus = export.redacted_corpus(turns.drop("session_id"), sessions, NOW)
+    return corpus.select("session", "source", "seq", "age_days", "kind", "text")
+
+
 def _has(s: str, *patterns: str) -> str:
     return " + ".join(f"CAST(regexp_matches({s}, {_lit(p)}) AS INTEGER)" for p in patterns)
 

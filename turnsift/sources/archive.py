@@ -53,6 +53,12 @@ def local_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/*", "/")
 
 
+def file_path() -> Column:
+    """The file a row was read from.  It comes as a URI: percent signs are escapes there,
+    plus signs are not."""
+    return local_path(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+
+
 def lines(spark: SparkSession, source: Source) -> DataFrame:
     """SRC4, SRC5: path, start, at and raw of each line, blank ones (empty) included.
 
@@ -65,7 +71,5 @@ def lines(spark: SparkSession, source: Source) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     if not source.root.endswith(".jsonl"):
         reader = reader.option("pathGlobFilter", "*.jsonl")
-    # a file's path comes as a URI: percent signs are escapes there, plus signs are not
-    path = local_path(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
-    found = reader.text(source.root).select(path.alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.make_valid_utf8("value").alias("value"))
+    found = reader.text(source.root).select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.make_valid_utf8("value").alias("value"))
     return found.select(F.lit(source.name).alias("source"), "path", "start", "at", bare(F.col("value")).alias("raw"))

@@ -36,6 +36,17 @@ def put(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spool(spark: SparkSession, stream, tag: str, chunk: int = 1 << 20) -> str:
+    """A binary stream, copied piece by piece to a new file; its path."""
+    path = folder(spark, tag)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    while piece := stream.read(chunk):
+        out.write(bytearray(piece))
+    out.close()
+    return path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
