@@ -42,6 +42,16 @@ def test_term_match(spark):
     assert hits("alpha", "--") == []
 
 
+def test_folding(spark):
+    rng = random.Random(8)
+    texts = ["Ωμέγα ΣΟΦΌΣ σοφος", "Ёлка й", "Việt Nam", "İstanbul IĞDIR", "한국어 가", "a\u0301b c_d", "²½ x٣", "", None, "plain ASCII, too"]
+    texts += ["".join(chr(rng.choice([rng.randint(32, 126), rng.randint(0xA0, 0x24F), rng.randint(0x370, 0x52F), rng.randint(0x1E00, 0x1FFF)])) for _ in range(30)) for _ in range(200)]
+    got = column(spark, texts, text.fold_column)
+    odd = [(t, a, text.fold(t)) for t, a in zip(texts, got, strict=True) if a != text.fold(t)]
+    assert not odd
+    assert text.fold("ΣΟΦΌΣ") == text.fold("σοφοσ") == " σοφοσ " and text.fold("Việt") == " viet "
+
+
 def test_error_signs(spark):
     yes = ["Traceback (most recent call last)", "ok\n  ValueError: x", "error[E0308]: y", "FAILED", "exit code 2", "npm ERR! z"]
     no = ["FAILURE", "exit 0", "an Error happened", "x" * 401 + "\nfatal: no", "all fine"]

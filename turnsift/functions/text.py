@@ -8,8 +8,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,29 +62,46 @@ def result_kind(text: Column, flagged: Column) -> Column:
     return F.when(flagged | F.substring(text, 1, 400).rlike(ERROR_PATTERN), "error").otherwise("tool_output")
 
 
+@cache
+def fold_table() -> tuple[str, str]:
+    """Lower-case letters of any script whose canonical decomposition is one letter and
+    marks, and those letters; the last sigma of a word is a sigma.  (Hangul syllables and
+    others that decompose into several letters stay.)"""
+    pairs = {"\u03c2": "\u03c3"}
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xF900, 0x30000))):
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if len(bare) == 1 and bare != c and c == c.lower():
+            pairs[c] = pairs.get(bare, bare)
+    return "".join(pairs), "".join(pairs.values())
+
+
 def fold(text: str | None) -> str:
     """Search tokens between single spaces: letters and digits, lower case, no accents."""
-    plain = unicodedata.normalize("NFD", (text or "").lower())
+    plain = (text or "").lower()
     if not plain.isascii():
+        plain = plain.translate(str.maketrans(*fold_table()))
         plain = "".join(c for c in plain if unicodedata.category(c) != "Mn")
     tokens = re.findall(r"[^\W_]+", plain)
     return f" {' '.join(tokens)} " if tokens else ""
 
 
 def fold_column(text: Column) -> Column:
-    """fold, at index time only; Spark has no canonical decomposition."""
+    """fold, JVM-side: a lookup for each letter, in texts that aren't ASCII, and marks
+    removed."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    bare = F.regexp_replace(F.translate(low, *fold_table()), r"\p{Mn}+", "")
+    return _spaced(F.when(low.rlike(r"[^\x00-\x7f]"), bare).otherwise(low))
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(fold)
 
-    return run(text)
+def _spaced(text: Column) -> Column:
+    """The runs of letters and digits between single spaces."""
+    bare = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
+    return F.when(bare == "", "").otherwise(F.concat(F.lit(" "), bare, F.lit(" ")))
 
 
 def tokens_sql(text: Column) -> Column:
     """The same tokens without folding accents, JVM-side (tables without an index)."""
-    bare = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(bare == "", "").otherwise(F.concat(F.lit(" "), bare, F.lit(" ")))
+    return _spaced(F.lower(text))
 
 
 def split_query(query: str) -> list[str]:

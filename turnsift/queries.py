@@ -159,6 +159,20 @@ def search_folded(spark, sf):
     return docs.filter(either).select(F.col("turn_id").alias("doc_id"))
 
 
+SCRIPTS = ["Ωμέγα και ΣΟΦΌΣ", "Ёлка, чай й", "Việt Nam", "ÅNGSTRÖM İstanbul", "plain words"]
+_SCRIPTS = "(SELECT doc_id, s || chr(10) || coalesce(text, '') AS text FROM documents JOIN (VALUES " + ", ".join(f"({k}, '{s}')" for k, s in enumerate(SCRIPTS)) + f") v(k, s) ON k = doc_id % {len(SCRIPTS)})"
+
+
+@register(f"SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS tok FROM {_SCRIPTS}) WHERE contains(tok, ' ωμεγα ') OR contains(tok, ' елка чаи ') OR contains(tok, ' viet nam ') OR contains(tok, ' angstrom ')")
+def search_folded_scripts(spark, sf):
+    # each document behind a few words of a script, by its number
+    words = F.element_at(F.array(*[F.lit(s) for s in SCRIPTS]), F.pmod("doc_id", F.lit(len(SCRIPTS))).cast("int") + 1)
+    docs = _read(spark, sf, "documents").select("doc_id", F.concat(words, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    docs = docs.select("doc_id", text.fold_column(F.col("text")).alias("text_tok"), F.lit("").alias("target_tok"))
+    any_of = text.matches(["ΩΜΕΓΑ"]) | text.matches(["ёлка ЧАЙ"]) | text.matches(["VIET Nam"]) | text.matches(["Angström"])
+    return docs.filter(any_of).select("doc_id")
+
+
 @register(f"{DOCS} SELECT turn_id, tool, project FROM t WHERE contains(tok, ' of the ')")
 def search_phrase_term(spark, sf):
     return search.candidates(_docs(spark, sf), ["of the"], folded=False).select("turn_id", "tool", "project")
