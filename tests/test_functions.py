@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import plain
 import pytest
 from archive_fixture import SECRETS, fill
 from pyspark.sql import functions as F
@@ -92,24 +93,30 @@ def test_score_parts(spark):
     assert _parts(spark, ["one", "two", "three"], "one two " + "y" * 80 + " three")[2] == 0
 
 
-def test_window_rule_is_greedy():
+def test_window_rule_is_greedy(spark):
     terms = ["aa", "bb", "cc"]
     hay = "bb" + "." * 50 + "aa" + "." * 4 + "bb" + "." * 40 + "cc"
-    found = {t: score.places(hay, t) for t in terms}
-    assert not score.close_together(found, terms)  # the first bb is taken, then cc is too far
-    assert score.close_together({t: score.places(hay[50:], t) for t in terms}, terms)
+    rng = random.Random(6)
+    texts = [hay, hay[50:], *("".join(rng.choice(["aa", "bb", "cc", "a", ".." * rng.randint(1, 16)]) for _ in range(rng.randint(0, 14))) for _ in range(300))]
+    got = column(spark, texts, lambda c: score.close_together(F.array(*[score.positions(c, t) for t in terms]), terms))
+    assert got == [plain.close_together({t: plain.places(x, t) for t in terms}, terms) for x in texts]
+    assert got[:2] == [False, True]  # the first bb is taken, then cc is too far
 
 
 def test_positions(spark):
-    assert column(spark, ["aaa", "b"], lambda c: score.positions(c, "aa")) == [[0, 1], []]
+    texts = ["aaa", "b", "", "éaa aa", "a.a+a.a", "xaa" * 5]
+    for term in ("aa", "a.", "É", "b"):
+        assert column(spark, texts, lambda c, term=term: score.positions(F.lower(c), term)) == [plain.places(x, term) for x in texts]
 
 
 def test_excerpts(spark):
     body = "start " + "filler " * 60 + "needle in the hay " + "filler " * 60
-    cut = excerpt.snip(body, ["needle"])
+    rng = random.Random(3)
+    texts = [body, "short one", "two\nlines", None, "", "x" * 600, "needle" * 80, " \x1c spaced\u00a0 \r\n out ", *(" ".join(rng.choices(["the", "needle", "Hay", "bale\n", "é" * 30, "aa", "\t"], k=rng.randint(1, 400))) for _ in range(60))]
+    for terms in (["needle"], ["hay", "NEEDLE", "the"], ["aaa", "é"], []):
+        assert column(spark, texts, lambda c, terms=terms: excerpt.snip_column(c, terms)) == [plain.snip(t, terms) for t in texts]
+    cut = column(spark, [body], lambda c: excerpt.snip_column(c, ["needle"]))[0]
     assert "needle" in cut and len(cut) <= 262 and cut[0] == cut[-1] == "…"
-    assert excerpt.snip("short one", ["x"]) == "short one" and excerpt.snip("two\nlines", []) == "two lines"
-    assert excerpt.snip(None, ["x"]) == ""
     assert column(spark, ["a  b\n c", "x" * 140], excerpt.context_line) == ["a b c", "x" * 130 + "…"]
     ages = [0.0, NOW, NOW - 1.5 * DAY, NOW - 10 * DAY, NOW - 100 * DAY, NOW - 800 * DAY]
     assert column(spark, ages, lambda c: excerpt.ago(c, NOW), "double") == ["?", "today", "yesterday", "10d ago", "3mo ago", "2.2y ago"]

@@ -1,58 +1,64 @@
-"""Excerpts and display scalars (TXT11-TXT15).  The window search runs as an Arrow UDF
-on the few rows that are shown; the rest are Columns."""
+"""Excerpts and display scalars (TXT11-TXT15), as Columns."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import CONTEXT_WIDTH, EXCERPT_WIDTH
-from .score import places
+from .score import bound, positions
 
 DOTS = "…"
 
 
-def best_window(text: str, terms: Sequence[str], width: int = EXCERPT_WIDTH) -> tuple[int, int]:
+_BLANKS = r"(?U)[\s\x1c-\x1f]+"
+
+
+def _window_start(low: Column, terms: Sequence[str], width: int) -> Column:
     """TXT11: of the windows that start at an occurrence, the one with most distinct terms
-    wholly inside, then the tightest, then the first; moved left by a quarter."""
-    low = text.lower()
-    hits = sorted((p, p + len(t), t.lower()) for t in terms for p in places(low, t))
-    if not hits:
-        return 0, min(len(text), width)
-    ranked = []
-    for at in sorted({h[0] for h in hits}):
-        inside = [h for h in hits if at <= h[0] and h[1] <= at + width]
-        reach = max((h[1] for h in inside), default=at) - at
-        ranked.append((-len({h[2] for h in inside}), reach, at))
-    begin = max(0, min(ranked)[2] - width // 4)
-    return begin, min(len(text), begin + width)
-
-
-def snip(text: str | None, terms: Sequence[str], width: int = EXCERPT_WIDTH) -> str:
-    """TXT12: the window as one line, at word boundaries, dots where text was cut."""
-    text = (text or "").replace("\r", "")
-    bare = text.strip()
-    if len(text) <= width and "\n" not in bare:
-        return bare
-    a, b = best_window(text, terms, width)
-    if a and (gap := text.find(" ", a, min(a + 20, b))) >= 0:
-        a = gap + 1
-    if b < len(text) and (gap := text.rfind(" ", max(a, b - 20), b)) > a:
-        b = gap
-    return DOTS * (a > 0) + " ".join(text[a:b].split()) + DOTS * (b < len(text))
+    (SET3) wholly inside, then the tightest, then the first.  Null without an occurrence."""
+    named = lambda t, k: F.transform(positions(low, t), lambda p: F.struct(p.alias("at"), (p + len(t)).alias("end"), F.lit(k).alias("k")))
+    each = [named(t, k) for k, t in enumerate(dict.fromkeys(t.lower() for t in terms))]
 
+    def best(hits: Column) -> Column:
+        def rank(at: Column) -> Column:
+            inside = F.filter(hits, lambda h: (h["at"] >= at) & (h["end"] <= at + width))
+            return bound(inside, lambda i: F.struct((-F.size(F.array_distinct(i["k"]))).alias("n"), (F.coalesce(F.array_max(i["end"]), at) - at).alias("reach"), at.alias("at")))
 
-def snip_column(text: Column, terms: Sequence[str], width: int = EXCERPT_WIDTH) -> Column:
-    terms = list(terms)
+        return F.array_min(F.transform(F.array_distinct(hits["at"]), rank))["at"]
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: snip(t, terms, width))
+    return bound(F.concat(*each), best) if each else F.lit(None).cast("int")
 
-    return run(text)
+
+def snip_column(text: Column, terms: Sequence[str], width: int = EXCERPT_WIDTH) -> Column:
+    """TXT12: the best window, moved left by a quarter, as one line, at word boundaries,
+    dots where text was cut."""
+    cut = lambda t, a, b: F.substring(t, a + 1, b - a)
+
+    def inner(t: Column) -> Column:
+        def at_words(s: Column) -> Column:
+            gap = F.instr(cut(t, s["a"], F.least(s["a"] + 20, s["b"])), " ")
+            return F.struct(F.when((s["a"] > 0) & (gap > 0), s["a"] + gap).otherwise(s["a"]).alias("a"), s["b"].alias("b"))
+
+        def to_words(s: Column) -> Column:
+            low = F.greatest(s["a"], s["b"] - 20)
+            back = F.instr(F.reverse(cut(t, low, s["b"])), " ")
+            gap = s["b"] - back
+            return F.struct(s["a"].alias("a"), F.when((s["b"] < F.length(t)) & (back > 0) & (gap > s["a"]), gap).otherwise(s["b"]).alias("b"))
+
+        def line(s: Column) -> Column:
+            said = F.trim(F.regexp_replace(cut(t, s["a"], s["b"]), _BLANKS, " "))
+            return F.concat(F.when(s["a"] > 0, DOTS).otherwise(""), said, F.when(s["b"] < F.length(t), DOTS).otherwise(""))
+
+        begin = F.greatest(F.lit(0), F.coalesce(_window_start(F.lower(t), terms, width) - width // 4, F.lit(0)))
+        span = bound(begin, lambda a: F.struct(a.alias("a"), F.least(F.length(t), a + width).alias("b")))
+        whole = F.regexp_replace(t, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+        windowed = bound(bound(bound(span, at_words), to_words), line)
+        return F.when((F.length(t) <= width) & ~F.contains(whole, F.lit("\n")), whole).otherwise(windowed)
+
+    return bound(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("")), inner)
 
 
 def context_line(text: Column, width: int = CONTEXT_WIDTH) -> Column:

@@ -1,15 +1,15 @@
 """The additive score: kind + terms + phrase + recency (TXT3-TXT9).
 
-Everything is a Column over ``text``, ``target``, ``kind`` and ``ts``; only a query of
-three or more terms needs an Arrow UDF, for the greedy window rule.
+Everything is a Column over ``text``, ``target``, ``kind`` and ``ts``.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,35 +37,52 @@ def terms_points(hay: Column, terms: Sequence[str]) -> Column:
 
 
 def positions(hay: Column, term: str) -> Column:
-    """TXT3: 0-based offsets of all occurrences, overlapping ones too.  Each offset is
-    looked at, so this is for rows that are shown, not for scoring."""
+    """TXT3: 0-based offsets of all occurrences, overlapping ones too: the text is cut
+    before each, and the lengths of the pieces are added up."""
     low = term.lower()
-    n = len(low)
-    every = F.sequence(F.lit(0), F.greatest(F.length(hay) - n, F.lit(0)))
-    return F.when(F.contains(hay, F.lit(low)), F.filter(every, lambda i: F.substring(hay, i + 1, F.lit(n)) == low)).otherwise(F.array().cast("array<int>"))
+    pieces = F.split(hay, f"(?={re.escape(low)})", -1)
+    none = F.array().cast("array<int>")
+    grown = lambda acc, piece: F.struct(F.concat(acc["at"], F.array(acc["n"])).alias("at"), (acc["n"] + F.length(piece)).alias("n"))
+    starts = F.aggregate(pieces, F.struct(none.alias("at"), F.lit(0).alias("n")), grown, lambda acc: acc["at"])
+    # the first piece starts at an occurrence only if the text does
+    return F.when(hay.startswith(low), starts).when(F.contains(hay, F.lit(low)), F.slice(starts, 2, 1 << 30)).otherwise(none)
 
 
-def close_together(found: dict[str, list[int]], terms: Sequence[str], window: int = PHRASE_WINDOW) -> bool:
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
+
+
+def close_together(found: Column, terms: Sequence[str], window: int = PHRASE_WINDOW) -> Column:
     """TXT7: from each place of the rarest term, take for each other term, in query order,
-    its first place that keeps the span within ``window``; all placed: yes."""
-    pivot = min(terms, key=lambda t: len(found[t]))
-    others = [t for t in terms if t != pivot]
-    for p in found[pivot]:
-        span = (p, p + len(pivot))
-        for t in others:
-            grown = ((min(span[0], q), max(span[1], q + len(t))) for q in found[t])
-            span = next((s for s in grown if s[1] - s[0] <= window), None)
-            if span is None:
-                break
-        if span:
-            return True
-    return False
-
-
-def places(hay: str, term: str) -> list[int]:
-    out, at, low = [], -1, term.lower()
-    while low and (at := hay.find(low, at + 1)) >= 0:
-        out.append(at)
+    its first place that keeps the span within ``window``; all placed: yes.  found: the
+    array of each term's places."""
+    size = lambda k: F.size(found[k])
+
+    def grow(span: Column, k: int) -> Column:
+        def wide(s: Column, q: Column) -> Column:
+            return F.struct(F.least(s["lo"], q).alias("lo"), F.greatest(s["hi"], q + len(terms[k])).alias("hi"))
+
+        def first(s: Column) -> Column:
+            fits = F.filter(F.transform(found[k], lambda q: wide(s, q)), lambda w: w["hi"] - w["lo"] <= window)
+            return F.when(s.isNotNull(), F.get(fits, 0))
+
+        return bound(span, first)
+
+    def around(k: int) -> Column:
+        def placed(p: Column) -> Column:
+            span = F.struct(p.alias("lo"), (p + len(terms[k])).alias("hi"))
+            for other in range(len(terms)):
+                if other != k:
+                    span = grow(span, other)
+            return span.isNotNull()
+
+        return F.exists(found[k], placed)
+
+    out = around(len(terms) - 1)
+    for k in reversed(range(len(terms) - 1)):
+        rarest = [size(k) <= size(j) for j in range(k + 1, len(terms))]
+        out = F.when(reduce(and_, rarest), around(k)).otherwise(out)
     return out
 
 
@@ -89,11 +106,8 @@ def phrase_points(hay: Column, terms: Sequence[str], found: Column) -> Column:
         near = _one_after(hay, *terms) | _one_after(hay, *reversed(terms))
         return F.when(all_found, F.when(near, PHRASE_POINTS).otherwise(0)).otherwise(0)
 
-    @F.pandas_udf("boolean")
-    def near_udf(text: pd.Series) -> pd.Series:
-        return text.map(lambda h: h is not None and close_together({t: places(h, t) for t in terms}, terms))
-
-    return F.when(F.coalesce(near_udf(F.when(all_found, hay)), F.lit(False)), PHRASE_POINTS).otherwise(0)
+    near = bound(F.array(*[positions(hay, t) for t in terms]), lambda found: close_together(found, terms))
+    return F.when(all_found, F.when(near, PHRASE_POINTS).otherwise(0)).otherwise(0)
 
 
 def recency_points(ts: Column, now: float) -> Column:

@@ -431,12 +431,31 @@ def context_line(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", excerpt.context_line(F.coalesce("text", F.lit(""))).alias("line"))
 
 
-@register()
+def _snip_sql(a: str, b: str, inner: str, width: int = 260) -> str:
+    """TXT11, TXT12 for two terms: places, the best window, then word boundaries."""
+    place = lambda t, p: f"CAST(list_sum(list_transform({p}[1:i], lambda w: length(w))) AS BIGINT) + (i - 1) * {len(t)}"
+    at = lambda t, k, p: f"list_transform(range(1, len({p})), lambda i: struct_pack(s := {place(t, p)}, e := {place(t, p)} + {len(t)}, k := {k}))"
+    inside = f"list_filter(hits, lambda h: h.s >= x AND h.e <= x + {width})"
+    rank = f"list_transform(list_distinct(list_transform(hits, lambda h: h.s)), lambda x: struct_pack(n := -len(list_distinct(list_transform({inside}, lambda h: h.k))), r := coalesce(list_max(list_transform({inside}, lambda h: h.e)), x) - x, s := x))"
+    return f"""{inner}, c AS (SELECT turn_id, replace(text, chr(13), '') AS x FROM top), d AS (SELECT turn_id, x AS t, string_split(lower(x), '{a}') AS pa, string_split(lower(x), '{b}') AS pb, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS bare FROM c),
+ g AS (SELECT *, list_concat({at(a, 1, "pa")}, {at(b, 2, "pb")}) AS hits FROM d), j AS (SELECT *, greatest(0, coalesce(list_min({rank}).s - {width // 4}, 0)) AS a0 FROM g), k AS (SELECT *, least(length(t), a0 + {width}) AS b0 FROM j),
+ l AS (SELECT *, CASE WHEN a0 > 0 AND strpos(substring(t, a0 + 1, least(20, b0 - a0)), ' ') > 0 THEN a0 + strpos(substring(t, a0 + 1, least(20, b0 - a0)), ' ') ELSE a0 END AS a1 FROM k),
+ m AS (SELECT *, strpos(reverse(substring(t, greatest(a1, b0 - 20) + 1, b0 - greatest(a1, b0 - 20))), ' ') AS back FROM l), n AS (SELECT *, CASE WHEN b0 < length(t) AND back > 0 AND b0 - back > a1 THEN b0 - back ELSE b0 END AS b1 FROM m)
+ SELECT turn_id, CASE WHEN length(t) <= {width} AND NOT contains(bare, chr(10)) THEN bare ELSE CASE WHEN a1 > 0 THEN '…' ELSE '' END || trim(regexp_replace(substring(t, a1 + 1, b1 - a1), '\\s+', ' ', 'g')) || CASE WHEN b1 < length(t) THEN '…' ELSE '' END END AS excerpt FROM n"""
+
+
+@register(_snip_sql("the", "and", f"{_scored_sql('the', 'and')}, top AS (SELECT turn_id, text FROM s ORDER BY score DESC, ts DESC, session_id, seq, turn_id LIMIT 50)"))
 def excerpt_snip(spark, sf):
     hits = search.top_turns(_scored(spark, sf, ["the", "and"]), 50)
     return hits.select("turn_id", excerpt.snip_column(F.col("text"), ["the", "and"]).alias("excerpt"))
 
 
+@register(_snip_sql("the", "license", "WITH top AS (SELECT doc_id AS turn_id, coalesce(text, '') AS text FROM documents)"))
+def excerpt_documents(spark, sf):
+    # every whole text, with and without the terms
+    return _read(spark, sf, "documents").select(F.col("doc_id").alias("turn_id"), excerpt.snip_column(F.col("text"), ["the", "license"]).alias("excerpt"))
+
+
 def _lit(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
