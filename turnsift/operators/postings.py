@@ -2,9 +2,10 @@
 
 ``ranked`` lays the turns out in the order of their points that do not depend on a query
 (kind, then time) and numbers them; ``postings`` has, for each term, field and block of
-2**bits such numbers, the turns and the places that hold the term, in Parquet sorted by
-(term, field, block) with delta-coded numbers, so that a term is a few pages.  No posting
-is longer than a block, whatever the term's frequency.
+2**bits such numbers, the turns and the places that hold the term: Arrow batches of turns
+in order are whole rows of it, which one shuffle deals out by term.  Its Parquet files are
+sorted by (term, field, block) with delta-coded numbers, so that a term is a few pages.
+No posting is longer than a block, whatever the term's frequency.
 
 A search joins the blocks of its terms: sets of turns are intersected within a block, a
 phrase by shifting places.  Each posting has the best kind and the latest time of its
@@ -14,21 +15,26 @@ from the best level of bounds downwards, and stops when no block left can place.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.score import kind_points, recency_points
-from ..functions.text import term_tokens
+from ..functions.text import fold_column, term_tokens
 from ..schema import PHRASE_POINTS, TERM_POINTS
 from .filters import Filters
 from .search import best_first, score, top_turns, with_sessions
 
 BITS = 12
-FIELDS = ("text_tok", "target_tok")
+FIELDS, TOKENS = ("text", "target"), ("text_tok", "target_tok")
+#: Blocks of a term, as a power of two, that stay together.
+SPREAD = 6
 #: Small row groups and pages, and delta codes instead of dictionaries.
 PARQUET = {"parquet.block.size": str(8 << 20), "parquet.page.size": str(64 << 10), "parquet.page.row.count.limit": "500", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
 
@@ -52,30 +58,59 @@ def ranked(turns: DataFrame) -> DataFrame:
     """turns with ``ord``, ascending as points for kind and recency descend.  Not the same
     numbers when computed again: write it."""
     order = [kind_points(F.col("kind")).desc(), F.desc("ts"), F.asc("turn_id")]
-    return turns.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id())
-
-
-def postings(turns: DataFrame, bits: int = BITS) -> DataFrame:
-    """turns: as ``ranked`` gave them, written.  keys: turn in the block << 32 | place."""
-    each = None
-    for k, field in enumerate(FIELDS):
-        tokens = turns.filter(F.col(field) != "").select("ord", "kind", "ts", F.lit(k).alias("field"), F.posexplode(F.split(F.trim(field), " ")).alias("at", "token"))
-        each = tokens if each is None else each.unionByName(tokens)
-    inside = F.col("ord") - F.shiftleft(F.shiftright("ord", bits), bits)
-    key = F.shiftleft(inside, 32) + F.col("at")
-    grouped = each.groupBy("token", "field", F.shiftright("ord", bits).alias("block")).agg(
-        F.sort_array(F.collect_list(key)).alias("keys"), F.max(kind_points(F.col("kind"))).alias("top_kind"), F.max("ts").alias("top_ts")
-    )
+    return turns.drop(*TOKENS).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id())
+
+
+_POSTING = "token string, field int, block long, top_kind int, top_ts double, keys array<long>"
+
+
+def _block_postings(bits: int):
+    """A task that turns batches of (ord, kind, ts, tokens of each field) into one row for
+    each token, field and block in it."""
+
+    def rows(batch: pa.RecordBatch, field: int) -> pa.RecordBatch:
+        words = pc.split_pattern(pc.utf8_trim(batch.column(f"f{field}"), " "), " ")
+        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(batch.num_rows), sizes)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ords, kind, ts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "kind", "ts"))
+        real = np.flatnonzero(~np.isin(code, np.flatnonzero(coded.dictionary.to_numpy(zero_copy_only=False) == "")))
+        real = real[np.lexsort((at[real], ords[row[real]], code[real]))]
+        code, at, row = code[real], at[real], row[real]
+        block = ords[row] >> bits
+        cut = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])))) if len(code) else np.zeros(0, np.int64)
+        keys = ((ords[row] - (block << bits)) << 32) + at
+        most = (lambda x: np.maximum.reduceat(x[row], cut)) if len(cut) else lambda x: x[:0]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(keys)), pa.int32()), pa.array(keys, pa.int64()))
+        columns = [coded.dictionary.take(pa.array(code[cut])), pa.array(np.full(len(cut), field, np.int32)), pa.array(block[cut]), pa.array(most(kind).astype(np.int32)), pa.array(most(ts)), lists]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _POSTING.split(", ")])
+
+    def task(batches):
+        for batch in batches:
+            for field in range(len(FIELDS)):
+                yield rows(batch, field)
+
+    return task
+
+
+def postings(turns: DataFrame, bits: int = BITS, tokens: Callable[[Column], Column] = fold_column) -> DataFrame:
+    """turns: as ``ranked`` gave them, written.  keys: turn in the block << 32 | place.  A
+    block that two tasks or batches read has a row from each."""
+    read = turns.select("ord", kind_points(F.col("kind")).alias("kind"), "ts", *[tokens(F.col(c)).alias(f"f{k}") for k, c in enumerate(FIELDS)])
+    made = read.mapInArrow(_block_postings(bits), _POSTING)
     docs = F.array_distinct(F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")))
-    return grouped.select("token", "field", "block", "top_kind", "top_ts", docs.alias("docs"), "keys")
+    # a frequent term is many partitions, a rare one is one
+    dealt = made.repartition("token", F.shiftright("block", SPREAD)).sortWithinPartitions("token", "field", "block")
+    return dealt.select("token", "field", "block", "top_kind", "top_ts", docs.alias("docs"), "keys")
 
 
-def write(turns: DataFrame, path: str, bits: int = BITS) -> Index:
+def write(turns: DataFrame, path: str, bits: int = BITS, tokens: Callable[[Column], Column] = fold_column) -> Index:
     """Both tables below ``path``."""
     spark = turns.sparkSession
     ranked(turns).write.parquet(f"{path}/ranked")
-    made = postings(spark.read.parquet(f"{path}/ranked"), bits).repartitionByRange("token", "field", "block").sortWithinPartitions("token", "field", "block")
-    made.write.options(**PARQUET).parquet(f"{path}/postings")
+    postings(spark.read.parquet(f"{path}/ranked"), bits, tokens).write.options(**PARQUET).parquet(f"{path}/postings")
     return read(spark, path, bits)
 
 
@@ -95,18 +130,17 @@ def matched(index: Index, terms: Sequence[str], lo: int | None = None, hi: int |
     phrased = {t for term in parts if len(term) > 1 for t in term}
     single = {term[0] for term in parts if len(term) == 1}
     name = {t: k for k, t in enumerate(sorted(phrased | single))}
-    pick = lambda t, f, what: F.first(F.when((F.col("token") == t) & (F.col("field") == f), F.col(what)), ignorenulls=True).alias(f"{what}_{name[t]}_{f}")
+    pick = lambda t, f, what: F.flatten(F.collect_list(F.when((F.col("token") == t) & (F.col("field") == f), F.col(what)))).alias(f"{what}_{name[t]}_{f}")
     wanted = [pick(t, f, "docs") for t in sorted(single) for f in range(len(FIELDS))] + [pick(t, f, "keys") for t in sorted(phrased) for f in range(len(FIELDS))]
     blocks = rows.groupBy("block").agg(*wanted)
 
     def docs(term: list[str], f: int) -> Column:
-        none = F.array().cast("array<int>")
         if len(term) == 1:
-            return F.coalesce(F.col(f"docs_{name[term[0]]}_{f}"), none)
+            return F.col(f"docs_{name[term[0]]}_{f}")
         back = lambda j: lambda k: k - j  # noqa: E731  a second argument would be the index
         shifted = [F.transform(F.col(f"keys_{name[t]}_{f}"), back(j)) for j, t in enumerate(term)]
         starts = reduce(F.array_intersect, shifted)
-        return F.coalesce(F.array_distinct(F.transform(starts, lambda k: F.shiftright(k, 32).cast("int"))), none)
+        return F.array_distinct(F.transform(starts, lambda k: F.shiftright(k, 32).cast("int")))
 
     each = [reduce(F.array_union, [docs(term, f) for f in range(len(FIELDS))]) for term in parts]
     return blocks.select("block", reduce(F.array_intersect, each).alias("docs")).filter(F.size("docs") > 0)
@@ -128,9 +162,9 @@ def levels(index: Index, terms: Sequence[str], now: float, folded: bool = True)
 
 
 def fetch(index: Index, found: DataFrame, lo: int | None = None, hi: int | None = None) -> DataFrame:
-    """The turns of (block, docs), without their token columns."""
+    """The turns of (block, docs)."""
     ords = found.select(F.explode(F.transform("docs", lambda d: F.shiftleft("block", index.bits) + d)).alias("ord"))
-    turns = index.ranked.drop(*FIELDS)
+    turns = index.ranked
     if lo is not None:
         turns = turns.filter(F.col("ord").between(lo << index.bits, ((hi + 1) << index.bits) - 1))
     return turns.join(ords, "ord").drop("ord")
@@ -138,7 +172,7 @@ def fetch(index: Index, found: DataFrame, lo: int | None = None, hi: int | None
 
 def candidates(index: Index, sessions: DataFrame | None, terms: Sequence[str], filters: Filters = Filters(), scan: int | None = None, folded: bool = True) -> DataFrame:
     """As search.candidates, by way of the index: all turns with every term."""
-    found = fetch(index, matched(index, terms, folded=folded)) if all(term_tokens(t, folded) for t in terms) else index.ranked.drop("ord", *FIELDS).filter(F.lit(False))
+    found = fetch(index, matched(index, terms, folded=folded)) if all(term_tokens(t, folded) for t in terms) else index.ranked.drop("ord").filter(F.lit(False))
     out = (found if sessions is None else with_sessions(found, sessions)).filter(filters.predicate())
     return out.orderBy("turn_id").limit(scan) if scan else out
 

@@ -91,7 +91,7 @@ def search_terms_topk(spark, sf):
 
 
 def _term_index(spark, turns) -> postings.Index:
-    return postings.write(turns, work.folder(spark, "terms"))
+    return postings.write(turns, work.folder(spark, "terms"), tokens=text.tokens_sql)
 
 
 @register(ORACLE["search_terms_topk"])
