@@ -36,7 +36,7 @@ FIELDS, TOKENS = ("text", "target"), ("text_tok", "target_tok")
 #: Blocks of a term, as a power of two, that stay together.
 SPREAD = 6
 #: Small row groups and pages, and delta codes instead of dictionaries.
-PARQUET = {"parquet.block.size": str(8 << 20), "parquet.page.size": str(64 << 10), "parquet.page.row.count.limit": "500", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
+PARQUET = {"compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.page.size": str(64 << 10), "parquet.page.row.count.limit": "500", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
 
 
 @dataclass(frozen=True)
@@ -109,7 +109,7 @@ def postings(turns: DataFrame, bits: int = BITS, tokens: Callable[[Column], Colu
 def write(turns: DataFrame, path: str, bits: int = BITS, tokens: Callable[[Column], Column] = fold_column) -> Index:
     """Both tables below ``path``."""
     spark = turns.sparkSession
-    ranked(turns).write.parquet(f"{path}/ranked")
+    ranked(turns).write.option("compression", "zstd").parquet(f"{path}/ranked")
     postings(spark.read.parquet(f"{path}/ranked"), bits, tokens).write.options(**PARQUET).parquet(f"{path}/postings")
     return read(spark, path, bits)
 
