@@ -76,7 +76,7 @@ def shown(df):
     return Counter(map(tuple, df.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()))
 
 
-@pytest.mark.parametrize(("n", "span"), [(90, 1), (400, 2), (400, 6)])
+@pytest.mark.parametrize(("n", "span"), [(90, 1), (400, 6)])
 def test_manifest(spark, monkeypatch, n, span):
     monkeypatch.setattr(merkle, "SPAN", span)
     monkeypatch.setattr(merkle, "RUN_ROWS", 50)
@@ -85,7 +85,7 @@ def test_manifest(spark, monkeypatch, n, span):
     assert shown(prove_documents(extra)) == manifest(rows)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10])
+@pytest.mark.parametrize("n", [1, 4, 10])
 def test_small_manifests(spark, n):
     rows = [(k, f"t\n{k}", "en", f"s{k % 2}", k) for k in range(n)]
     assert shown(prove_documents(spark.createDataFrame(rows, DOC))) == manifest(rows)
@@ -236,7 +236,7 @@ def test_trie_links(radius, monkeypatch):
     assert sorted(both) == sorted((i, j - half) for i, j in want if i < half <= j)
 
 
-@pytest.mark.parametrize("leaf", [7, 60, 100_000])
+@pytest.mark.parametrize("leaf", [7, 100_000])
 def test_near_components_of_any_cut(spark, leaf):
     keys = flipped(random.Random(9), 60, 5, 3)
     prints = [(k * 5, f) for k, f in enumerate(keys)] + [(k * 5 + 1, keys[k % 3]) for k in range(50)]
