@@ -13,7 +13,7 @@ from turnsift.audit import detect
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events customer orders documents benchmark labels conversations".split()
-SAMPLE = ["score_breakdown", "sessions_ranked", "phrase_bonus", "neighbours_range", "show_window", "tool_name_asof", "stats_span", "epoch_normalise", "clip_text", "error_signal_kind", "redact_email", "audit_signatures", "audit_entropy", "ingest_turns", "session_bounds_last_value", "prompt_recovery_anti", "redact_full", "redact_planted", "redact_counts", "redact_planted_counts", "audit_findings", "phrase_bonus_three_terms", "search_folded", "page_snip", "excerpt_snip", "search_folded_scripts", "search_index_topk", "export_rows"]
+SAMPLE = ["score_breakdown", "sessions_ranked", "phrase_bonus", "neighbours_range", "show_window", "tool_name_asof", "stats_span", "epoch_normalise", "clip_text", "error_signal_kind", "redact_email", "audit_signatures", "audit_entropy", "ingest_turns", "session_bounds_last_value", "prompt_recovery_anti", "redact_full", "redact_planted", "redact_planted_counts", "audit_findings", "phrase_bonus_three_terms", "search_folded", "page_snip", "excerpt_snip", "search_index_topk", "export_rows"]
 
 
 def test_every_oracle_has_a_query():
