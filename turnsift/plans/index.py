@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources import store
 from ..sources.archive import Source, discover, lines
 from ..sources.parse import build, emissions, numbered
-from ..sources.work import remove
+from ..sources.work import remove, scope
 
 
 def build_index(spark: SparkSession, path: str, archive: str | None = None, only: Sequence[str] = (), home: str | None = None) -> tuple[dict, list[Source]]:
@@ -33,10 +33,11 @@ def build_index(spark: SparkSession, path: str, archive: str | None = None, only
     work = f"{path.rstrip('/')}/work-{uuid.uuid4().hex}"
     found.write.parquet(work)
     emitted = numbered(spark.read.schema(found.schema).parquet(work), f"{work}-splits")
-    turns, sessions, counts = build(emitted, home=home if home is not None else os.path.expanduser("~"))
-    meta = {r["name"]: r["n"] for r in counts.collect()}
-    meta["build_seconds"] = round(time.time() - began, 1)
-    store.write(path, turns, sessions, meta)
+    with scope(spark):
+        turns, sessions, counts = build(emitted, home=home if home is not None else os.path.expanduser("~"))
+        meta = {r["name"]: r["n"] for r in counts.collect()}
+        meta["build_seconds"] = round(time.time() - began, 1)
+        store.write(path, turns, sessions, meta)
     remove(spark, work)
     remove(spark, f"{work}-splits")
     return meta, sources

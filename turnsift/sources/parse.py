@@ -228,9 +228,10 @@ def _stem(path: str = "path"):
 def build(emitted: DataFrame, home: str = "/nonexistent", most: int = MAX_TEXT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """turns, sessions and parse counters of emissions of any mix of sources (SET1).
 
-    emitted is used several times: write or cache it before.
+    emitted is used several times: write or cache it before.  What was said and the turns
+    are written on the way (``work.clear`` removes them), since all that follows reads them.
     """
-    said = _clean(emitted.filter("role <> 'record'"), most)
+    said = put(_clean(emitted.filter("role <> 'record'"), most), "said")
     records = emitted.filter("role = 'record'")
     files = emitted.filter("source <> 'claude_prompts'")
     set_ = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.struct("line_no", F.col(c).alias("v")))
@@ -249,13 +250,14 @@ def build(emitted: DataFrame, home: str = "/nonexistent", most: int = MAX_TEXT)
     heads = records.filter("source = 'claude_prompts' and sid <> ''").groupBy("source", "path", F.col("sid").alias("session_id")).agg(F.min_by("cwd", "line_no").alias("cwd"), F.min(dated).alias("first_ts"), F.max(dated).alias("last_ts"))
     by_prompt = heads.select("source", "path", "session_id", collapse_home(F.coalesce("cwd", F.lit("")), home).alias("project"), F.lit("").alias("title"), "first_ts", "last_ts")
 
-    turns = turns.drop("sid").unionByName(prompts.filter("text <> ''").drop("sid"))
+    turns = put(turns.drop("sid").unionByName(prompts.filter("text <> ''").drop("sid")), "placed")
     held = turns.groupBy("source", "path", "session_id").agg(F.count(F.lit(1)).cast("int").alias("turns"))
     key = F.xxhash64("source", "session_id", "path")
     sessions = by_file.unionByName(by_prompt).join(held, ["source", "path", "session_id"])
     sessions = sessions.select(key.alias("session_key"), "session_id", "source", "project", "path", "title", F.coalesce("first_ts", F.lit(0.0)).alias("first_ts"), F.coalesce("last_ts", F.lit(0.0)).alias("last_ts"), "turns")
     # the key of a turn is its place, so it does not depend on how the job was cut
     turns = turns.select(F.xxhash64("source", "path", "line_no", "pos").alias("turn_id"), key.alias("session_key"), F.col("seq").cast("int").alias("seq"), "ts", "kind", "tool", "target", "text", "sidechain", "truncated", F.col("orig_len").cast("int").alias("orig_len"), fold_column(F.col("text")).alias("text_tok"), fold_column(F.col("target")).alias("target_tok"))
+    turns = put(turns, "turns")
     return turns, sessions, counters(records, said, turns)
 
 

@@ -4,6 +4,7 @@ share (spark.checkpoint.dir; in a local session without one, a temporary folder)
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -52,6 +53,17 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Removes, at its end, what was put inside."""
+    held = len(_written)
+    try:
+        yield
+    finally:
+        while len(_written) > held:
+            remove(spark, _written.pop())
+
+
 def clear(spark: SparkSession) -> None:
     """Removes all that this process has put.  Frames made of it can't be read any more."""
     while _written:
