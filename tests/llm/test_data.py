@@ -1,5 +1,7 @@
 """Sharding, preference formatting, packing, decontamination, toxicity, personal data."""
 
+import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -227,6 +229,43 @@ def test_word_models_agree_with_newton():
     assert np.allclose(x.dot(np.arange(12.0)), dense @ np.arange(12.0)) and np.allclose(x.back(y), y @ dense)
 
 
+def test_the_chain_by_plain_loops(spark):
+    """score() against dictionaries of weights; the earlier probability that a text passes
+    on is that of a model fitted without the texts of its fold, copies included."""
+    rng = random.Random(31)
+    vocab = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(60)]
+    rows = [(k, " ".join(rng.choice(vocab) for _ in range(12)) + " drab" * (k % 3 == 0) + " vile" * (k % 7 == 0)) for k in range(150)]
+    rows += [(200 + k, t) for k, t in rows[:20]] + [(300, None), (301, " ".join(vocab) * 40)]
+    labels = [(k, int(k % 3 != 0), int(k % 7 == 0)) for k in range(150)]
+    docs, table = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, table)
+    texts = {k: (t or "").encode() for k, t in rows}
+    places = {k: next(toxicity.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))).tolist() for k, t in texts.items()}
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", toxicity.fold_of(F.coalesce("text", F.lit(""))).alias("f")).collect()}
+    assert all(fold[200 + k] == fold[k] for k in range(20))
+
+    def chance(z):
+        return 1 / (1 + math.exp(-z))
+
+    want = {}
+    for k, at in places.items():
+        own, passed, later = (sum(float(chain.table[a, c]) for a in at) for c in (0, 2 + fold[k], 1))
+        e = chance(passed + chain.fold_biases[0][fold[k]])
+        want[k] = chance(own + chain.biases[0]), chance(later + chain.links[1][0] * e + chain.biases[1])
+    got = {r["doc_id"]: (r["p_low_quality"], r["p_toxic"]) for r in toxicity.score(docs, chain).collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], atol=1e-9) for k in got)
+    # the same model without the fold, up to the common scale
+    at = [(a, k) for k in range(150) for a in places[k]]
+    x = toxicity._Rows(np.array([a for a, _ in at], np.int32), np.array([k for _, k in at], np.int32), 150, 1 << toxicity.BITS)
+    y, out = np.array([1.0 - q for _, q, _ in labels]), np.array([fold[k] for k in range(150)])
+    full = toxicity._words(x, y, np.ones(150, bool))[0]
+    big = np.abs(full).argmax()
+    for part in range(toxicity.FOLDS):
+        w = toxicity._words(x, y, out != part)[0] * (chain.table[big, 0] / full[big])
+        assert np.allclose(chain.table[:, 2 + part], w, atol=1e-4)
+
+
 def test_toxicity_bounds_and_odd_tables(spark):
     """Several label rows and texts of an id, a long text, the two bounds, dotted names."""
     rows = [(k, f"{'grumple' if k % 4 == 0 else 'plain'} word{k}") for k in range(80)]

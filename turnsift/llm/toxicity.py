@@ -5,7 +5,9 @@ order; the model of a later category also sees the probabilities of the earlier
 In training those come out of fold, and so do the word scores beside which they are
 weighed, so that a later model learns from predictions as good as those it will meet;
 how far it may lean on them (a ridge) is chosen by out-of-fold likelihood.  ``score``
-applies the chain to whole texts.
+applies the chain to whole texts.  A text's fold is a hash of the text, so the model that
+gives its earlier probabilities is one that never saw that text, in training and in
+scoring alike: a labelled document is not passed on more surely than an unlabelled one.
 
 Features, each once a text: words (runs of letters, digits and non-ASCII; A-Z in lower
 case) and their first 4, 5 and 6 bytes, hashed to 2**18 places; places seen in fewer
@@ -13,7 +15,8 @@ than MIN_SEEN training rows keep weight 0.
 
 Training uses at most ``max_rows`` labelled ids (12,000) in the order of their hash, one
 text each, and of those as many as have ``max_entries`` features (16 million, 64 MB)
-together; those bounds are all that reaches the driver.  Every document is scored.
+together; those bounds are all that reaches the driver.  Every document is scored, a very
+long text in pieces whose features count as one set.
 
 Defined cases: null text is empty and gets the bias alone; labels that are null are left
 out for their category; several label rows of a doc_id count by their maximum; of a
@@ -193,42 +196,60 @@ def _chained(z: np.ndarray, earlier: np.ndarray, y: np.ndarray, fold: np.ndarray
 
 
 class Chain:
-    """names; table (feature places x categories, float32); links: for each category the
-    weights of the earlier categories' probabilities; biases."""
-
-    def __init__(self, names, table, links, biases):
-        self.names, self.table, self.links, self.biases = names, table, links, biases
-
-    def finish(self, sums: np.ndarray) -> np.ndarray:
-        """Probabilities from the sums of feature weights (rows x categories)."""
-        p = np.zeros_like(sums, dtype=np.float64)
+    """names; table (feature places x columns, float32): a column for each category, then
+    FOLDS for each category but the last, of the models that did not see the fold; links:
+    for each category the weights of the earlier categories' probabilities; biases and, for
+    each category but the last, fold_biases."""
+
+    def __init__(self, names, table, links, biases, fold_biases):
+        self.names, self.table, self.links, self.biases, self.fold_biases = names, table, links, biases, fold_biases
+
+    def finish(self, sums: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        """Probabilities from the sums of feature weights (rows x columns) and folds."""
+        n = len(self.names)
+        p, passed = np.zeros((len(sums), n)), np.zeros((len(sums), n))
         for k, (v, b) in enumerate(zip(self.links, self.biases, strict=True)):
-            p[:, k] = _sigmoid(sums[:, k] + p[:, :k] @ v + b)
+            ahead = passed[:, :k] @ v
+            p[:, k] = _sigmoid(sums[:, k] + ahead + b)
+            if k + 1 < n:
+                own = sums[np.arange(len(sums)), n + k * FOLDS + fold] + self.fold_biases[k][fold]
+                passed[:, k] = _sigmoid(own + ahead)
         return p
 
 
 def fit_chain(x: _Rows, ys: list[np.ndarray], fold: np.ndarray, names: list[str], linked: bool = True) -> Chain:
     """ys: for each category 1, 0 or nan.  linked=False leaves the links at 0."""
     earlier = np.zeros((x.rows, 0))
-    table, links, biases = np.zeros((x.size, len(ys)), np.float32), [], []
+    table, links, biases = np.zeros((x.size, len(ys) + (len(ys) - 1) * FOLDS), np.float32), [], []
+    fold_biases = []
     every = np.ones(x.rows, bool)
     for k, y in enumerate(ys):
         w, b = _words(x, y, every)
         some = y[~np.isnan(y)]
+        parts = [(np.zeros(x.size, np.float32), b)] * FOLDS
         if not len(some) or some.min() == some.max():  # one class: its rate
             scale, v, c, z = 1.0, np.zeros(earlier.shape[1]), 0.0, np.full(x.rows, b)
         else:
+            parts = [_words(x, y, fold != part) for part in range(FOLDS)]
             z = np.zeros(x.rows)
-            for part in range(FOLDS):
-                wf, bf = _words(x, y, fold != part)
+            for part, (wf, bf) in enumerate(parts):
                 own = fold == part
                 z[own] = (x.dot(wf) + bf)[own]
             scale, v, c, z = _chained(z, earlier if linked else earlier * 0, y, fold)
         table[:, k] = w * scale
         links.append(v)
         biases.append(b * scale + c)
+        if k + 1 < len(ys):
+            at = len(ys) + k * FOLDS
+            table[:, at : at + FOLDS] = np.stack([wf for wf, _ in parts], 1) * scale
+            fold_biases.append(np.array([bf * scale + c for _, bf in parts]))
         earlier = np.column_stack((earlier, _sigmoid(z)))
-    return Chain(names, table, links, biases)
+    return Chain(names, table, links, biases, fold_biases)
+
+
+def fold_of(text):
+    """The fold of a text, so that all copies of it are in one."""
+    return F.pmod(F.xxhash64(text, F.lit(5)), F.lit(FOLDS)).cast("int")
 
 
 def _drawn(labels: DataFrame, columns: list[str], max_rows: int) -> DataFrame:
@@ -243,23 +264,24 @@ def _drawn(labels: DataFrame, columns: list[str], max_rows: int) -> DataFrame:
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, columns: list[str], max_rows: int) -> DataFrame:
-    """A written table: _ord, _id, labels, n and f (feature places) of each drawn id."""
+    """A written table: _ord, _id, labels, _fold, n and f (feature places) of each drawn id."""
     ys = [f"_y{k}" for k in range(len(columns))]
     drawn = F.broadcast(_drawn(labels, columns, max_rows))
     text = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("_text")).join(drawn, "_id")
     # a doc_id with several texts is trained on one of them
-    texts = texts.groupBy("_ord", "_id", *ys).agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    texts = texts.groupBy("_ord", "_id", *ys).agg(F.min_by("_text", F.xxhash64("_text")).alias("_text")).withColumn("_fold", fold_of("_text"))
+    own = ["_ord", "_id", *ys, "_fold"]
 
     def task(batches):
         for batch in batches:
             for rows, found in feature_slices(batch):
                 part = batch.slice(rows.start, len(found))
                 cells = [pa.array([len(f) for f in found], pa.int32()), pa.array([f.tobytes() for f in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("_ord", "_id", *ys)], *cells], names=["_ord", "_id", *ys, "n", "f"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own], *cells], names=[*own, "n", "f"])
 
-    sql = "_ord long, _id long, " + "".join(f"{y} int, " for y in ys) + "n int, f binary"
-    return scratch(texts.select("_ord", "_id", *ys, "_text").mapInArrow(task, sql), "features")
+    sql = "_ord long, _id long, " + "".join(f"{y} int, " for y in ys) + "_fold int, n int, f binary"
+    return scratch(texts.select(*own, "_text").mapInArrow(task, sql), "features")
 
 
 def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTRIES, linked: bool = True) -> Chain:
@@ -279,7 +301,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_rows: i
             at[end[k] : end[k + 1]] = np.frombuffer(r.f, np.int32)
             row[end[k] : end[k + 1]] = k
             label[k] = [np.nan if r[f"_y{c}"] is None else r[f"_y{c}"] for c in range(len(columns))]
-            fold[k] = (r["_id"] * 2654435761 >> 7) % FOLDS
+            fold[k] = r["_fold"]
     ys = []
     for _, column, value in categories:
         raw = label[:, columns.index(column)]
@@ -291,7 +313,7 @@ def score(docs: DataFrame, chain: Chain, carry: tuple[str, ...] = ("doc_id",)) -
     """The columns ``carry`` and p_<category> for each category of the chain."""
     small_batches(docs.sparkSession)
     kept = {f"_c{k}": c for k, c in enumerate(carry)}
-    rows = docs.select(*[column(c).alias(k) for k, c in kept.items()], F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    rows = docs.select(*[column(c).alias(k) for k, c in kept.items()], F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumn("_fold", fold_of("_text"))
     held = docs.sparkSession.sparkContext.broadcast(chain)
 
     def task(batches):
@@ -299,8 +321,8 @@ def score(docs: DataFrame, chain: Chain, carry: tuple[str, ...] = ("doc_id",)) -
         for batch in batches:
             for rows, found in feature_slices(batch):
                 sums = np.array([model.table[f].sum(axis=0, dtype=np.float64) for f in found])
-                p = model.finish(sums.reshape(len(found), -1))
                 same = batch.slice(rows.start, len(found))
+                p = model.finish(sums.reshape(len(found), -1), same.column("_fold").to_numpy())
                 yield pa.RecordBatch.from_arrays([*[same.column(k) for k in kept], *[pa.array(c) for c in p.T]], names=[*kept, *[f"p{k}" for k in range(len(model.names))]])
 
     schema = StructType([*rows.select(*kept).schema.fields, *[StructField(f"p{k}", DoubleType()) for k in range(len(chain.names))]])
