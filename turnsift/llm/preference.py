@@ -12,7 +12,10 @@ the next conversation (by conv_id, the last one: the first) that has one.
 Defined cases: null roles and texts count as empty; equal conversations have an empty
 completion on both sides; without a common turn the prompt is empty; a conversation
 without an assistant turn makes no pair; turns are ordered by turn, role, text, so
-ties and repeated rows have a fixed order; other columns are ignored; empty in, empty out.
+ties and repeated rows have a fixed order; turns with a null conv_id belong to no
+conversation and make no pair, while a null pair_id is formatted like any other; other
+columns are ignored; empty in, empty out.  No text is cut: a conversation is one row, so
+its turns, however long, have to fit into a cell together.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import partitions, scratch
 
+#: Keys of one range while conversations are put in order (8 bytes each).
+RANGE_KEYS = 1_000_000
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 
 
@@ -57,17 +62,22 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     return out.select("pair_id", "n_prompt_turns", F.array_join(F.transform("_p", _render), "").alias("prompt"), chosen.alias("chosen"), chosen_mask.alias("chosen_mask"), rejected.alias("rejected"), rejected_mask.alias("rejected_mask"))
 
 
-def next_in_order(rows: DataFrame, key: str, value: str, ranges: int = 256) -> DataFrame:
+def next_in_order(rows: DataFrame, key: str, value: str, ranges: int | None = None) -> DataFrame:
     """(key, value) -> (key, following): the value of the next key, the first after the
-    last.  Keys are unique and cut into ranges at sampled quantiles, so that neither gaps
-    nor outliers fill one; only each range's first row is shared."""
-    number = F.col(key).cast("double")
-    splits = sorted(set(rows.select(number.alias("k")).approxQuantile("k", [k / ranges for k in range(1, ranges)], 0.25 / ranges)))
-    part = F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s <= number)) if splits else F.lit(0)
-    cut = rows.select(F.col(key).alias("k"), F.col(value).alias("v"), part.alias("g"))
-    heads = cut.groupBy("g").agg(F.min_by("v", "k").alias("h")).withColumn("head", F.coalesce(F.lead("h").over(Window.orderBy("g")), F.first("h").over(Window.orderBy("g")))).select("g", "head")
-    w = Window.partitionBy("g").orderBy("k")
-    return cut.withColumn("n", F.lead("v").over(w)).join(F.broadcast(heads), "g").select(F.col("k").alias(key), F.coalesce("n", "head").alias("following"))
+    last.  Keys are unique and not null.  Only keys are put in order, in ranges of about
+    RANGE_KEYS that Spark samples; each range's first key is shared, and the values come
+    back by a join on the key, so no task holds a range's values.  ``rows`` is read twice."""
+    spark = rows.sparkSession
+    ranges = ranges or max(partitions(spark), -(-rows.count() // RANGE_KEYS))
+    # a range is a partition of this written table, whatever is read later
+    keys = scratch(rows.select(F.col(key).alias("k")).repartitionByRange(ranges, "k").withColumn("g", F.spark_partition_id()), "keys")
+    heads = keys.groupBy("g").agg(F.min("k").alias("h"))  # a row for each range
+    every = Window.orderBy("g")
+    heads = heads.select("g", F.coalesce(F.lead("h").over(every), F.min("h").over(Window.partitionBy())).alias("head"))
+    after = F.lead("k").over(Window.partitionBy("g").orderBy("k"))
+    order = keys.withColumn("n", after).join(F.broadcast(heads), "g").select(F.col("k").alias("_k"), F.coalesce("n", "head").alias("_n"))
+    values = rows.select(F.col(key).alias("_n"), F.col(value).alias("following"))
+    return order.join(values, "_n").select(F.col("_k").alias(key), "following")
 
 
 def pairs_from_turns(turns: DataFrame) -> DataFrame:
