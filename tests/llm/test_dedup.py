@@ -207,20 +207,27 @@ def test_edited_copies_are_near(spark, tmp_path):
         assert r["n_near"] == sum((f[d] ^ x).bit_count() <= simhash.RADIUS for x in f.values()) - 1
 
 
-def test_near_tables_are_lossless():
+def test_near_tables_are_lossless(monkeypatch):
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**64, (40, 2), dtype=np.uint64)
     f = np.repeat(base, 12, axis=0)
     for k in range(len(f)):
         for bit in rng.choice(128, rng.integers(0, 20), replace=False).tolist():
             f[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-    pairs = lambda a, b, r, dense: sorted((int(i), int(j)) for x, y in simhash.within(a, b, r, dense) for i, j in zip(x, y, strict=True))
-    for radius in (3, 26):
+    pairs = lambda a, b, r, most: sorted((int(i), int(j)) for x, y in simhash.within(a, b, r, most) for i, j in zip(x, y, strict=True))
+    monkeypatch.setattr(simhash, "PAIRS", 500)
+    for radius in (0, 3, 26):
         far = np.bitwise_count(f[:, None] ^ f[None]).sum(axis=2)
         want = [(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(far <= radius)), strict=True)]
-        for dense in (0, 1e9):
-            assert pairs(f, None, radius, dense) == [(i, j) for i, j in want if i < j]
-            assert pairs(f[:200], f[200:], radius, dense) == [(i, j - 200) for i, j in want if i < 200 <= j]
+        for most in (None, 0, min(radius, 1), min(radius, 2)):
+            assert pairs(f, None, radius, most) == [(i, j) for i, j in want if i < j]
+            assert pairs(f[:200], f[200:], radius, most) == [(i, j - 200) for i, j in want if i < 200 <= j]
+    assert pairs(f[:0], None, 26, None) == pairs(f, f[:0], 26, None) == []
+    # with more entries keys get longer, and what a table looks at a smaller share of all
+    steps = [simhash.table_width(n, n, simhash.RADIUS) for n in (100, 1_000, 10_000, 100_000, 1_000_000)]
+    assert steps == sorted(steps) and steps[-1] >= 2
+    for most in range(1, 4):  # the bound behind the tables: some block has ``most`` bits at most
+        assert (most + 1) * len(simhash._tables(simhash.RADIUS, most)) > simhash.RADIUS
     parent = np.arange(9)
     simhash._join(parent, np.array([8, 3, 5, 1]), np.array([3, 5, 1, 8]))
     simhash._join(parent, np.array([7, 7]), np.array([2, 6]))

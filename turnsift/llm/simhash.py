@@ -16,11 +16,12 @@ five-word shingles; the README has the measured recall.
 
 The search is lossless.  Equal fingerprints are collapsed; the others are dealt into
 groups, and each pair of groups is one task, which emits sums and a spanning forest, not
-pairs.  A small task compares all with all.  A large one cuts the bits into
-``radius // 3 + 1`` blocks: two fingerprints within the radius differ by two bits at most
-in one block at least, so each block is the key of one table (the permutation that puts
-it first), and an entry is compared with those whose keys are within two bits.  A pair
-that meets in several tables counts in the first.
+pairs.  A task cuts the bits into ``radius // (k + 1) + 1`` blocks: two fingerprints
+within the radius differ by k bits at most in one block at least, so each block is the key
+of one table (the permutation that puts it first), and an entry is compared with those
+whose keys are within k bits.  k follows from the entries' number by cost, so keys grow
+with it; every k finds the same pairs.  A pair that meets in several tables counts in the
+first.
 
 Defined cases: null text is empty; the empty text's fingerprint is all zeros; null
 doc_id orders first; rows equal in doc_id and text are neighbours in any order; other
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -43,8 +45,8 @@ from .components import components
 
 _W, _S = Rolling(91), Rolling(92)
 BITS, SHINGLE, GRAM, SHORT = 128, 5, 5, 100
-#: Hamming radius; entries of a group; comparisons up to which a task tries all pairs.
-RADIUS, GROUP, DENSE = 26, 750_000, 6e9
+#: Hamming radius; entries of a group.
+RADIUS, GROUP = 26, 750_000
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64) * 2) - 1
 _PLACE = np.arange(BITS // 8, dtype=np.int64) * 256
 
@@ -198,64 +200,74 @@ def edited_fingerprints(docs: DataFrame, share: int = 4) -> DataFrame:
     return _with_next(docs).select("_did", "_text", "_part", "_last").mapInArrow(task, ", ".join(f"{k} {t}" for k, t in _EDIT.items()))
 
 
-def _keys(f: np.ndarray, blocks: int) -> list[np.ndarray]:
-    """The bits of each block, as one word."""
-    bits = np.unpackbits(f.view(np.uint8).reshape(len(f), BITS // 8), axis=1, bitorder="little")
-    out = []
-    for part in np.array_split(bits, blocks, axis=1):
-        word = np.zeros((len(f), 8), np.uint8)
-        packed = np.packbits(part, axis=1, bitorder="little")
-        word[:, : packed.shape[1]] = packed
-        out.append(word.view(np.uint64).ravel())
-    return out
+#: Widest key of a table; pairs looked at together; seconds, roughly, that a mask costs, an
+#: entry's look-up under a mask, and a pair looked at.
+KEY, PAIRS = 20, 1 << 20
+PER_MASK, PER_LOOKUP, PER_PAIR = 6e-5, 1.2e-8, 1.5e-8
+
+
+def _tables(radius: int, most: int) -> list[np.ndarray]:
+    """The bits that make the key of each table: so many blocks that two fingerprints
+    within the radius differ by ``most`` bits at most in one of them at least."""
+    return [bits[:KEY] for bits in np.array_split(np.arange(BITS), radius // (most + 1) + 1)]
 
 
 def _masks(width: int, most: int) -> np.ndarray:
     """All words of ``width`` bits with ``most`` of them set at most."""
-    return np.array([sum(1 << k for k in c) for n in range(most + 1) for c in combinations(range(width), n)], np.uint64)
+    return np.array([sum(1 << k for k in c) for n in range(most + 1) for c in combinations(range(width), n)], np.int64)
+
 
+def table_width(n: int, m: int, radius: int) -> int:
+    """How many differing bits a table forgives, by cost: with more entries, fewer and
+    longer keys under more masks, so that a smaller share of all pairs is looked at."""
 
-def _close(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    far = np.bitwise_count(a[:, 0, None] ^ b[None, :, 0])
-    far += np.bitwise_count(a[:, 1, None] ^ b[None, :, 1])
-    flat_at = np.flatnonzero(far <= radius)
-    return flat_at // len(b), flat_at % len(b)
+    def cost(most: int) -> float:
+        each = [(len(bits), sum(comb(len(bits), k) for k in range(most + 1))) for bits in _tables(radius, most)]
+        return sum(masks * (PER_MASK + n * PER_LOOKUP + n * m / 2**width * PER_PAIR) for width, masks in each)
+
+    return min(range(min(radius, 4) + 1), key=cost)
+
+
+def _keys(f: np.ndarray, tables: list[np.ndarray]) -> list[np.ndarray]:
+    """Each table's key of every fingerprint."""
+    bits = np.unpackbits(f.view(np.uint8).reshape(len(f), BITS // 8), axis=1, bitorder="little")
+    return [bits[:, at].astype(np.int64) @ (np.int64(1) << np.arange(len(at), dtype=np.int64)) for at in tables]
 
 
-def within(a: np.ndarray, b: np.ndarray | None, radius: int, dense: float = DENSE):
+def within(a: np.ndarray, b: np.ndarray | None, radius: int, most: int | None = None):
     """Yields (i, j): each pair of a's i and b's j within the radius once; without b, of
-    a's own entries, i before j."""
+    a's own entries, i before j.  Each table holds b in order of its key; under each mask
+    an entry of a is compared with those whose key is its own but for the mask."""
     own, b = b is None, a if b is None else b
-    blocks = radius // 3 + 1
-    if len(a) * len(b) <= dense or BITS > 64 * blocks:
-        for x in range(0, len(a), 64):
-            for y in range(x // 4096 * 4096 if own else 0, len(b), 4096):
-                i, j = _close(a[x : x + 64], b[y : y + 4096], radius)
-                i, j = i + x, j + y
-                yield (i[i < j], j[i < j]) if own else (i, j)
-        return
-    most = radius // blocks
-    ka = _keys(a, blocks)
-    kb = ka if own else _keys(b, blocks)
-    for t in range(blocks):
-        masks = _masks(len(np.array_split(np.arange(BITS), blocks)[t]), most)
+    most = table_width(len(a), len(b), radius) if most is None else most
+    tables = _tables(radius, most)
+    ka = _keys(a, tables)
+    kb = ka if own else _keys(b, tables)
+    for t, bits in enumerate(tables):
         oa, ob = np.argsort(ka[t], kind="stable"), np.argsort(kb[t], kind="stable")
-        sa, sb = ka[t][oa], kb[t][ob]
-        cut = np.append(np.flatnonzero(np.concatenate(([True], sa[1:] != sa[:-1]))), len(sa))
-        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            near = sa[x] ^ masks
-            lo, hi = np.searchsorted(sb, near, side="left"), np.searchsorted(sb, near, side="right")
-            size = hi - lo
-            at = ob[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())]
-            for u in range(x, y, 64):
-                row = oa[u : min(u + 64, y)]
-                for v in range(0, len(at), 4096):
-                    i, j = _close(a[row], b[at[v : v + 4096]], radius)
-                    i, j = row[i], at[v : v + 4096][j]
-                    ok = i < j if own else np.ones(len(i), bool)
-                    for w in range(t):  # counted in the first table in which the two meet
-                        ok &= np.bitwise_count(ka[w][i] ^ kb[w][j]) > most
-                    yield i[ok], j[ok]
+        key, fa, fb = ka[t][oa], a[oa], b[ob]
+        start = np.concatenate(([0], np.cumsum(np.bincount(kb[t], minlength=1 << len(bits)))))
+        for mask in _masks(len(bits), most):
+            lo = start[key ^ mask]
+            size = start[(key ^ mask) + 1] - lo
+            met = np.flatnonzero(size)
+            lo, size = lo[met], size[met]
+            total = np.cumsum(size)
+            # runs of entries with about PAIRS pairs, one entry at least
+            cuts = np.unique(np.concatenate(([0], np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS)) + 1, [len(met)]))) if len(met) else [0]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                i = np.repeat(met[x:y], size[x:y])
+                j = np.arange(len(i)) + np.repeat(lo[x:y] - total[x:y] + size[x:y] + (total[x - 1] if x else 0), size[x:y])
+                far = np.bitwise_count(fa[i, 0] ^ fb[j, 0])
+                some = np.flatnonzero(far <= radius)
+                i, j, far = i[some], j[some], far[some]
+                far += np.bitwise_count(fa[i, 1] ^ fb[j, 1])
+                some = far <= radius
+                i, j = oa[i[some]], ob[j[some]]
+                ok = i < j if own else np.ones(len(i), bool)
+                for w in range(t):  # counted in the first table in which the two meet
+                    ok &= np.bitwise_count(ka[w][i] ^ kb[w][j]) > most
+                yield i[ok], j[ok]
 
 
 def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
