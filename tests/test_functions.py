@@ -13,7 +13,8 @@ from turnsift.audit import detect
 from turnsift.functions import excerpt, redact, score, text
 from turnsift.operators import page
 from turnsift.operators.filters import parse_when
-from turnsift.sources import parse
+from turnsift.sources import archive, parse
+from turnsift.sources.work import put
 from turnsift.streaming import ingest
 
 NOW = 1_780_000_000.0
@@ -294,13 +295,30 @@ def test_function_call_arguments(spark):
 
 
 def test_stream_matches_batch(spark, tmp_path):
+    """Files cut into many splits, one with blank lines and mixed line ends, one hot call
+    id; each run sees its new file alone.  The tables are those of a full rebuild."""
     root = tmp_path / "in"
     root.mkdir()
-    rec = lambda s: json.dumps({"type": "user", "sessionId": s, "message": {"content": f"hello {s}"}})
+    say = lambda s, k: json.dumps({"type": "user", "sessionId": s, "message": {"content": f"hello {s} {k}"}})
+    use = lambda k: json.dumps({"type": "assistant", "message": {"content": [{"type": "tool_use", "name": f"T{k}", "id": "1", "input": {}}]}})
+    back = json.dumps({"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": "1", "content": "r"}]}})
     table, marks = f"{tmp_path}/out", f"{tmp_path}/marks"
-    for name in ("one", "two"):  # two runs; the second sees the new file alone
-        (root / f"{name}.jsonl").write_text(rec(name) + "\r" + rec(name) + "\n")
-        ingest.start(spark, str(root), "claude_code", table, marks).awaitTermination()
-    turns, sessions, _ = parse.build(spark.read.parquet(table))
-    assert sorted(r["text"] for r in turns.collect()) == ["hello one"] * 2 + ["hello two"] * 2
-    assert sessions.count() == 2
+    texts = {
+        "one+%41 a": "\r\n\n" + say("one", 0) + "\r" + say("one", 1) + "\r\n\n" + "[]\n" + say("one", 2),
+        "two": "\n".join(x for k in range(40) for x in (say("two", k), use(k), back, "")),
+    }
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        for name, text in texts.items():
+            (root / f"{name}.jsonl").write_text(text, newline="")
+            ingest.start(spark, str(root), "claude_code", table, marks).awaitTermination()
+        assert spark.read.parquet(table).select("path", "start").distinct().count() > 4
+        want = parse.build(parse.numbered(put(parse.emissions(archive.lines(spark, archive.Source("claude_code", str(root), True))), "emitted")))
+        got = ingest.tables(spark, table)
+        for a, b in zip(got, want, strict=True):
+            assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows = got[0].join(got[1].select("session_key", "session_id"), "session_key").orderBy("session_id", "seq").collect()
+    assert [r["text"] for r in rows if r["session_id"] == "one"] == [f"hello one {k}" for k in range(3)]
+    assert [r["tool"] for r in rows if r["kind"] == "tool_output"] == [f"T{k}" for k in range(40)]

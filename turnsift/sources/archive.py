@@ -59,6 +59,12 @@ def file_path() -> Column:
     return local_path(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
 
 
+def split_lines(texts: DataFrame, source: str) -> DataFrame:
+    """source, path, start and raw of what a text reader gave, a stream's included."""
+    found = texts.select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("start"), F.make_valid_utf8("value").alias("value"))
+    return found.select(F.lit(source).alias("source"), "path", "start", bare(F.col("value")).alias("raw"))
+
+
 def lines(spark: SparkSession, source: Source) -> DataFrame:
     """SRC4, SRC5: path, start, at and raw of each line, blank ones (empty) included.
 
@@ -71,5 +77,4 @@ def lines(spark: SparkSession, source: Source) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     if not source.root.endswith(".jsonl"):
         reader = reader.option("pathGlobFilter", "*.jsonl")
-    found = reader.text(source.root).select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.make_valid_utf8("value").alias("value"))
-    return found.select(F.lit(source.name).alias("source"), "path", "start", "at", bare(F.col("value")).alias("raw"))
+    return split_lines(reader.text(source.root), source.name).select("source", "path", "start", F.monotonically_increasing_id().alias("at"), "raw")

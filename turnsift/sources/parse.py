@@ -183,14 +183,20 @@ def emissions(lines: DataFrame) -> DataFrame:
     in an unforeseen way becomes a record with the note "failed" (SRC9).
 
     lines: source, path, raw and either line_no or start and at, which ``numbered`` turns
-    into line numbers.  A blank line leaves a row with the role "blank", to be counted.
+    into line numbers.  Where a stream has start alone, ``at`` counts the lines of the task:
+    a split is read by one task, in order.  A blank line leaves a row with the role "blank",
+    to be counted.
     """
 
     def run(batches):
+        seen = 0
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 raw = row.pop("raw")
+                if row["line_no"] is None and row["at"] is None:
+                    row["at"] = seen
+                seen += 1
                 try:
                     found = list(_line(row["source"], raw)) if raw else [{"role": "blank"}]
                 except Exception:  # noqa: BLE001  one odd line must not end the job

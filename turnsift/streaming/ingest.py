@@ -1,31 +1,33 @@
 """Structured Streaming over a folder of transcripts (an extension beyond full rebuilds).
 
-New files are parsed line by line as they appear and appended as emissions; turns and
-sessions are then built from all emissions with ``sources.parse.build``, so a stream and
-a full rebuild give the same tables.  A file must be complete when it appears: the
-order inside a file comes from reading it whole.
+New files are read by splits, parsed line by line as they appear, and appended as
+emissions with their place (split and position in it), so no task holds a file.  Line
+numbers, turns and sessions are worked out from all emissions by ``tables``, as a full
+rebuild does, so a stream and a rebuild give the same tables.  A file must be complete when
+it appears: it is read once.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.archive import bare, local_path
-from ..sources.parse import emissions
-
-_FILES = "path string, modificationTime timestamp, length bigint, content binary"
+from ..sources.archive import split_lines
+from ..sources.parse import build, emissions, numbered
 
 
 def stream_lines(spark: SparkSession, root: str, source: str) -> DataFrame:
-    files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    cut = files.select("path", F.posexplode(F.split(text, "\r\n|\r|\n")).alias("line_no", "raw"))
-    return cut.select(F.lit(source).alias("source"), local_path(F.col("path")).alias("path"), "line_no", bare(F.col("raw")).alias("raw")).filter("raw <> ''")
+    """source, path, start and raw of each line of each new file, blank ones included."""
+    return split_lines(spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root), source)
 
 
 def start(spark: SparkSession, root: str, source: str, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Appends emissions to a Parquet folder; the checkpoint remembers the files seen."""
     writer = emissions(stream_lines(spark, root, source)).writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def tables(spark: SparkSession, table: str, home: str = "/nonexistent") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """turns, sessions and counters of all emissions so far.  ``work.clear`` removes what
+    is written on the way."""
+    return build(numbered(spark.read.parquet(table)), home=home)
