@@ -60,3 +60,20 @@ def test_entropy_of_all_tokens(spark, tmp_path):
     share = lambda w: [k / len(w) for k in Counter(w).values()]
     assert got == {w: (n, pytest.approx(-sum(p * math.log2(p) for p in share(w)), abs=1e-8)) for w, n in tokens.items()}
     assert got["the"][0] == 3 and got["aB3_" * 3000][1] == 2.0
+
+
+ODD = [
+    "555-123-4567 (555) 123-4567\n+1 555 123 4567", "555-123-4567(555) 123-4567", "1 555.123.4567 555.123.4567-", "٥٥٥-123-4567", "a 555-123-4567é+555-123-4567", None, "",
+    "/home/ab/home/cd /home/ab/ /home/é", "/root/root/x /rooté", "10.0.0.1 10.0.0.2 10.0.0.3é", "nas.local.lan on x.lané y-z.internal", "deploy@build-Xy deploy@build7é", "0a1b2c3d" * 4 + "é",
+    "bearer ABCDEFGHIJKLMNOPQbearer ABCDEFGHIJKLMNOPQ", "password = abcdefghijk1 apı_key=abcdefgh12", "password=[redacted:phone] token: Ünïcödé12345",
+]
+
+
+@pytest.mark.parametrize("name", ["redact_phone"])
+def test_sql_states_the_rule(spark, tmp_path, name):
+    spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = entry.queries()[name](spark, str(tmp_path))
+    got = sorted(map(tuple, df.collect()))
+    assert got == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({entry.oracle_sql()[name]})").fetchall())

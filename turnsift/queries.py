@@ -460,10 +460,81 @@ def _lit(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def _rule_sql(rule, inner: str) -> str:
+_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_MARK = "\U0010ffff\U0010fffe"
+_WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}\x{24b6}-\x{24e9}\x{1f130}-\x{1f149}\x{1f150}-\x{1f169}\x{1f170}-\x{1f189}"
+
+
+def _unicode(p: str) -> str:
+    """A pattern whose digit, space and word classes count all of Unicode in RE2, too."""
+    out, inside = "", False
+    if p.startswith("(?i)"):
+        p = p.replace("A-Za-z", r"A-Za-z\x{130}\x{131}")
+    for part in re.findall(r"\\.|\(\?[a-z]+\)|.", p, re.S):
+        inside = (inside or part == "[") and part != "]"
+        if part in ("\\s", "\\w"):
+            part = _SPACE if part == "\\s" else _WORD
+            part = part if inside else f"[{part}]"
+        elif part == "\\S":
+            part = f"[^{_SPACE}]"
+        elif part == "i" and p.startswith("(?i)") and not inside:
+            part = r"[i\x{130}\x{131}]"
+        out += "\\p{Nd}" if part == "\\d" else part
+    return out
+
+
+#: What stands twice in a doubled text.  A class with a hyphen before a last word boundary
+#: ends with a word's sign before another one, or with a hyphen before a word's sign.
+_TWICE = (
+    ("[ .\\-]", "(?:  |[.\\-])"), ("\\+?", "(?:\\+\\+)?"), ("\\(?", "(?:\\(\\()?"), ("\\)?", "(?:\\)\\))?"), ("/", "//"),
+)
+_TWICE_WORDS = (
+    ("\\.", "\\.\\."), ("@", "@@"), ("[a-z0-9_.\\-]", "(?:[a-z0-9_]|\\.\\.|--)"), ("[A-Za-z0-9\\-]", "(?:[A-Za-z0-9]|--)"),
+    ("[a-z0-9\\-]{2,}", f"(?:[a-z0-9]|--)+(?:--([{_WORD}])|[a-z0-9]"),
+)
+
+
+def _looking(p: str) -> tuple[str, str, str] | None:
+    """For a pattern that looks around itself for signs of one class, or for words' ends:
+    that class, a pattern that the text must hold, and the pattern over a text in which every other sign stands twice.  It
+    takes in one half of a sign on each side, so two matches can share the sign between
+    them.  Groups 1, and 2 and on, are what is put back."""
+    behind, ahead = re.match(r"\(\?<!\[(.*?)\]\)|\\b", p), re.search(r"\(\?!\[([^\]]*)\]\)$|\\b$", p)
+    if not ahead:
+        return None
+    kept = _unicode(f"[{ahead[1]}]")[1:-1] if ahead[1] else _WORD
+    core = bare = p[behind.end() if behind else 0 : ahead.start()]
+    first = "/" if core.startswith("/") else ""  # its last half
+    core = core.removeprefix(first)
+    for one, two in _TWICE if ahead[1] else _TWICE_WORDS:
+        core = core.replace(one, two)
+    core = _unicode(first + core)
+    return kept, _unicode(bare), (f"(^|[^{kept}])" if behind else "()") + core + f"($|[^{kept}])" + ")" * (core.count("(?:--(["))
+
+
+def _twice_sql(inner: str, kept: str) -> str:
+    return f"regexp_replace({inner}, {_lit(f'([^{kept}])')}, '\\1\\1', 'g')"
+
+
+def _rule_sql(rule, inner: str, exact: bool = False) -> str:
     """A rule in SQL.  RE2 has no look-around: what it looks at is captured and put back.
-    Two masks may share such a character, so those rules run twice."""
+    Two masks may share such a character, so those rules run twice; ``exact``: they run on a
+    text with such characters doubled, since a second run may find what the rule does not."""
     p, into = rule.pattern, rule.into or redact.mask(rule.label)
+    p = p.replace(r"(?=/|\b)", r"\b") if exact else p  # a slash ends the word as well
+    if exact and (found := _looking(p)):
+        kept, bare, wide = found
+        if "/" in rule.pattern[:1]:  # two matches can share their first sign: the second run takes the second one
+            once = lambda x: f"regexp_replace({x}, {_lit(wide)}, {_lit(into + chr(92) + '2')}, 'g')"
+            return once(once(inner))
+        doubled = re.sub(r"[^\d.\-]" if "\\-" in kept else r"\W", r"\g<0>\g<0>", into)
+        groups = "\\2\\3" if wide.count("(?:--([") else "\\2"
+        masked = f"regexp_replace({_twice_sql('x', kept)}, {_lit(wide)}, {_lit(f'{chr(92)}1{doubled}{groups}')}, 'g')"
+        single = f"regexp_replace({masked}, {_lit(f'([^{kept}])[^{kept}]')}, '\\1', 'g')"
+        return f"list_transform([{inner}], lambda x: CASE WHEN regexp_matches(x, {_lit(bare)}) THEN {single} ELSE x END)[1]"
+    if exact and (look := "(?<=bearer )") in p:  # what a match looks at may end the one before: a sign that is no character marks it
+        marked = f"regexp_replace({inner}, '(?i)(bearer )', {_lit(f'{chr(92)}1{_MARK}')}, 'g')"
+        return f"replace(regexp_replace({marked}, {_lit(_unicode(p.replace(look, _MARK)))}, {_lit(into)}, 'g'), '{_MARK}', '')"
     behind = ahead = ""
     for look, group in ((r"(?<=://)", r"(://)"), (r"(?<=bearer )", r"(bearer )"), (r"(?<![\d.\-])", r"(^|[^\d.\-])"), (r"(?<before>(?<![A-Za-z0-9])", r"((?:^|[^A-Za-z0-9])")):
         if look in p:
@@ -472,15 +543,16 @@ def _rule_sql(rule, inner: str) -> str:
         if p.endswith(look):
             p, ahead = p.removesuffix(look) + group, "\\2" if behind else "\\1"
     p = p.replace("(?![A-Za-z0-9])", "").replace("(?<mask>", "(?:")
+    p = _unicode(p) if exact else p
     step = lambda x: f"regexp_replace({x}, {_lit(p)}, {_lit(behind + into + ahead)}, 'g')"
     return step(step(inner)) if behind and ahead else step(inner)
 
 
-def _rules_sql(label: str | None = None) -> str:
+def _rules_sql(label: str | None = None, exact: bool = False) -> str:
     out = "coalesce(text, '')"
     for rule in redact.rules(None):
         if label in (None, rule.label):
-            out = _rule_sql(rule, out)
+            out = _rule_sql(rule, out, exact)
     return out
 
 
@@ -503,7 +575,7 @@ def redact_hex_run(spark, sf):
     return _only(spark, sf, "high-entropy")
 
 
-@register(f"SELECT doc_id, {_rules_sql('phone')} AS text FROM documents")
+@register(f"SELECT doc_id, {_rules_sql('phone', exact=True)} AS text FROM documents")
 def redact_phone(spark, sf):
     return _only(spark, sf, "phone")
 
@@ -531,14 +603,14 @@ def _escapes_sql(inner: str) -> str:
     return inner
 
 
-def _full_sql(docs: str = "documents") -> str:
+def _full_sql(docs: str = "documents", exact: bool = False) -> str:
     """The whole cascade.  d: before and after the home paths; b: before the control bytes."""
     masked = homes = "coalesce(text, '')"
     steps = []
     for rule in redact.rules(None):
         if rule.into:
             steps.append((rule.pattern.replace("(?=/|\\b)", "(?:/|\\b)"), masked))
-        masked = _rule_sql(rule, masked)
+        masked = _rule_sql(rule, masked, exact)
     counted = " + ".join(f"len(regexp_extract_all({before}, {_lit(p)}))" for p, before in steps)
     return f"""WITH a AS (SELECT doc_id, {counted} AS homes, {masked} AS t FROM {docs}), b AS (SELECT doc_id, homes, {_runs_sql("t", redact.BASE64_RUN, _BASE64_SQL)} AS t FROM a),
  e AS (SELECT doc_id, homes, {_runs_sql("t", redact.MIXED_RUN, _MIXED_SQL)} AS t FROM b), o AS (SELECT doc_id, homes, len(regexp_extract_all(t, {_lit(redact.CONTROL)})) AS controls, {_escapes_sql("t")} AS text FROM e)"""
