@@ -616,7 +616,7 @@ def _full_sql(docs: str = "documents", exact: bool = False) -> str:
  e AS (SELECT doc_id, homes, {_runs_sql("t", redact.MIXED_RUN, _MIXED_SQL)} AS t FROM b), o AS (SELECT doc_id, homes, len(regexp_extract_all(t, {_lit(redact.CONTROL)})) AS controls, {_escapes_sql("t")} AS text FROM e)"""
 
 
-FULL_SQL = f"{_full_sql()} SELECT doc_id, text FROM o"
+FULL_SQL = f"{_full_sql(exact=True)} SELECT doc_id, text FROM o"
 
 
 def _counts_sql(docs: str = "documents") -> str:
