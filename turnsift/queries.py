@@ -697,6 +697,14 @@ def _has(s: str, *patterns: str) -> str:
     return " + ".join(f"CAST(regexp_matches({s}, {_lit(p)}) AS INTEGER)" for p in patterns)
 
 
+def _hits_sql(text: str, p: str) -> str:
+    """A signature's matches; of one that looks around itself, over the doubled text."""
+    if found := _looking(p):
+        kept, bare, wide = found
+        return f"CASE WHEN regexp_matches({text}, {_lit(bare)}) THEN regexp_extract_all({_twice_sql(text, kept)}, {_lit(wide)}) ELSE [] END"
+    return f"regexp_extract_all({text}, {_lit(_unicode(p))})"
+
+
 def _wide(p: str) -> str:
     """A signature that takes in the characters it only looks at."""
     for look, group in ((r"(?<![\d.\-])", r"(?:^|[^\d.\-])"), (r"(?<![\d.])", r"(?:^|[^\d.])"), (r"(?![\d.\-])", r"(?:$|[^\d.\-])"), (r"(?![\d.])", r"(?:$|[^\d.])"), (r"(?![\w.\-])", r"(?:$|[^\w.\-])")):
@@ -712,7 +720,7 @@ def _bits_sql(s: str) -> str:
 
 @register(
     "SELECT label, CAST(sum(n) AS BIGINT) AS n FROM ("
-    + " UNION ALL ".join(f"SELECT {_lit(label)} AS label, coalesce(sum(len(regexp_extract_all(coalesce(text, ''), {_lit(_wide(p))}))), 0) AS n FROM documents" for label, p in detect.SIGNATURES)
+    + " UNION ALL ".join(f"SELECT {_lit(label)} AS label, coalesce(sum(len({_hits_sql("coalesce(text, '')", p)})), 0) AS n FROM documents" for label, p in detect.SIGNATURES)
     + ") GROUP BY 1"
 )
 def audit_signatures(spark, sf):
