@@ -374,3 +374,9 @@ def test_expectation_maximisation_finds_the_reliable_labeler():
     post, table = pii.estimate(counts)
     assert post[2, 2, 1, 0] > 0.5 > post[1, 1, 2, 0]
     assert table[0][1][2] > table[2][1][2]
+
+
+def test_personal_data_counts_by_kind(spark):
+    text = "a@b.com c@d.org 1.2.3.4, 4111 1111 1111 1111; e@f.net"
+    [r] = pii.find_personal_data(frame(spark, [(1, text)])).collect()
+    assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (3, 1, 1, 0)

@@ -253,7 +253,9 @@ def spans_by_document(docs: DataFrame, *columns: str) -> DataFrame:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base (as text) and spans (as text)."""
     out = spans_by_document(docs, "doc_id")
-    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["ord"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)]
+    # a function of one argument: Spark would pass a second one the place in the array
+    of_kind = lambda k: F.filter("base_spans", lambda s: s["ord"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)]
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, _listed(F.col("base_spans")).alias("base"), _listed(F.col("spans")).alias("spans"))
 
 
