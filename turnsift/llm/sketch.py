@@ -123,10 +123,12 @@ def with_repeated(docs: DataFrame, anchors, bits: int) -> DataFrame:
     def task(batches):
         for batch in batches:
             for d, h in anchors(batch):
-                one, n = np.unique(np.stack((d.astype(np.uint64), h)), axis=1, return_counts=True)
-                at = one[0].astype(np.int64)
+                o = np.lexsort((h, d))
+                d, h = d[o], h[o]
+                first = np.flatnonzero(np.concatenate((np.ones(min(len(d), 1), bool), (d[1:] != d[:-1]) | (h[1:] != h[:-1]))))
+                at, n = d[first].astype(np.int64), np.diff(np.append(first, len(d)))
                 own = [batch.column(c).take(pa.array(at)) for c in ("_did", "_tid")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(one[1].view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["_did", "_tid", "anchor", "n"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(h[first].view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["_did", "_tid", "anchor", "n"])
 
     cell = F.shiftrightunsigned("anchor", max(64 - bits - 2, 0)).alias("cell")
     places = scratch(docs.select("_did", "_tid", "_text").mapInArrow(task, "_did long, _tid long, anchor long, n int").select("*", cell), "anchors")

@@ -8,7 +8,8 @@ successor are compared directly; all others follow by one scan over the buckets
 first bytes.  Neighbours in the order with ``length`` common bytes are equal strings.
 A sketch of window anchors leaves out stretches that are certainly unique; the kernel
 then runs on what is left of a slice of text, and again on what remains of all slices,
-dealt out by anchor hash, so that equal strings meet.  Bytes decide, never hashes.
+dealt out by anchor hash, so that equal strings meet.  Each time it leaves out stretches
+whose anchor is at one place only of what it is given.  Bytes decide, never hashes.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; rows
 equal in doc_id and text are one document and each gets its result; a null doc_id
@@ -181,7 +182,10 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, salt_slices: int = repeat
         for turn, (rows, data, off, before) in enumerate(byte_slices(batch, "_text", overlap=length - 1)):
             if (x := grams(data, off)) is None:
                 continue
-            _, low, valid, doc = x
+            g, low, valid, doc = x
+            # a window can repeat in this slice only if its anchor is at two places of it
+            anchor = np.sort(g[anchor_mask(g, low, valid, w)])
+            again = anchor[1:][anchor[1:] == anchor[:-1]]
             i = np.flatnonzero(valid)
             i = i[repeated_of(rows.start + doc[i], low[i])]
             if not len(i):
@@ -189,15 +193,20 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, salt_slices: int = repeat
             did, tid, _ = repeats.identity(batch, rows)
             low = low[i].view(np.int64)
             raw = data.tobytes()
-            first, n = runs(i, doc[i])
-            begin = i[first]
-            d = doc[begin]
-            stop = np.minimum(begin + n + tail, off[d + 1])
-            text, start, size = _join([raw[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)])
-            place = before + begin - off[d]
-            gone, keep = repeated(text, start, size, n, did[d], tid[d], place, length)
-            out = repeats.removed_rows(did[d][gone[0]], tid[d][gone[0]], place[gone[0]] + gone[1], buckets)
-            left = np.sort(first[keep[0]] + keep[1])  # indices into i
+            first, n = runs(i, low)
+            inside = np.repeat(np.isin(low[first], again.view(np.int64)), n)
+            left, out = np.flatnonzero(~inside), []  # indices into i
+            inside = np.flatnonzero(inside)
+            if len(inside):
+                first, n = runs(i[inside], doc[i[inside]])
+                begin = i[inside[first]]
+                d = doc[begin]
+                stop = np.minimum(begin + n + tail, off[d + 1])
+                text, start, size = _join([raw[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)])
+                place = before + begin - off[d]
+                gone, keep = repeated(text, start, size, n, did[d], tid[d], place, length)
+                out = repeats.removed_rows(did[d][gone[0]], tid[d][gone[0]], place[gone[0]] + gone[1], buckets)
+                left = np.sort(np.concatenate((left, inside[first[keep[0]] + keep[1]])))
             # rows equal in doc_id and text leave the same place twice; that does no harm
             at, m = runs(i[left], doc[i[left]], low[left])
             if len(at):
@@ -218,6 +227,13 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, salt_slices: int = repeat
             stops = np.cumsum(sizes) + 8 + wide + 4 * k
             pieces += [cell[a:b] for a, b in zip((stops - sizes).tolist(), stops.tolist(), strict=True)]
         did, tid, anchor, first, n = unpack(heads, *_HEAD)
+        if last:  # a chunk's own windows differ; one whose anchor no other chunk has repeats nowhere
+            _, which, times = np.unique(anchor, return_inverse=True, return_counts=True)
+            k = np.flatnonzero(times[which] > 1)
+            if not len(k):
+                return repeats.frame([])
+            did, tid, anchor, first, n = (x[k] for x in (did, tid, anchor, first, n))
+            pieces = [pieces[x] for x in k.tolist()]
         first, n = first.astype(np.int64), n.astype(np.int64)
         text, start, size = _join(pieces)
         gone, keep = repeated(text, start, size, n, did, tid, first, length)
